@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics
+from . import analytics, series
 
-_MODULES = [analytics]
+_MODULES = [analytics, series]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,3 +23,27 @@ def mean_cents(x: str) -> str:
     n = f"COUNT({x})"
     q = f"(SIGN({c}) * ((2 * ABS({c}) + {n}) // (2 * {n})))"
     return f"CAST(CAST({q} AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
+
+
+def div_exact(total: str, n: str, scale: int = 4, in_scale: int = 2, precision: int = 18) -> str:
+    """``total / n`` for an ``in_scale``-decimal ``total``, rounded half away from zero to
+    ``scale`` digits, as DECIMAL(precision, scale), in integer arithmetic (matches Spark's DECIMAL
+    division + cast)."""
+    c = f"CAST(({total}) * {10 ** in_scale} AS HUGEINT)"
+    up = 10 ** (scale - in_scale)
+    q = f"(SIGN({c}) * ((2 * ABS({c}) * {up} + ({n})) // (2 * ({n}))))"
+    unit = "0." + "0" * (scale - 1) + "1"
+    return f"CAST(CAST({q} AS DECIMAL(38,0)) * CAST({unit} AS DECIMAL({scale + 1},{scale})) AS DECIMAL({precision},{scale}))"
+
+
+def resample_cte(name: str, keys: list[str], trunc: str = "month", step: str = "1 MONTH", source: str = "ledger") -> str:
+    """CTE ``name(keys..., ds, y)``: per-key sum by period with every period between the key's
+    first and last present (empty = 0)."""
+    k = ", ".join(keys)
+    kk = ", ".join(f"s.{c}" for c in keys)
+    on = " AND ".join([f"s.{c} = a.{c}" for c in keys] + ["s.ds = a.ds"])
+    return f"""
+, {name}_agg AS (SELECT {k}, CAST(date_trunc('{trunc}', date) AS DATE) AS ds, SUM(spend) AS y FROM {source} GROUP BY ALL)
+, {name}_b AS (SELECT {k}, MIN(ds) AS lo, MAX(ds) AS hi FROM {name}_agg GROUP BY ALL)
+, {name}_s AS (SELECT {k}, CAST(UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL {step})) AS DATE) AS ds FROM {name}_b)
+, {name} AS (SELECT {kk}, s.ds, CAST(COALESCE(a.y, 0) AS DECIMAL(18,2)) AS y FROM {name}_s s LEFT JOIN {name}_agg a ON {on})"""
