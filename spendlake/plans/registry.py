@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, series
+from . import analytics, ingest, series
 
-_MODULES = [analytics, series]
+_MODULES = [analytics, series, ingest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
