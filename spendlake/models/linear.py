@@ -48,6 +48,14 @@ def ols_trend(series: DataFrame, keys: Sequence[str], horizon: int = 24, ds_col:
     return fut.select(*keys, "ds", F.round(F.coalesce(yhat, F.col("intercept")), 2).alias("yhat"))
 
 
+def ols_fitted(series: DataFrame, keys: Sequence[str], ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:
+    """In-sample fitted values of the trend, rounded to cents (``keys, ds, y, yhat``)."""
+    fit = ols_fit(series, keys, ds_col, value, granularity)
+    j = series.select(*keys, ds_col, value).join(fit.select(*keys, "intercept", "slope"), list(keys))
+    yhat = F.coalesce(F.col("intercept") + F.col("slope") * _t(ds_col, granularity), F.col("intercept"))
+    return j.select(*keys, ds_col, value, F.round(yhat, 2).cast("decimal(18,2)").alias("yhat"))
+
+
 def seasonal_naive(series: DataFrame, keys: Sequence[str], horizon: int = 24, season: int = 12, ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:
     """yhat(T + h) = y(T + h - season * ceil(h / season)); the last value where that is missing."""
     last = series.groupBy(*keys).agg(F.max(ds_col).alias("last_ds"), F.max_by(value, ds_col).alias("last_y"))

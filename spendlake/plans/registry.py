@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, ingest, series
+from . import analytics, forecasting, ingest, series
 
-_MODULES = [analytics, series, ingest]
+_MODULES = [analytics, series, ingest, forecasting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
