@@ -45,7 +45,7 @@ def currency_text(c: Column | str) -> Column:
         .when(v >= 1e9, F.format_string("$%.1fB", v / 1e9))
         .when(v >= 1e6, F.format_string("$%.1fM", v / 1e6))
         .when(v >= 1e3, F.format_string("$%.0fk", v / 1e3))
-        .otherwise(F.concat(F.lit("$"), col_(c).cast("string")))
+        .otherwise(F.concat(F.lit("$"), F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))))
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.money import safe_ratio
 
 # Reporting constants.
-MAPE_EPS = 2.220446049250313e-16  # float64 machine epsilon, the percentage-error floor
 DAYS_PER_MONTH = 30.44  # average monthly spend from a daily forecast
 BUDGET_FACTOR = 1.2  # dashboard budget = 1.2 x forecast total
 GAUGE_SEGMENTS = 8
@@ -23,7 +22,10 @@ def error_metrics(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str =
     When actual and prediction are both DECIMAL (money), the squared and absolute errors are
     summed exactly and mse / mae are DECIMAL(38,6), so the metric does not depend on the order
     rows arrive in; rmse is the square root of that exact mse. Otherwise the errors are doubles.
-    r2 = 1 - sse / sst with sst = n * var_pop(y), computed in the same pass.
+    r2 = 1 - sse / sst with sst = n * var_pop(y), computed in the same pass. MAPE is averaged over
+    periods with a non-zero actual (null if there are none): a zero actual (an empty, gap-filled
+    period) has no percentage error, and flooring the denominator at machine epsilon would let a
+    single such period dominate the mean with a ~1e16 term.
     """
     types = dict(df.dtypes)
     exact = types[y].startswith("decimal") and types[yhat].startswith("decimal")
@@ -36,7 +38,7 @@ def error_metrics(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str =
         F.count(F.lit(1)).alias("n"),
         F.sum(e * e).alias("__sse"),
         F.sum(F.abs(e)).alias("__sae"),
-        F.avg(F.abs(a_d - p_d) / F.greatest(F.abs(a_d), F.lit(MAPE_EPS))).alias("mape"),
+        F.avg(F.when(a_d != 0, F.abs(a_d - p_d) / F.abs(a_d))).alias("mape"),
         F.var_pop(a_d).alias("__var"),
     )
     if exact:

@@ -171,7 +171,7 @@ def _metrics_sql(src: str, pred: str, where: str = "") -> str:
     mae = div_exact(f"SUM(abs({e}))", "COUNT(*)", 6, 2, 38)
     return f"""(SELECT segment, service_name, COUNT(*) AS n, {mse} AS mse, {mae} AS mae,
        ROUND(sqrt(CAST({mse} AS DOUBLE)), 4) AS rmse,
-       ROUND(AVG(abs(CAST(y AS DOUBLE) - CAST({pred} AS DOUBLE)) / greatest(abs(CAST(y AS DOUBLE)), 2.220446049250313e-16)), 6) AS mape,
+       ROUND(AVG(CASE WHEN CAST(y AS DOUBLE) <> 0 THEN abs(CAST(y AS DOUBLE) - CAST({pred} AS DOUBLE)) / abs(CAST(y AS DOUBLE)) END), 6) AS mape,
        ROUND(CASE WHEN var_pop(CAST(y AS DOUBLE)) > 0 THEN 1 - CAST(SUM({e} * {e}) AS DOUBLE) / (var_pop(CAST(y AS DOUBLE)) * COUNT(*)) END, 6) AS r2
 FROM {src} WHERE {cond} GROUP BY 1, 2)"""
 
