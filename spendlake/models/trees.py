@@ -79,12 +79,15 @@ def recursive_forecast(
     granularity: str = "month",
     ds_col: str = "ds",
     value: str = "y",
-    checkpoint_every: int = 6,
+    checkpoint_every: int = 8,
 ) -> DataFrame:
     """M7 (b): H-step recursive forecast for every series; ``keys, ds, yhat``.
 
     State per series is (last period, last three values); each step is one ``transform`` over one
-    row per series. Predictions are clamped at 0 and fed back as lag 1.
+    row per series. Predictions are clamped at 0 and fed back as lag 1. Steps are narrow
+    projections, so consecutive steps pipeline inside one stage; every ``checkpoint_every`` steps
+    the state is checkpointed into the shared folder to bound the plan and the recomputation
+    after a lost executor.
     """
     idx_model, model = fitted
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
@@ -97,7 +100,7 @@ def recursive_forecast(
         *[F.max(F.when(F.col("__rn") == k, F.col("__y"))).alias(f"lag_{k}") for k in LAGS],
     )
     state = idx_model.transform(state.withColumn("series_key", _series_key(keys))).withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0))
-    state = state.select(*keys, "last_ds", *[f"lag_{k}" for k in LAGS], "series_idx").persist()
+    state = cut_lineage(state.select(*keys, "last_ds", *[f"lag_{k}" for k in LAGS], "series_idx"))
     outs = []
     for h in range(1, horizon + 1):
         step = _features(state.withColumn("ds", add_periods(F.col("last_ds"), 1, granularity)), "ds")
@@ -106,20 +109,28 @@ def recursive_forecast(
         nxt = pred.select(
             *keys, F.col("ds").alias("last_ds"), F.col("yhat").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"), "series_idx"
         )
-        if h % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist()
         outs.append(pred.select(*keys, "ds", "yhat"))
+        if h % checkpoint_every == 0 and h < horizon:
+            # the step outputs so far share the state's lineage: cut both together
+            done = cut_lineage(_union(outs))
+            outs = [done]
+            nxt = cut_lineage(nxt)
         state = nxt
-    result = outs[0]
-    for o in outs[1:]:
-        result = result.unionByName(o)
-    return result
+    return _union(outs)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def forecast(series: DataFrame, keys: Sequence[str], engine: str = "xgboost", horizon: int = 24, granularity: str = "month", params: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """M2 / M3: fit + recursive forecast + validation metrics. Returns (forecast, metrics)."""
+    """M2 / M3: fit + recursive forecast + validation metrics. Returns (forecast, metrics).
+
+    The input series is checkpointed once: the fit and the forecast read it many times."""
+    series = cut_lineage(series)
     fitted, val = fit(series, keys, engine, params)
     fc = cut_lineage(recursive_forecast(fitted, series, keys, horizon, granularity))
     return fc, validation_metrics(val, keys)

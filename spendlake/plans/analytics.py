@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calendar, ledger as L, profile as P
-from ..sources.tables import ledger
+from ..sources.tables import derive_ledger, ledger
 from .sqltext import mean_cents, with_ledger
 
 M = "CAST(date_trunc('month', date) AS DATE)"
 
 
+def q_ledger_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger view itself (the six-table join every other query reads, once materialised)."""
+    return derive_ledger(spark, d)
+
+
 def q_squash_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return L.squash(ledger(spark, d))
 
@@ -167,6 +172,7 @@ def _bin_sql(bins: int) -> str:
 
 
 ORACLE = {
+    "ledger_ingest": with_ledger("SELECT * FROM ledger"),
     "squash_duplicates": with_ledger("""
 SELECT date, service_name, account_name, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend,
        MIN(bu_code) AS bu_code, MIN(segment) AS segment  -- bu_code / segment depend on the account: min = first

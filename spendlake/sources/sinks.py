@@ -36,12 +36,11 @@ def write_ledger(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ledger rows partitioned by (dataset_id, month); ``overwrite`` replaces only the
     partitions present in ``df`` (dynamic partition overwrite).
 
-    No shuffle before the write: a hot (dataset, month) partition is written by every task that
-    holds some of its rows, instead of by one task. Rows are sorted by the partition columns
-    within each task so a task keeps one file open at a time.
+    The ``rebalance`` hint lets AQE size the write: small partitions are merged into few files
+    and a hot (dataset, month) partition is split over several tasks instead of one.
     """
     (
-        with_month(df).sortWithinPartitions(*PARTITIONS).write.mode(mode)
+        with_month(df).hint("rebalance", *PARTITIONS).write.mode(mode)
         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     )
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources.sinks import _exists
 from ..sources.tables import MONEY
 
@@ -38,6 +38,13 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read several times below; released at the end of the batch
+        try:
+            _write(spark, batch, epoch_id)
+        finally:
+            batch.unpersist()
+
+    def _write(spark, batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
         touched = batch.select(part_col).distinct()
@@ -50,7 +57,7 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
         else:
             merged = batch
         staging = shared_path(spark, f"stage-{epoch_id}")
-        merged.write.mode("overwrite").partitionBy(part_col).parquet(staging)
+        merged.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col).parquet(staging)
         (
             spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(part_col).parquet(path)
@@ -69,8 +76,14 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts
     sliced = df.withColumn("__slice", F.least(F.floor((sec - F.unix_micros(F.lit(lo).cast("timestamp"))) * files / F.lit(span)), F.lit(files - 1)))
     if drop_ts:
         sliced = sliced.drop(ts_col)
+    # stage all slices in one job, then deliver them one by one in time order
+    staging = shared_path(df.sparkSession, "landing-staging")
+    sliced.write.partitionBy("__slice").parquet(staging)
     for i in range(files):
-        sliced.where(F.col("__slice") == i).drop("__slice").write.mode("append").parquet(path)
+        part = f"{staging}/__slice={i}"
+        if _exists(df.sparkSession, part):
+            # one file per delivery, as a provider drops one export per sync
+            df.sparkSession.read.parquet(part).coalesce(1).write.mode("append").parquet(path)
 
 
 def daily_spend_stream(spark: SparkSession, source_dir: str, schema, ts_col: str = "ts", key: str = "event_type", value: str = "value", max_files: int = 1) -> DataFrame:
