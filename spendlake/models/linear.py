@@ -21,39 +21,86 @@ from ..functions.dates import add_periods
 from ..operators.features import month_index
 
 
+# Fixed value: time origin of the trend regressions (month 2000-01 / day 2000-01-01), which keeps
+# the integer sums of the exact fit small.
+ORIGIN_MONTH = 2000 * 12
+ORIGIN_DAY = "2000-01-01"
+
+
 def _t(ds_col: str, granularity: str):
+    """Integer time index: days or months since the origin."""
     if granularity.lower() in ("day", "daily", "d"):
-        return F.datediff(F.col(ds_col), F.lit("1970-01-01").cast("date")).cast("double")
-    return month_index(F.col(ds_col)).cast("double")
+        return F.datediff(F.col(ds_col), F.lit(ORIGIN_DAY).cast("date")).cast("long")
+    return (month_index(F.col(ds_col)) - F.lit(ORIGIN_MONTH)).cast("long")
+
+
+def _is_money(series: DataFrame, value: str) -> bool:
+    return dict(series.dtypes)[value].startswith("decimal")
+
+
+D38 = "decimal(38,0)"
 
 
 def ols_fit(series: DataFrame, keys: Sequence[str], ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:
-    """Per-series intercept, slope, last period and count."""
-    t = _t(ds_col, granularity)
-    y = F.col(value).cast("double")
+    """Per-series least-squares sufficient statistics (one grouped aggregation, combined
+    map-side): n, sum t, sum t^2, and for money in cents sum y, sum t*y, all exact integers."""
+    t = _t(ds_col, granularity).cast(D38)
+    y = (F.col(value) * 100).cast(D38) if _is_money(series, value) else F.col(value).cast("double")
     return series.groupBy(*keys).agg(
-        F.regr_intercept(y, t).alias("intercept"),
-        F.regr_slope(y, t).alias("slope"),
+        F.count(F.lit(1)).cast(D38).alias("n"),
+        F.sum(t).alias("st"),
+        F.sum(t * t).alias("stt"),
+        F.sum(y).alias("sy"),
+        F.sum(t * y).alias("sty"),
         F.max(ds_col).alias("last_ds"),
-        F.count(F.lit(1)).alias("n_obs"),
     )
 
 
+def _with_prediction(df: DataFrame, t_col, money: bool, out: str = "yhat") -> DataFrame:
+    """Add ``out`` = the fitted trend at time ``t_col`` from the fit columns.
+
+    Money: the exact rational (sy*D - N*st + N*n*t) / (n*D) with D = n*stt - st^2 and
+    N = n*sty - st*sy, rounded half away from zero to cents by integer division (``div``
+    truncates toward zero, so (2a +- b) div 2b is the rounded quotient), giving the same forecast
+    on every engine and partitioning. A series with a single period is flat at its mean.
+    Doubles: the same closed form in floating point.
+    """
+    n, st, stt, sy, sty = (F.col(c) for c in ("n", "st", "stt", "sy", "sty"))
+    if money:
+        t = t_col.cast(D38)
+        d = n * stt - st * st
+        num = n * sty - st * sy
+        a = F.when(d > 0, sy * d - num * st + num * n * t).otherwise(sy)
+        b = F.when(d > 0, n * d).otherwise(n)
+        df = df.withColumns({"__a": a.cast(D38), "__b": b.cast(D38)})
+        cents = F.expr("(CASE WHEN __a >= 0 THEN 2 * __a + __b ELSE 2 * __a - __b END) div (2 * __b)")
+        return df.withColumn(out, (cents.cast(D38) / F.lit(100)).cast("decimal(18,2)")).drop("__a", "__b")
+    n, st, stt, sy, sty = (c.cast("double") for c in (n, st, stt, sy, sty))
+    t = t_col.cast("double")
+    d = n * stt - st * st
+    slope = (n * sty - st * sy) / d
+    icpt = (sy - slope * st) / n
+    return df.withColumn(out, F.when(d != 0, icpt + slope * t).otherwise(sy / n))
+
+
 def ols_trend(series: DataFrame, keys: Sequence[str], horizon: int = 24, ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:
     """Linear trend forecast for every series: ``keys, ds, yhat`` for H periods after the last."""
+    money = _is_money(series, value)
     fit = ols_fit(series, keys, ds_col, value, granularity)
-    fut = fit.select(*keys, "intercept", "slope", "last_ds", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    fut = fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     fut = fut.withColumn("ds", add_periods(F.col("last_ds"), F.col("h"), granularity))
-    yhat = F.col("intercept") + F.col("slope") * _t("ds", granularity)
-    return fut.select(*keys, "ds", F.round(F.coalesce(yhat, F.col("intercept")), 2).alias("yhat"))
+    fut = _with_prediction(fut, _t("ds", granularity), money)
+    yhat = F.col("yhat").cast("double") if money else F.round("yhat", 2)
+    return fut.select(*keys, "ds", yhat.alias("yhat"))
 
 
 def ols_fitted(series: DataFrame, keys: Sequence[str], ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:
     """In-sample fitted values of the trend, rounded to cents (``keys, ds, y, yhat``)."""
+    money = _is_money(series, value)
     fit = ols_fit(series, keys, ds_col, value, granularity)
-    j = series.select(*keys, ds_col, value).join(fit.select(*keys, "intercept", "slope"), list(keys))
-    yhat = F.coalesce(F.col("intercept") + F.col("slope") * _t(ds_col, granularity), F.col("intercept"))
-    return j.select(*keys, ds_col, value, F.round(yhat, 2).cast("decimal(18,2)").alias("yhat"))
+    j = _with_prediction(series.select(*keys, ds_col, value).join(fit, list(keys)), _t(ds_col, granularity), money)
+    yhat = F.col("yhat") if money else F.round("yhat", 2).cast("decimal(18,2)")
+    return j.select(*keys, ds_col, value, yhat.alias("yhat"))
 
 
 def seasonal_naive(series: DataFrame, keys: Sequence[str], horizon: int = 24, season: int = 12, ds_col: str = "ds", value: str = "y", granularity: str = "month") -> DataFrame:

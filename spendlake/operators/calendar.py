@@ -37,19 +37,26 @@ def resample(
         .groupBy(*keys, period_start(F.col(date_col), granularity).alias("ds"))
         .agg(F.sum(value_col).cast(MONEY).alias("y"))
     )
-    if not fill:
-        return agg
-    w = Window.partitionBy(*keys).orderBy("ds")
-    nxt = F.lead("ds").over(w)
+    return fill_gaps(agg, keys, granularity) if fill else agg
+
+
+def fill_gaps(agg: DataFrame, keys: Sequence[str] = (), granularity: str = "month", ds_col: str = "ds", value_col: str = "y") -> DataFrame:
+    """A2 / J3 on an already aggregated series (one row per key and period): the missing periods
+    between a key's first and last get value 0. ``lead`` finds the next present period and
+    ``sequence`` generates the ones in between; no spine table, no join."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(ds_col)
+    nxt = F.lead(ds_col).over(w)
     last_fill = add_periods(nxt, -1, granularity)
+    first_fill = add_periods(F.col(ds_col), 1, granularity)
     step = step_interval(granularity)
     filled = agg.withColumn(
         "__gap",
-        F.when(nxt.isNull() | (last_fill < add_periods(F.col("ds"), 1, granularity)), F.array())
-        .otherwise(F.sequence(add_periods(F.col("ds"), 1, granularity), last_fill, step)),
+        F.when(nxt.isNull() | (last_fill < first_fill), F.array()).otherwise(F.sequence(first_fill, last_fill, step)),
     )
-    gaps = filled.select(*keys, F.explode("__gap").alias("ds"), F.lit(0).cast(MONEY).alias("y"))
-    return filled.select(*keys, "ds", "y").unionByName(gaps)
+    zero = F.lit(0).cast(agg.schema[value_col].dataType)
+    gaps = filled.select(*keys, F.explode("__gap").alias(ds_col), zero.alias(value_col))
+    return filled.select(*keys, ds_col, value_col).unionByName(gaps)
 
 
 def future_calendar(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar, ledger as L, profile as P
 from ..sources.tables import derive_ledger, ledger
-from .sqltext import mean_cents, with_ledger
+from .sqltext import mean_cents, resample_cte, with_ledger
 
 M = "CAST(date_trunc('month', date) AS DATE)"
 
@@ -129,6 +129,17 @@ def q_key_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.key_counts(ledger(spark, d))
 
 
+def q_daily_zoom_last60(spark: SparkSession, d: str) -> DataFrame:
+    return P.last_n(calendar.resample(ledger(spark, d), ["bu_code"], "day"), 60, "ds", ["bu_code"])
+
+
+def q_currency_labels(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.money import currency_text, kpi_currency_text
+
+    m = P.monthly_totals(ledger(spark, d))
+    return m.select("month", "total_spend", currency_text("total_spend").alias("axis_label"), kpi_currency_text("total_spend").alias("kpi_label"))
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 
 
@@ -172,6 +183,20 @@ def _bin_sql(bins: int) -> str:
 
 
 ORACLE = {
+    "daily_zoom_last60": with_ledger(resample_cte("db", ["bu_code"], "day", "1 DAY") + """
+SELECT bu_code, ds, y FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bu_code ORDER BY ds DESC) AS rn FROM db) WHERE rn <= 60"""),
+    "currency_labels": with_ledger(f"""
+, m AS (SELECT {M} AS month, CAST(SUM(spend) AS DECIMAL(18,2)) AS total_spend FROM ledger GROUP BY 1)
+SELECT month, total_spend,
+  CASE WHEN total_spend IS NULL OR total_spend = 0 THEN '$0'
+       WHEN total_spend >= 1e9 THEN printf('$%.1fB', CAST(total_spend AS DOUBLE) / 1e9)
+       WHEN total_spend >= 1e6 THEN printf('$%.1fM', CAST(total_spend AS DOUBLE) / 1e6)
+       WHEN total_spend >= 1e3 THEN printf('$%.0fk', CAST(total_spend AS DOUBLE) / 1e3)
+       ELSE '$' || CAST(total_spend AS VARCHAR) END AS axis_label,
+  CASE WHEN total_spend IS NULL OR total_spend = 0 THEN '$0'
+       WHEN total_spend >= 1e6 THEN printf('$%.2fM', CAST(total_spend AS DOUBLE) / 1e6)
+       ELSE '$' || format('{{:,.2f}}', CAST(total_spend AS DOUBLE)) END AS kpi_label
+FROM m"""),
     "ledger_ingest": with_ledger("SELECT * FROM ledger"),
     "squash_duplicates": with_ledger("""
 SELECT date, service_name, account_name, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend,

@@ -13,7 +13,7 @@ from ..operators import calendar, features as FT, metrics as MX
 from ..session import shared_path
 from ..sources.tables import ledger
 from . import series as SE
-from .sqltext import with_ledger
+from .sqltext import ols_fitted_sql, ols_sql, with_ledger
 
 # Month-day pairs of the holiday calendar used by the holiday-regressor query.
 HOLIDAY_MONTH_DAYS = ((1, 1), (7, 4), (12, 25))
@@ -110,6 +110,24 @@ def q_ensemble_forecast(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_level_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """P2 + A26: every forecast level (overall, each account, service, bu_code, segment) in one
+    job: one grouping-sets aggregation, gap fill per (level, key), one trend fit per series."""
+    from ..operators import profile as P
+
+    lv = P.level_grouping_sets(ledger(spark, d)).select("level", "level_key", F.col("month").alias("ds"), F.col("spend").alias("y"))
+    series = calendar.fill_gaps(lv, ["level", "level_key"], "month")
+    return linear.ols_trend(series, ["level", "level_key"], 12)
+
+
+def q_forecast_request(spark: SparkSession, d: str) -> DataFrame:
+    """E3 / 3.2: the request flow (level + granularity + engine name), segment level, prophet role."""
+    from .engine import run_forecast
+
+    fc, _hist, kpis = run_forecast(ledger(spark, d), "segment", "monthly", "prophet", {"changepoint_prior_scale": 0.05})
+    return fc.join(kpis, "segment")
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 
 _E = "(CAST(y AS DECIMAL(20,2)) - CAST(p AS DECIMAL(20,2)))"
@@ -123,10 +141,22 @@ def _rmse_sql(src: str) -> str:
 
 
 ORACLE = {
+    "level_forecast": with_ledger(f"""
+, b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, account_name, service_name, CAST(bu_code AS VARCHAR) AS bu_code, segment, spend FROM ledger)
+, g AS (SELECT month, account_name, service_name, bu_code, segment,
+           GROUPING(account_name, service_name, bu_code, segment) AS gid, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend
+        FROM b GROUP BY GROUPING SETS ((month), (month, account_name), (month, service_name), (month, bu_code), (month, segment)))
+, lv AS (SELECT CASE gid WHEN 15 THEN 'overall' WHEN 7 THEN 'account_name' WHEN 11 THEN 'service_name' WHEN 13 THEN 'bu_code' ELSE 'segment' END AS level,
+               CASE gid WHEN 7 THEN account_name WHEN 11 THEN service_name WHEN 13 THEN bu_code WHEN 14 THEN segment END AS level_key,
+               month AS ds, spend AS y FROM g)
+, bnd AS (SELECT level, level_key, MIN(ds) AS lo, MAX(ds) AS hi FROM lv GROUP BY 1, 2)
+, sp AS (SELECT level, level_key, CAST(UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS ds FROM bnd)
+, ser AS (SELECT sp.level, sp.level_key, sp.ds, CAST(COALESCE(lv.y, 0) AS DECIMAL(18,2)) AS y FROM sp LEFT JOIN lv
+          ON sp.level = lv.level AND sp.level_key IS NOT DISTINCT FROM lv.level_key AND sp.ds = lv.ds)
+""" + ols_sql("lf", "ser", ["level", "level_key"], 12) + """
+SELECT * FROM lf"""),
     "ensemble_forecast": with_ledger(SE.PANEL_CTE + SE.OLS_CTE + SE.SNAIVE_CTE + SE.PREDS_CTE + f"""
-, ofit AS (SELECT ms.segment, ms.service_name, ms.ds, ms.y,
-                  CAST(ROUND(COALESCE(a + b * CAST({SE.MI.replace('ds', 'ms.ds')} AS DOUBLE), a), 2) AS DECIMAL(18,2)) AS p
-           FROM ms JOIN fit USING (segment, service_name))
+""" + ols_fitted_sql("ofit", "ms", SE.PANEL) + f"""
 , r1 AS {_rmse_sql('ofit')}
 , r2 AS {_rmse_sql('(SELECT segment, service_name, y, pred_lag12 AS p FROM pr)')}
 , j AS (SELECT o.segment, o.service_name, o.ds, CAST(o.yhat AS DOUBLE) AS ya, CAST(s.yhat AS DOUBLE) AS yb,

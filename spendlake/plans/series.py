@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..models import linear
 from ..operators import calendar, features as FT, ledger as L, metrics as MX
 from ..sources.tables import ledger
-from .sqltext import div_exact, resample_cte, with_ledger
+from .sqltext import div_exact, ols_sql, resample_cte, with_ledger
 
 PANEL = ["segment", "service_name"]
 H = 24
@@ -147,12 +147,7 @@ SQ_CTE = """
 MI = "(year(ds) * 12 + month(ds) - 1)"
 W_PANEL = "PARTITION BY segment, service_name ORDER BY ds"
 
-OLS_CTE = f"""
-, fit AS (SELECT segment, service_name, regr_intercept(CAST(y AS DOUBLE), CAST({MI} AS DOUBLE)) AS a,
-                 regr_slope(CAST(y AS DOUBLE), CAST({MI} AS DOUBLE)) AS b, MAX(ds) AS last_ds FROM ms GROUP BY 1, 2)
-, ols AS (SELECT segment, service_name, CAST(last_ds + INTERVAL (h) MONTH AS DATE) AS ds,
-                 ROUND(COALESCE(a + b * CAST(year(last_ds + INTERVAL (h) MONTH) * 12 + month(last_ds + INTERVAL (h) MONTH) - 1 AS DOUBLE), a), 2) AS yhat
-          FROM fit, (SELECT UNNEST(range(1, {H + 1})) AS h))"""
+OLS_CTE = ols_sql("ols", "ms", PANEL, H)
 SNAIVE_CTE = f"""
 , lastv AS (SELECT segment, service_name, MAX(ds) AS last_ds, arg_max(y, ds) AS last_y FROM ms GROUP BY 1, 2)
 , fut AS (SELECT segment, service_name, last_y, CAST(last_ds + INTERVAL (h) MONTH AS DATE) AS ds,

@@ -47,3 +47,44 @@ def resample_cte(name: str, keys: list[str], trunc: str = "month", step: str = "
 , {name}_b AS (SELECT {k}, MIN(ds) AS lo, MAX(ds) AS hi FROM {name}_agg GROUP BY ALL)
 , {name}_s AS (SELECT {k}, CAST(UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL {step})) AS DATE) AS ds FROM {name}_b)
 , {name} AS (SELECT {kk}, s.ds, CAST(COALESCE(a.y, 0) AS DECIMAL(18,2)) AS y FROM {name}_s s LEFT JOIN {name}_agg a ON {on})"""
+
+
+def _t_sql(ds: str) -> str:
+    return f"CAST(year({ds}) * 12 + month({ds}) - 1 - 24000 AS HUGEINT)"
+
+
+def _pred_sql(t: str) -> str:
+    """Exact trend value in cents at ``t`` (integer closed form, half away from zero), DECIMAL."""
+    d = "(n * stt - st * st)"
+    num = "(n * sty - st * sy)"
+    a = f"(CASE WHEN {d} > 0 THEN sy * {d} - {num} * st + {num} * n * {t} ELSE sy END)"
+    b = f"(CASE WHEN {d} > 0 THEN n * {d} ELSE n END)"
+    q = f"((CASE WHEN {a} >= 0 THEN 2 * {a} + {b} ELSE 2 * {a} - {b} END) // (2 * {b}))"
+    return f"CAST(CAST({q} AS DECIMAL(38,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
+
+
+def ols_sql(name: str, src: str, keys: list[str], horizon: int) -> str:
+    """CTEs ``{name}_fit`` (sufficient statistics) and ``{name}(keys, ds, yhat DOUBLE)``: the
+    exact monthly trend forecast for ``horizon`` months after each key's last month."""
+    k = ", ".join(keys)
+    t = _t_sql("ds")
+    fut = "CAST(last_ds + INTERVAL (h) MONTH AS DATE)"
+    return f"""
+, {name}_fit AS (SELECT {k}, CAST(COUNT(*) AS HUGEINT) AS n, SUM({t}) AS st, SUM({t} * {t}) AS stt,
+                 SUM(CAST(y * 100 AS HUGEINT)) AS sy, SUM({t} * CAST(y * 100 AS HUGEINT)) AS sty, MAX(ds) AS last_ds
+          FROM {src} GROUP BY ALL)
+, {name} AS (SELECT {k}, {fut} AS ds, CAST({_pred_sql(_t_sql(fut))} AS DOUBLE) AS yhat
+          FROM {name}_fit, (SELECT UNNEST(range(1, {horizon + 1})) AS h))"""
+
+
+def ols_fitted_sql(name: str, src: str, keys: list[str]) -> str:
+    """CTE ``{name}(keys, ds, y, p)``: in-sample exact trend values (needs ``{name}_fit``-style
+    statistics, computed here as ``{name}_f``)."""
+    k = ", ".join(keys)
+    t = _t_sql("ds")
+    on = " AND ".join(f"s.{c} = f.{c}" for c in keys)
+    return f"""
+, {name}_f AS (SELECT {k}, CAST(COUNT(*) AS HUGEINT) AS n, SUM({t}) AS st, SUM({t} * {t}) AS stt,
+                 SUM(CAST(y * 100 AS HUGEINT)) AS sy, SUM({t} * CAST(y * 100 AS HUGEINT)) AS sty FROM {src} GROUP BY ALL)
+, {name} AS (SELECT {", ".join("s." + c for c in keys)}, s.ds, s.y, {_pred_sql(_t_sql("s.ds"))} AS p
+          FROM {src} s JOIN {name}_f f ON {on})"""
