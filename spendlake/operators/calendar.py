@@ -46,17 +46,22 @@ def fill_gaps(agg: DataFrame, keys: Sequence[str] = (), granularity: str = "mont
     ``sequence`` generates the ones in between; no spine table, no join."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(ds_col)
-    nxt = F.lead(ds_col).over(w)
+    agg = agg.withColumn("__next", F.lead(ds_col).over(w))
+    nxt = F.col("__next")
     last_fill = add_periods(nxt, -1, granularity)
     first_fill = add_periods(F.col(ds_col), 1, granularity)
     step = step_interval(granularity)
-    filled = agg.withColumn(
-        "__gap",
-        F.when(nxt.isNull() | (last_fill < first_fill), F.array()).otherwise(F.sequence(first_fill, last_fill, step)),
-    )
     zero = F.lit(0).cast(agg.schema[value_col].dataType)
-    gaps = filled.select(*keys, F.explode("__gap").alias(ds_col), zero.alias(value_col))
-    return filled.select(*keys, ds_col, value_col).unionByName(gaps)
+    gap_days = F.when(nxt.isNull() | (last_fill < first_fill), F.array().cast(f"array<{agg.schema[ds_col].dataType.simpleString()}>")).otherwise(
+        F.sequence(first_fill, last_fill, step)
+    )
+    # one row in, (1 + gap) rows out: the present period, then its zero-valued successors
+    cells = F.concat(
+        F.array(F.struct(F.col(ds_col).alias("d"), F.col(value_col).alias("v"))),
+        F.transform(gap_days, lambda x: F.struct(x.alias("d"), zero.alias("v"))),
+    )
+    out = agg.select(*keys, F.explode(cells).alias("__c"))
+    return out.select(*keys, F.col("__c.d").alias(ds_col), F.col("__c.v").alias(value_col))
 
 
 def future_calendar(

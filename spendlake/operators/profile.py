@@ -10,6 +10,7 @@ key set is broadcast with its size bounded by k by construction.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,22 +121,27 @@ def top_n_other(df: DataFrame, dim: str, n: int, value: str = "spend", label: st
     """The first n ranks by total keep their name, the rest are summed into ``Other``.
 
     Semantics: totals of exactly 0 are dropped but still occupy their rank; ``Other`` is emitted
-    only when its sum is > 0; null / empty names read ``Uncategorized``. Plan: one aggregation, a
-    bounded top-n (<= n rows, broadcast by construction) and a second aggregation over the
-    totals, so no window ever sees all keys.
+    only when its sum is > 0; null / empty names read ``Uncategorized``; ties rank by name.
+
+    Plan: the report is n + 1 rows, so it is assembled from two bounded results: the top n totals
+    (``TakeOrderedAndProject``: per-partition top-n merged on the driver, never all keys in one
+    task) and the grand total (one scalar). ``Other`` = grand total - sum of the top n, exact in
+    DECIMAL. Two scans, no window over all keys, no re-aggregation.
     """
+    spark = df.sparkSession
     totals = df.groupBy(dim).agg(sum_money(value).alias("total_spend"))
-    order = [F.desc("total_spend"), F.asc_nulls_last(dim)]
-    top = totals.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    named = top.where(F.col("total_spend") != 0).select(
-        F.coalesce(F.nullif(F.col(dim), F.lit("")), F.lit(UNCATEGORIZED)).alias(label), "total_spend", "rank"
-    )
-    tops = F.broadcast(top.select(F.col(dim).alias("__k")))
-    rest = totals.join(tops, totals[dim].eqNullSafe(tops["__k"]), "left_anti")
-    other = rest.agg(sum_money("total_spend").alias("total_spend")).where(F.col("total_spend") > 0).select(
-        F.lit("Other").alias(label), "total_spend", F.lit(n + 1).alias("rank")
-    )
-    return named.unionByName(other)
+    top = totals.orderBy(F.desc("total_spend"), F.asc_nulls_last(dim)).limit(n).collect()
+    grand = df.agg(sum_money(value).alias("g")).first()["g"]
+    rows = [
+        (r[dim] if r[dim] not in (None, "") else UNCATEGORIZED, r["total_spend"], i)
+        for i, r in enumerate(top, start=1)
+        if r["total_spend"] != 0
+    ]
+    if grand is not None:
+        other = grand - sum((r["total_spend"] for r in top), Decimal(0))
+        if other > 0:
+            rows.append(("Other", other, n + 1))
+    return spark.createDataFrame(rows, f"{label} string, total_spend decimal(18,2), rank int")
 
 
 def restrict_to_top(df: DataFrame, dim: str, k: int, value: str = "spend") -> DataFrame:
@@ -248,14 +254,13 @@ def box_stats_monthly(df: DataFrame, date_col: str = "date", value: str = "spend
     q = q.withColumn("lower_fence", F.round(F.col("q1") - 1.5 * F.col("iqr"), 6)).withColumn(
         "upper_fence", F.round(F.col("q3") + 1.5 * F.col("iqr"), 6)
     )
-    j = base.join(q, "month")
+    j = base.join(q, "month")  # q is one row per month: AQE broadcasts it
     inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))
-    agg = j.groupBy("month").agg(
+    return j.groupBy("month", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    return q.join(agg, "month")
 
 
 def density_monthly(df: DataFrame, date_col: str = "date", value: str = "spend", bins: int = 20) -> DataFrame:
