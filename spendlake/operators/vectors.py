@@ -34,7 +34,8 @@ def _anchor_literal(anchors: DataFrame, label_col: str) -> tuple[Column, Column]
     labels = list(by_label)
     lab = F.array(*[F.lit(x) for x in labels])
     vecs = F.array(*[F.array(*[F.lit(x) for x in by_label[k]]) for k in labels])
-    return lab, vecs
+    norms = F.array(*[F.lit(sum(x * x for x in by_label[k]) ** 0.5) for k in labels])
+    return lab, vecs, norms
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,12 +57,12 @@ def match_to_anchors(df: DataFrame, vec_col: str, anchors: DataFrame, label_col:
     Output adds ``mapped_to`` (null when unmapped), ``confidence`` (best score rounded to 4) and
     ``status``. Ties keep the first anchor in label order.
     """
-    labels, vecs = _anchor_literal(anchors, label_col)
+    labels, vecs, norms = _anchor_literal(anchors, label_col)
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    scores = F.transform(vecs, lambda a: cosine(v, a))
-    best = F.array_max(scores)
-    idx = F.array_position(scores, best)
-    out = df.withColumn("__best", best).withColumn("__idx", idx)
+    # the row norm once per row, anchor norms once per plan
+    base = df.withColumn("__v", v).withColumn("__vn", norm(F.col("__v")))
+    scores = F.transform(vecs, lambda a, i: dot(F.col("__v"), a) / F.nullif(F.col("__vn") * norms[i], F.lit(0.0)))
+    out = base.withColumn("__s", scores).withColumn("__best", F.array_max("__s")).withColumn("__idx", F.array_position("__s", F.col("__best")))
     hit = F.col("__best") >= F.lit(threshold)
     return out.select(
         *[c for c in df.columns if c != vec_col],

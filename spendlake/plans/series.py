@@ -136,6 +136,13 @@ def q_actual_vs_predicted(spark: SparkSession, d: str) -> DataFrame:
     return MX.actual_vs_predicted_monthly(insample_preds(spark, d).where(F.col("pred_lag12").isNotNull()), "ds", "y", ["pred_lag1", "pred_lag12"])
 
 
+def q_result_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Dashboard filters on a result frame; ``account_name`` is not a column of the panel
+    forecast and is skipped, the others apply; NaN doubles read null."""
+    f = linear.ols_trend(panel(spark, d), PANEL, H).withColumn("yhat", F.when(F.month("ds") == 1, F.lit(float("nan"))).otherwise(F.col("yhat")))
+    return L.result_filter(f, {"segment": "BUILDING", "account_name": "Customer#000000001", "service_name": None})
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 
 # ----------------------------------------------------------------------------- oracles
@@ -175,6 +182,8 @@ KPI_SQL = """(SELECT segment, service_name, CAST(SUM(yhat) AS DECIMAL(18,2)) AS
        ROUND(AVG(CAST(yhat AS DOUBLE)) * 1.0, 2) AS average_monthly_spend, COUNT(*) AS forecast_period FROM ols GROUP BY 1, 2)"""
 
 ORACLE = {
+    "result_filter": with_ledger(PANEL_CTE + OLS_CTE + """
+SELECT segment, service_name, ds, CASE WHEN month(ds) = 1 THEN NULL ELSE yhat END AS yhat FROM ols WHERE segment = 'BUILDING'"""),
     "group_lags": with_ledger(SQ_CTE + """
 SELECT date, account_name, service_name, spend,
   LAG(spend, 1) OVER w AS lag_1, LAG(spend, 2) OVER w AS lag_2, LAG(spend, 3) OVER w AS lag_3,

@@ -31,6 +31,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def line_facts(spark: SparkSession, sf_dir: str, fact_cols=("l_extendedprice", "l_discount", "l_shipdate", "l_returnflag")) -> DataFrame:
+    """Line items joined to their order's customer (with nation / region) and part; the join
+    strategy of ``derive_ledger``."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *fact_cols)
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+
+    geo = nation.join(bounded_broadcast(region, 1000), nation.n_regionkey == region.r_regionkey)
+    cust = customer.join(bounded_broadcast(geo, 100_000), customer.c_nationkey == geo.n_nationkey)
+    ord_c = orders.join(cust.hint("shuffle_hash"), orders.o_custkey == cust.c_custkey)
+    part_side = bounded_broadcast(part, 2_000_000)
+    if part_side is part:
+        part_side = part.hint("shuffle_hash")
+    return li.join(ord_c.hint("shuffle_hash"), li.l_orderkey == ord_c.o_orderkey).join(part_side, li.l_partkey == part.p_partkey)
+
+
 def derive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger view over the test tables (one row per line item).
 
@@ -45,25 +64,7 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     The fact is projected to the six columns it needs before any join (``ReadSchema`` shows
     only those).
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag"
-    )
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
-    )
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
-
-    geo = nation.join(bounded_broadcast(region, 1000), nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(bounded_broadcast(geo, 100_000), customer.c_nationkey == geo.n_nationkey)
-    ord_c = orders.join(cust.hint("shuffle_hash"), orders.o_custkey == cust.c_custkey)
-    part_side = bounded_broadcast(part, 2_000_000)
-    if part_side is part:
-        part_side = part.hint("shuffle_hash")
-    facts = li.join(ord_c.hint("shuffle_hash"), li.l_orderkey == ord_c.o_orderkey).join(part_side, li.l_partkey == part.p_partkey)
-
+    facts = line_facts(spark, sf_dir)
     price = F.col("l_extendedprice").cast("decimal(14,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
     return facts.select(
