@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.money import as_double, mean_money, sum_money
 from ..sources.tables import MONEY
 from .ledger import UNCATEGORIZED
+from .quantiles import exact_quantiles, quantile_columns
 
 # Percentiles of the distribution report.
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
@@ -28,29 +29,33 @@ def _month(date_col: str = "date") -> Column:
 
 
 def _quantile(c: Column, q, exact: bool, accuracy: int) -> Column:
-    """Exact linear-interpolated quantile(s), or the mergeable GK sketch for very large groups.
-
-    Exact ``percentile`` combines map-side but its buffer is one entry per distinct value of the
-    group; for groups with billions of distinct values use ``exact=False``.
-    """
+    """Single-aggregation quantile(s): Spark's exact ``percentile`` (its buffer is one entry per
+    distinct value of the group, merged in one task) or the mergeable GK sketch. The operators
+    below default to ``method="distributed"`` (``quantiles.exact_quantiles``), exact with
+    bounded memory per task; ``"builtin"`` and ``"approx"`` select these one-pass forms."""
     if exact:
         return F.percentile(c, q)
     return F.percentile_approx(c, q, accuracy)
 
 
 # ----------------------------------------------------------------------------- A3, A4, A13, A24
-def monthly_profile(df: DataFrame, date_col: str = "date", value: str = "spend", exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def monthly_profile(df: DataFrame, date_col: str = "date", value: str = "spend", method: str = "distributed", accuracy: int = 10000) -> DataFrame:
     """A3: per month count, sum, mean, median, sample std, min, max."""
     v = as_double(value)
-    return df.groupBy(_month(date_col).alias("month")).agg(
+    aggs = [
         F.count(value).alias("record_count"),
         sum_money(value).alias("total_spend"),
         mean_money(value).alias("avg_spend"),
-        F.round(_quantile(v, 0.5, exact, accuracy), 6).alias("median_spend"),
         F.round(F.stddev_samp(v), 4).alias("std_spend"),
         F.min(value).cast(MONEY).alias("min_spend"),
         F.max(value).cast(MONEY).alias("max_spend"),
-    )
+    ]
+    m = df.withColumn("month", _month(date_col))
+    if method == "distributed":
+        med = quantile_columns(m, ["month"], value, [0.5], ["median_spend"]).withColumn("median_spend", F.round("median_spend", 6))
+        return m.groupBy("month").agg(*aggs).join(med, "month", "left")
+    med = F.round(_quantile(v, 0.5, method == "builtin", accuracy), 6).alias("median_spend")
+    return m.groupBy("month").agg(*aggs, med)
 
 
 def spend_range(df: DataFrame, value: str = "spend") -> DataFrame:
@@ -197,12 +202,17 @@ def month_region_matrix(df: DataFrame, dim: str = "region") -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- A12, A14-A16
-def spend_percentiles(df: DataFrame, value: str = "spend", pcts: Sequence[int] = PERCENTILES, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def spend_percentiles(df: DataFrame, value: str = "spend", pcts: Sequence[int] = PERCENTILES, method: str = "distributed", accuracy: int = 10000) -> DataFrame:
     """Linear-interpolation percentiles (numpy default) as rows (percentile, spend_value)."""
+    spark = df.sparkSession
+    labels = spark.createDataFrame([(i, p) for i, p in enumerate(pcts)], "qi int, percentile int")
+    if method == "distributed":
+        q = exact_quantiles(df, [], value, [p / 100.0 for p in pcts])
+        return q.join(F.broadcast(labels), "qi").select("percentile", F.round("value", 6).alias("spend_value"))
     qs = F.array(*[F.lit(p / 100.0) for p in pcts])
-    arr = df.agg(_quantile(as_double(value), qs, exact, accuracy).alias("q"))
-    labels = F.array(*[F.lit(p) for p in pcts])
-    return arr.select(F.explode(F.arrays_zip(labels.alias("percentile"), F.col("q").alias("v"))).alias("z")).select(
+    arr = df.agg(_quantile(as_double(value), qs, method == "builtin", accuracy).alias("q"))
+    lab = F.array(*[F.lit(p) for p in pcts])
+    return arr.select(F.explode(F.arrays_zip(lab.alias("percentile"), F.col("q").alias("v"))).alias("z")).select(
         F.col("z.percentile").alias("percentile"), F.round("z.v", 6).alias("spend_value")
     )
 
@@ -238,7 +248,7 @@ def spend_histogram(df: DataFrame, value: str = "spend", bins: int = 50) -> Data
     )
 
 
-def box_stats_monthly(df: DataFrame, date_col: str = "date", value: str = "spend", exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def box_stats_monthly(df: DataFrame, date_col: str = "date", value: str = "spend", method: str = "distributed", accuracy: int = 10000) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers and outlier count per month.
 
     Pass 1 aggregates the quartiles per month; pass 2 joins them back (one row per month, so AQE
@@ -246,11 +256,16 @@ def box_stats_monthly(df: DataFrame, date_col: str = "date", value: str = "spend
     """
     v = as_double(value)
     base = df.select(_month(date_col).alias("month"), v.alias("v"))
-    q = base.groupBy("month").agg(_quantile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), exact, accuracy).alias("q"))
-    q = q.select(
-        "month",
-        F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q3"),
-    ).withColumn("iqr", F.round(F.col("q3") - F.col("q1"), 6))
+    if method == "distributed":
+        q = quantile_columns(base, ["month"], "v", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        q = q.select("month", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])
+    else:
+        q = base.groupBy("month").agg(_quantile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), method == "builtin", accuracy).alias("q"))
+        q = q.select(
+            "month",
+            F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q3"),
+        )
+    q = q.withColumn("iqr", F.round(F.col("q3") - F.col("q1"), 6))
     q = q.withColumn("lower_fence", F.round(F.col("q1") - 1.5 * F.col("iqr"), 6)).withColumn(
         "upper_fence", F.round(F.col("q3") + 1.5 * F.col("iqr"), 6)
     )

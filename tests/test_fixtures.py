@@ -233,3 +233,19 @@ def test_folds_and_cutoffs(spark):
     assert cuts[0] >= D(2020, 1, 1) + dt.timedelta(days=180)
     folds = features.expanding_folds(df, ["k"]).groupBy("fold", "role").count().collect()
     assert {(r["fold"], r["role"]): r["count"] for r in folds}[(0, "val")] == 100
+
+
+def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
+    from spendlake.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(7)
+    a = list(rng.normal(100, 30, 3000).round(2)) + [42.0] * 1500  # a third of the rows share one value
+    b = [5.0]  # a group of one
+    c = list(rng.integers(0, 10, 50).astype(float))  # many ties
+    rows = [("a", float(x)) for x in a] + [("b", x) for x in b] + [("c", float(x)) for x in c]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r["g"], r["qi"]): r["value"] for r in exact_quantiles(df, ["g"], "v", qs, buckets=16).collect()}
+    for name, vals in (("a", a), ("b", b), ("c", c)):
+        for i, q in enumerate(qs):
+            assert got[(name, i)] == pytest.approx(np.quantile(vals, q), abs=1e-9)
