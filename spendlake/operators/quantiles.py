@@ -3,18 +3,20 @@
 Spark's exact ``percentile`` merges, per group, a map of every distinct value into one task; for a
 month of a 100 TB ledger that map is unbounded. This is an exact distributed selection instead:
 
-1. per group: n, min, max (one aggregation);
-2. every value gets a bucket b0 = floor(B * (v - min) / (max - min)) and a sub-bucket b1 inside
-   it; a histogram of (group, b0) finds, for each target rank, the bucket that holds it
-   (a window over <= B rows per group);
-3. a histogram of (group, b0, b1), restricted to the target buckets (left-semi join on a set of
+1. every value gets a fixed, data-independent bucket b0 = floor(256 * log2|v|) (sign-aware, so
+   the bucket order is the value order) and a sub-bucket b1 (the fractional part split B ways);
+   a histogram of (group, b0) gives n per group and, for each target rank, the bucket holding
+   it (a window over the group's occupied buckets: a few thousand for money spanning cents to
+   billions, however many rows);
+2. a histogram of (group, b0, b1), restricted to the target buckets (left-semi join on a set of
    at most groups x targets rows), finds the sub-bucket;
-4. the distinct values of the target cells with their counts (a hot value collapses map-side to
+3. the distinct values of the target cells with their counts (a hot value collapses map-side to
    one row) give the exact value at the rank.
 
 The linear interpolation between the two ranks around q * (n - 1) is numpy's / SQL
-``percentile_cont``. Four passes over the values, no task ever holds more than B histogram rows
-or one cell's distinct values, nothing goes through the driver.
+``percentile_cont``. Three passes over the values, no join with per-group statistics, no task
+holds more than one group's occupied buckets or one cell's distinct values, nothing goes through
+the driver.
 """
 
 from __future__ import annotations
@@ -24,15 +26,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 4096  # sub-buckets per log bucket
 
 
-def _buckets(v: Column, lo: Column, hi: Column, b: int) -> tuple[Column, Column]:
-    span = hi - lo
-    x = F.when(span > 0, (v - lo) / span * F.lit(float(b))).otherwise(F.lit(0.0))
-    b0 = F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(b - 1))
-    b1 = F.least(F.greatest(F.floor((x - b0) * F.lit(float(b))), F.lit(0)), F.lit(b - 1))
-    return b0.cast("int"), b1.cast("int")
+LOG_STEPS = 256  # buckets per doubling of |v| (relative width ~0.27%)
+SIGN_OFFSET = 1_000_000  # separates negative, zero and positive bucket ranges
+
+
+def _buckets(v: Column, b: int) -> tuple[Column, Column]:
+    """(b0, b1), both non-decreasing in v: log-scale bucket and linear split of its fraction."""
+    x = F.log2(F.abs(v)) * F.lit(float(LOG_STEPS))
+    k = F.floor(x)
+    frac = F.least(F.greatest(F.floor((x - k) * F.lit(float(b))), F.lit(0)), F.lit(b - 1))
+    b0 = F.when(v > 0, k + F.lit(SIGN_OFFSET)).when(v < 0, -(k + F.lit(SIGN_OFFSET))).otherwise(F.lit(0))
+    b1 = F.when(v > 0, frac).when(v < 0, F.lit(b - 1) - frac).otherwise(F.lit(0))
+    return b0.cast("long"), b1.cast("int")
 
 
 def _locate(hist: DataFrame, targets: DataFrame, cell: list[str], key: str, rank: str) -> DataFrame:
@@ -53,11 +61,11 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str | Column, q
     if not groups:
         base = base.withColumn("__all", F.lit(0))
     base = base.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b0, b1 = _buckets(F.col("v"), F.col("lo"), F.col("hi"), buckets)
-    # stats has one row per group; AQE broadcasts it when the groups are few
-    rows = base.join(stats.select(*g, "lo", "hi"), g).select(*g, "v", b0.alias("b0"), b1.alias("b1"))
+    b0, b1 = _buckets(F.col("v"), buckets)
+    rows = base.select(*g, "v", b0.alias("b0"), b1.alias("b1"))
 
+    h0 = rows.groupBy(*g, "b0").agg(F.count(F.lit(1)).alias("cnt"))
+    stats = h0.groupBy(*g).agg(F.sum("cnt").alias("n"))
     tq = stats.select(*g, "n", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("qi", "q"))
     pos = F.col("q") * (F.col("n") - 1)
     tq = tq.withColumn("pos", pos).withColumn("k0", F.floor("pos")).withColumn("k1", F.ceil("pos"))
@@ -65,8 +73,6 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str | Column, q
         *g, "qi", (F.col("pos") - F.col("k0")).alias("frac"),
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("k0").alias("rank")), F.struct(F.lit(1).alias("which"), F.col("k1").alias("rank")))).alias("t"),
     ).select(*g, "qi", "frac", "t.which", "t.rank")
-
-    h0 = rows.groupBy(*g, "b0").agg(F.count(F.lit(1)).alias("cnt"))
     t0 = _locate(h0, targets, g, "b0", "rank")
 
     cells0 = t0.select(*g, "b0").distinct()
