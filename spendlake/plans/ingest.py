@@ -102,6 +102,16 @@ def q_alias_mapping(spark: SparkSession, d: str) -> DataFrame:
     return L.squash(L.normalise_raw(raw)).select("date", "service_name", "account_name", "spend", "bu_code", "segment")
 
 
+def q_csv_upload(spark: SparkSession, d: str) -> DataFrame:
+    """S1 end to end: the vendor export landed as CSV text in the shared folder, read back with
+    the CSV source and ingested."""
+    from ..sources.csv_ledger import ingest_csv
+
+    path = shared_path(spark, "upload-csv")
+    raw_vendor_export(spark, d).write.option("header", True).csv(path)
+    return ingest_csv(spark, path).select("date", "service_name", "account_name", "spend", "bu_code", "segment")
+
+
 def q_coerce_and_fill(spark: SparkSession, d: str) -> DataFrame:
     raw = L.canonicalise(raw_dirty_export(spark, d))
     return L.squash(L.normalise_raw(raw)).select("date", "service_name", "account_name", "spend", "bu_code", "segment")
@@ -250,6 +260,9 @@ SELECT *, 'left_only' AS side FROM (SELECT * FROM sq EXCEPT ALL SELECT * FROM me
 UNION ALL
 SELECT *, 'right_only' AS side FROM (SELECT * FROM merged EXCEPT ALL SELECT * FROM sq)"""),
     "alias_mapping": with_ledger("""
+SELECT CAST(date_trunc('month', date) AS DATE) AS date, service_name, account_name, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend,
+       MIN(bu_code) AS bu_code, MIN(segment) AS segment FROM ledger GROUP BY 1, 2, 3"""),
+    "csv_upload": with_ledger("""
 SELECT CAST(date_trunc('month', date) AS DATE) AS date, service_name, account_name, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend,
        MIN(bu_code) AS bu_code, MIN(segment) AS segment FROM ledger GROUP BY 1, 2, 3"""),
     "coerce_and_fill": with_ledger("""
