@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_any
+from ..functions.sizing import bounded_broadcast
 from ..sources.tables import MONEY, RAW_MONEY
 
 # Header aliases, canonical name -> accepted names, first present wins.
@@ -183,15 +184,27 @@ def upsert(
     keys: Sequence[str] = LEDGER_KEY,
     value: str = "spend",
     refresh: Sequence[str] = (),
+    partition_col: str | None = "date",
+    max_touched: int = 1_000_000,
 ) -> DataFrame:
     """Merge ``updates`` into ``existing`` on ``keys``.
 
     Matched keys take the new ``value`` (replace, not add) and keep their other columns unless
     listed in ``refresh``; unmatched updates are inserted; untouched rows pass through. Applying the
     same updates twice gives the same table. Both sides are squashed to one row per key by the
-    caller (A1). The full outer join is shuffle-partitioned on the key; callers restrict
-    ``existing`` to the partitions the batch touches (see ``sinks.write_ledger``).
+    caller (A1).
+
+    A resync touches few values of ``partition_col`` (days): existing rows on other days pass
+    through without a shuffle (anti-join against the touched days, broadcast after a row-count
+    proof), and only rows on touched days enter the shuffled full outer join with the batch.
     """
+    if partition_col is not None and partition_col in keys:
+        touched = updates.select(partition_col).distinct()
+        days = bounded_broadcast(touched, max_touched)
+        if days is not touched:  # proven small: split the table
+            untouched = existing.join(days, partition_col, "left_anti")
+            hot = existing.join(days, partition_col, "left_semi")
+            return untouched.unionByName(upsert(hot, updates, keys, value, refresh, None))
     other = [c for c in existing.columns if c not in keys and c != value]
     carried = [c for c in other if c in updates.columns]
     old = existing.withColumn("__old", F.lit(True))
