@@ -187,3 +187,16 @@ def backtest(
         return out
 
     return rows.groupBy(*keys, "cutoff").applyInPandas(per_fold, schema)
+
+
+def backtest_metrics(series: DataFrame, keys: Sequence[str], granularity: str = "day", params: dict | None = None, **kw) -> DataFrame:
+    """W11 + A18 per series, keeping series that could not be backtested: their metrics are NULL
+    with a ``reason`` (a failed backtest must not read as a perfect score)."""
+    from ..operators.metrics import error_metrics
+
+    bt = backtest(series, keys, granularity=granularity, params=params, **kw)
+    m = error_metrics(bt, keys, "y", "yhat")
+    everyone = series.select(*keys).distinct()
+    return everyone.join(m, list(keys), "left").withColumn(
+        "reason", F.when(F.col("n").isNull(), F.lit("insufficient history for a backtest"))
+    )

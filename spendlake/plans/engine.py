@@ -26,6 +26,13 @@ LEVELS = {
 }
 LEVEL_FILTER = {"account": "account_name", "service": "service_name", "bu_code": "bu_code", "segment": "segment_name"}
 HORIZON = {"daily": 90, "monthly": 24}
+# The accepted hyper-parameters per engine (one schema; anything else is an error).
+PARAMS = {
+    "prophet": {"changepoint_prior_scale", "seasonality_prior_scale", "seasonality_mode", "holidays"},
+    "xgboost": {"maxIter", "stepSize", "maxDepth", "subsamplingRate", "refit"},
+    "catboost": {"maxIter", "stepSize", "maxDepth", "subsamplingRate", "refit"},
+    "linear": set(),
+}
 
 
 def validate_level(level: str, filters: dict, single_series: bool = False) -> list[str]:
@@ -41,12 +48,16 @@ def validate_level(level: str, filters: dict, single_series: bool = False) -> li
 
 
 def _prophet(series, keys, horizon, gran, hp):
+    hp = dict(hp)
+    hp.pop("holidays", None)  # a holiday table is passed to decompose.forecast directly
     return decompose.forecast(series, keys, horizon, gran, hp), None
 
 
 def _trees(engine):
     def run(series, keys, horizon, gran, hp):
-        fc, m = trees.forecast(series, keys, engine, horizon, gran, hp)
+        hp = dict(hp)
+        refit = bool(hp.pop("refit", False))
+        fc, m = trees.forecast(series, keys, engine, horizon, gran, hp, refit=refit)
         return fc, m
 
     return run
@@ -76,6 +87,9 @@ def run_forecast(
         raise ValueError("Unsupported ML Model")
     if hyperparameters is not None and not isinstance(hyperparameters, dict):
         raise ValueError("hyperparameters must be a dict")
+    unknown = set(hyperparameters or {}) - PARAMS[model_name]
+    if unknown:
+        raise ValueError(f"unknown hyperparameters for {model_name}: {sorted(unknown)}")
     keys = validate_level(level, filters)
     gran = "day" if granularity == "daily" else "month"
     sliced = dimension_filter(ledger, **filters)

@@ -42,8 +42,7 @@ def q_decompose_daily_holidays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_decompose_backtest(spark: SparkSession, d: str) -> DataFrame:
-    bt = decompose.backtest(SE.daily_bu(spark, d), ["bu_code"], granularity="day")
-    return MX.error_metrics(bt, ["bu_code"], "y", "yhat")
+    return decompose.backtest_metrics(SE.daily_bu(spark, d), ["bu_code"], granularity="day")
 
 
 def q_gbt_forecast(spark: SparkSession, d: str) -> DataFrame:

@@ -249,3 +249,28 @@ def test_distributed_exact_quantiles_match_numpy_with_hot_value(spark):
     for name, vals in (("a", a), ("b", b), ("c", c)):
         for i, q in enumerate(qs):
             assert got[(name, i)] == pytest.approx(np.quantile(vals, q), abs=1e-9)
+
+
+def test_rolling_global_scope_crosses_series(spark):
+    df = spark.createDataFrame(
+        [("a", D(2020, m, 1), Decimal(m)) for m in range(1, 4)] + [("b", D(2020, m, 1), Decimal(10 * m)) for m in range(1, 4)],
+        "k string, ds date, y decimal(18,2)",
+    )
+    per = {(r["k"], r["ds"]): r["rolling_mean_3"] for r in features.add_rolling_means(df, ["k"], ["ds"], "y", [3]).collect()}
+    glob = {(r["k"], r["ds"]): r["rolling_mean_3"] for r in features.add_rolling_means(df, ["k"], ["ds"], "y", [3], scope="global").collect()}
+    assert per[("b", D(2020, 3, 1))] is None  # only 2 previous values inside series b
+    # flattened: lag-1 values (null, 1, 2, null, 10, 20) roll across the a/b boundary
+    assert glob[("a", D(2020, 3, 1))] is None and glob[("b", D(2020, 3, 1))] is None
+    assert glob[("b", D(2020, 2, 1))] is None
+
+
+def test_engine_rejects_unknown_model_and_params(spark):
+    from spendlake.plans.engine import run_forecast
+
+    df = spark.createDataFrame([(D(2020, 1, 1), Decimal("1.00"), "a", "s", 1, "x")], "date date, spend decimal(14,2), account_name string, service_name string, bu_code int, segment string")
+    with pytest.raises(ValueError, match="Unsupported ML Model"):
+        run_forecast(df, model_name="arima")
+    with pytest.raises(ValueError, match="unknown hyperparameters"):
+        run_forecast(df, model_name="xgboost", hyperparameters={"depth": 4})
+    with pytest.raises(ValueError):
+        run_forecast(df, model_name="prophet", hyperparameters=[1, 2])
