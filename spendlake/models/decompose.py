@@ -130,7 +130,7 @@ def forecast(
         # holiday calendar is small by nature (days x names); shipped to workers as a set of day numbers
         from ..functions.sizing import require_at_most
 
-        require_at_most(hol_pdf, 1_000_000, "holiday calendar")
+        require_at_most(hol_pdf, 100_000, "holiday calendar")  # ~270 years of days
         hol_days = {r[0].toordinal() for r in hol_pdf.collect()}
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:

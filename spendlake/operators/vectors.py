@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.sizing import require_at_most
 
 DEFAULT_THRESHOLD = 0.75  # library default; the ingest path passes 0.65
-MAX_ANCHORS = 10_000
+MAX_ANCHORS = 1_024  # anchors travel inside the plan as literals
 
 
 def centroids(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:

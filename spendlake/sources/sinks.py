@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
 from ..operators.ledger import LEDGER_KEY, upsert
 from ..session import shared_path
 
@@ -62,7 +63,7 @@ def merge_into_ledger(spark: SparkSession, path: str, updates: DataFrame, keys:
     upd = with_month(updates)
     touched = upd.select(*PARTITIONS).distinct()
     if _exists(spark, path):
-        current = spark.read.parquet(path).join(F.broadcast(touched), list(PARTITIONS), "left_semi")
+        current = spark.read.parquet(path).join(bounded_broadcast(touched, 100_000), list(PARTITIONS), "left_semi")
         merged = upsert(current.drop("month"), upd.drop("month"), ["dataset_id", *keys])
     else:
         merged = upd.drop("month")

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
 from ..session import cut_lineage, shared_path
 from ..sources.sinks import _exists
 from ..sources.tables import MONEY
@@ -49,7 +50,7 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
             return
         touched = batch.select(part_col).distinct()
         if _exists(spark, path):
-            old = spark.read.parquet(path).join(F.broadcast(touched), part_col, "left_semi").select(*batch.columns)
+            old = spark.read.parquet(path).join(bounded_broadcast(touched, 100_000), part_col, "left_semi").select(*batch.columns)
             if version_col is None:
                 merged = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
             else:
