@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..models import linear
 from ..operators import ledger as L, metrics as MX, vectors as V
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources import providers as PV, sinks as SK
 from ..sources.tables import MONEY, ledger, line_facts, read_table
 from ..streaming import ingest as ST
@@ -40,7 +40,7 @@ def resync_batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         (F.col("spend") * F.lit(Decimal("1.1"))).cast(MONEY).alias("spend"),
         (F.col("bu_code") + 100).alias("bu_code"), "segment",
     )
-    return existing, updates
+    return existing, cut_lineage(updates)  # a resync arrives as data: land it once
 
 
 def raw_vendor_export(spark: SparkSession, d: str) -> DataFrame:

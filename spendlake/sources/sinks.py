@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
 from ..operators.ledger import LEDGER_KEY, upsert
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 
 LEDGER_TABLE_COLUMNS = ("dataset_id", "date", "spend", "account_name", "service_name", "bu_code", "segment")
 PARTITIONS = ("dataset_id", "month")
@@ -60,7 +60,7 @@ def merge_into_ledger(spark: SparkSession, path: str, updates: DataFrame, keys:
     Only (dataset_id, month) partitions present in the batch are read and rewritten. The touched
     partition list is a distinct over the batch (bounded by datasets x months in the batch).
     """
-    upd = with_month(updates)
+    upd = cut_lineage(with_month(updates))  # the batch is read three times below
     touched = upd.select(*PARTITIONS).distinct()
     if _exists(spark, path):
         current = spark.read.parquet(path).join(bounded_broadcast(touched, 100_000), list(PARTITIONS), "left_semi")
