@@ -203,6 +203,18 @@ def q_stream_replay_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+def q_stream_monthly_spend(spark: SparkSession, d: str) -> DataFrame:
+    """R3 months: the streaming daily spend rolled up to calendar months inside foreachBatch."""
+    landing = shared_path(spark, "events-landing-m")
+    ST.land_in_order(read_table(spark, d, "events"), "ts", landing, files=8)
+    monthly = shared_path(spark, "monthly-spend")
+    ST.run_daily_spend(
+        spark, landing, spark.read.parquet(landing).schema, shared_path(spark, "daily-spend-m"),
+        shared_path(spark, "daily-spend-m-ckpt"), max_files=2, monthly_sink=monthly,
+    )
+    return spark.read.parquet(monthly).select("month", "event_type", "spend", "events")
+
+
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     landing = shared_path(spark, "billing-landing")
     ST.land_syncs(squashed(spark, d), landing)
@@ -304,6 +316,9 @@ FROM embeddings e JOIN best USING (vec_id)""",
 SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
 FROM events GROUP BY 1, 2""",
     "stream_ingest": with_ledger(SQ + "\nSELECT * FROM sq"),
+    "stream_monthly_spend": """
+SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
+FROM events GROUP BY 1, 2""",
     "stream_replay_dedupe": """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
 FROM events GROUP BY 1, 2""",

@@ -99,12 +99,37 @@ def daily_spend_stream(spark: SparkSession, source_dir: str, schema, ts_col: str
     )
 
 
-def run_daily_spend(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str, key: str = "event_type", max_files: int = 1) -> DataFrame:
-    """Run R3 to completion (``availableNow``) into a keyed table and return the table."""
+def run_daily_spend(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str, key: str = "event_type", max_files: int = 1, monthly_sink: str | None = None) -> DataFrame:
+    """Run R3 to completion (``availableNow``) into a keyed daily table and return it.
+
+    With ``monthly_sink``, each batch also re-aggregates the calendar months it touched from the
+    daily table (``date_trunc``; ``window`` has no calendar months) and swaps those month
+    partitions into the monthly table, so both tables are complete after every batch.
+    """
     agg = daily_spend_stream(spark, source_dir, schema, key=key, max_files=max_files)
+    daily_writer = keyed_window_sink(sink, ["day", key], "day")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            daily_writer(batch, epoch_id)
+            if monthly_sink is not None and not batch.isEmpty():
+                months = batch.select(F.trunc("day", "month").alias("month")).distinct()
+                days = batch.sparkSession.read.parquet(sink).withColumn("month", F.trunc("day", "month"))
+                touched = days.join(bounded_broadcast(months, 100_000), "month", "left_semi")
+                roll = touched.groupBy("month", key).agg(F.sum("spend").cast(MONEY).alias("spend"), F.sum("events").alias("events"))
+                staging = shared_path(batch.sparkSession, f"month-stage-{epoch_id}")
+                roll.write.mode("overwrite").partitionBy("month").parquet(staging)
+                (
+                    batch.sparkSession.read.parquet(staging).write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(monthly_sink)
+                )
+        finally:
+            batch.unpersist()
+
     q = (
         agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(keyed_window_sink(sink, ["day", key], "day")).trigger(availableNow=True).start()
+        .foreachBatch(write).trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return spark.read.parquet(sink)
