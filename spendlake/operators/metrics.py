@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import safe_ratio
+from ..functions.money import mean_money, safe_ratio
 
 # Reporting constants.
 DAYS_PER_MONTH = 30.44  # average monthly spend from a daily forecast
@@ -54,11 +54,13 @@ def error_metrics(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str =
 
 
 def forecast_kpis(forecast: DataFrame, keys: Sequence[str], yhat: str = "yhat", daily: bool = False) -> DataFrame:
-    """Total forecast, average monthly forecast (x 30.44 for daily), period count."""
-    mult = DAYS_PER_MONTH if daily else 1.0
+    """Total forecast, average monthly forecast (x 30.44 for daily), period count; money in
+    exact DECIMAL (the mean is ``sum * factor / count`` rounded half-up to cents)."""
+    y = F.col(yhat).cast("decimal(18,2)")
+    factor = F.lit(DAYS_PER_MONTH if daily else 1).cast("decimal(6,2)")
     return forecast.groupBy(*keys).agg(
-        F.sum(yhat).cast("decimal(18,2)").alias("total_forecasted_spend"),
-        F.round(F.avg(F.col(yhat).cast("double")) * F.lit(mult), 2).alias("average_monthly_spend"),
+        F.sum(y).cast("decimal(18,2)").alias("total_forecasted_spend"),
+        (F.sum(y) * factor / F.count(y)).cast("decimal(18,2)").alias("average_monthly_spend"),
         F.count(F.lit(1)).alias("forecast_period"),
     )
 
@@ -105,6 +107,21 @@ def forecast_difference(fa: DataFrame, fb: DataFrame, keys: Sequence[str], ds_co
     return j.select(*keys, ds_col, "yhat_a", "yhat_b", F.round(diff, 4).alias("diff"), F.round(safe_ratio(diff * 100, F.col("yhat_b")), 4).alias("pct_diff"))
 
 
+def forecast_difference_summary(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A22 summary per series: each model's mean and range, mean difference and mean percent
+    difference (periods where the second model forecasts 0 have no percent difference)."""
+    pct = F.try_divide(F.col("yhat_a") - F.col("yhat_b"), F.nullif(F.col("yhat_b"), F.lit(0.0))) * 100
+    a, b = F.col("yhat_a").cast("decimal(18,2)"), F.col("yhat_b").cast("decimal(18,2)")
+    return diff.groupBy(*keys).agg(
+        mean_money(a).alias("avg_a"),
+        mean_money(b).alias("avg_b"),
+        mean_money(a - b).alias("avg_diff"),
+        F.round(F.avg(pct), 4).alias("avg_pct_diff"),
+        F.min("yhat_a").alias("min_a"), F.max("yhat_a").alias("max_a"),
+        F.min("yhat_b").alias("min_b"), F.max("yhat_b").alias("max_b"),
+    )
+
+
 def variance_facts(history: DataFrame, forecast: DataFrame, keys: Sequence[str], ds_col: str = "ds", y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Forecast total minus historical total, with the increase / decrease wording and the
     period counts (distinct historical months, forecast periods)."""

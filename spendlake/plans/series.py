@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..models import linear
 from ..operators import calendar, features as FT, ledger as L, metrics as MX
 from ..sources.tables import ledger
-from .sqltext import div_exact, ols_sql, resample_cte, with_ledger
+from .sqltext import div_exact, mean_cents, ols_sql, resample_cte, with_ledger
 
 PANEL = ["segment", "service_name"]
 H = 24
@@ -121,6 +121,12 @@ def q_forecast_difference(spark: SparkSession, d: str) -> DataFrame:
     return MX.forecast_difference(linear.ols_trend(s, PANEL, H), linear.seasonal_naive(s, PANEL, H), PANEL)
 
 
+def q_forecast_difference_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = panel(spark, d)
+    diff = MX.forecast_difference(linear.ols_trend(s, PANEL, H), linear.seasonal_naive(s, PANEL, H), PANEL)
+    return MX.forecast_difference_summary(diff, PANEL)
+
+
 def q_history_forecast_align(spark: SparkSession, d: str) -> DataFrame:
     s = panel(spark, d)
     f = MX.output_adapter(linear.ols_trend(s, PANEL, H))
@@ -178,8 +184,8 @@ def _metrics_sql(src: str, pred: str, where: str = "") -> str:
 FROM {src} WHERE {cond} GROUP BY 1, 2)"""
 
 
-KPI_SQL = """(SELECT segment, service_name, CAST(SUM(yhat) AS DECIMAL(18,2)) AS total_forecasted_spend,
-       ROUND(AVG(CAST(yhat AS DOUBLE)) * 1.0, 2) AS average_monthly_spend, COUNT(*) AS forecast_period FROM ols GROUP BY 1, 2)"""
+KPI_SQL = f"""(SELECT segment, service_name, CAST(SUM(CAST(yhat AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_forecasted_spend,
+       {mean_cents("CAST(yhat AS DECIMAL(18,2))")} AS average_monthly_spend, COUNT(*) AS forecast_period FROM ols GROUP BY 1, 2)"""
 
 ORACLE = {
     "result_filter": with_ledger(PANEL_CTE + OLS_CTE + """
@@ -269,6 +275,12 @@ SELECT o.segment, o.service_name, o.ds, CAST(o.yhat AS DOUBLE) AS yhat_a, CAST(s
        ROUND(CAST(o.yhat AS DOUBLE) - CAST(s.yhat AS DOUBLE), 4) AS diff,
        ROUND(COALESCE((CAST(o.yhat AS DOUBLE) - CAST(s.yhat AS DOUBLE)) * 100 / NULLIF(CAST(s.yhat AS DOUBLE), 0), 0.0), 4) AS pct_diff
 FROM ols o JOIN snaive s USING (segment, service_name, ds)"""),
+    "forecast_difference_summary": with_ledger(PANEL_CTE + OLS_CTE + SNAIVE_CTE + f"""
+, j AS (SELECT o.segment, o.service_name, CAST(o.yhat AS DOUBLE) AS a, CAST(s.yhat AS DOUBLE) AS b FROM ols o JOIN snaive s USING (segment, service_name, ds))
+SELECT segment, service_name, {mean_cents("CAST(a AS DECIMAL(18,2))")} AS avg_a, {mean_cents("CAST(b AS DECIMAL(18,2))")} AS avg_b,
+       {mean_cents("(CAST(a AS DECIMAL(18,2)) - CAST(b AS DECIMAL(18,2)))")} AS avg_diff,
+       ROUND(AVG((a - b) / NULLIF(b, 0)) * 100, 4) AS avg_pct_diff, MIN(a) AS min_a, MAX(a) AS max_a, MIN(b) AS min_b, MAX(b) AS max_b
+FROM j GROUP BY 1, 2"""),
     "history_forecast_align": with_ledger(PANEL_CTE + OLS_CTE + """
 , f AS (SELECT segment, service_name, ds, yhat AS predicted,
                CASE WHEN COALESCE(yhat, 0) <> 0 THEN yhat * 0.9 ELSE 0.0 END AS lo,
