@@ -4,6 +4,8 @@
   (1-100) exploded onto every series row, so (series x trial) fits run as independent groups in
   parallel; the best trial per series (lowest holdout RMSE) is refitted on the full history.
   Adaptive (TPE) sampling is not reproduced.
+* M10 (trees): seeded random search over the tree engines' space, trained on the first 85% of
+  every series and validated on the rest, candidate fits running concurrently.
 * M11 / W12: grid search with ``CrossValidator`` over time-ordered folds (``foldCol``), so
   validation never precedes training in a fold; candidate models train in parallel.
 * M14: fitted pipelines saved under the shared folder with an append-only registry; the newest
@@ -26,6 +28,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import decompose
 from .trees import FEATURES, training_frame
 
@@ -35,6 +38,8 @@ SPACE = {
     "seasonality_mode": ("additive", "multiplicative"),
     "seasonality_prior_scale": (0.01, 10.0),  # log-uniform
 }
+# The tree engines' search space (learning rate log-uniform, depth, trees, subsample).
+TREE_SPACE = {"stepSize": (1e-4, 0.3), "maxDepth": (3, 10), "maxIter": (50, 300), "subsamplingRate": (0.5, 1.0)}
 MAX_TRIALS = 100
 KEEP_MODELS = 5
 
@@ -165,6 +170,55 @@ def grid_search_gbt(series: DataFrame, keys: Sequence[str], grid: dict | None =
     return spark.createDataFrame(rows, "grid_point int, params map<string,double>, mean_rmse double, selected boolean")
 
 
+def sample_tree_trials(n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
+    if not 1 <= n <= MAX_TRIALS:
+        raise ValueError(f"trials must be in 1..{MAX_TRIALS}")
+    sp = {**TREE_SPACE, **(space or {})}
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        lo, hi = sp["stepSize"]
+        out.append(
+            {
+                "stepSize": math.exp(rng.uniform(math.log(lo), math.log(hi))),
+                "maxDepth": rng.randint(*sp["maxDepth"]),
+                "maxIter": rng.randint(*sp["maxIter"]),
+                "subsamplingRate": rng.uniform(*sp["subsamplingRate"]),
+            }
+        )
+    return out
+
+
+def random_search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, parallelism: int = 4, seed: int = 42, space: dict | None = None, train_frac: float = 0.85) -> DataFrame:
+    """M10 for the tree engines: seeded random parameter maps, each trained on the first
+    ``train_frac`` of every series and scored (RMSE) on the rest - a train/validation split by
+    time rather than ``TrainValidationSplit``'s random one. Candidate fits are submitted from
+    ``parallelism`` driver threads, as Spark ML's own tuners do, so trials train concurrently.
+    Returns one row per trial with its validation RMSE and whether it was selected."""
+    from multiprocessing.pool import ThreadPool
+
+    spark = series.sparkSession
+    frame = time_folds(training_frame(series, keys), keys, n_folds=100)
+    frame = frame.withColumn("__is_val", F.col("fold") >= F.lit(int(round(train_frac * 100))))
+    frame = StringIndexer(inputCol="series_key", outputCol="series_idx_nom", handleInvalid="keep").fit(frame).transform(frame)
+    frame = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame.withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0)))
+    frame = cut_lineage(frame)  # every trial reads it
+    train, val = frame.where(~F.col("__is_val")), frame.where(F.col("__is_val"))
+    gbt = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
+    ev = RegressionEvaluator(labelCol="y", metricName="rmse")
+    trials = sample_tree_trials(n_trials, seed, space)
+
+    def run(i: int) -> tuple[int, float]:
+        model = gbt.fit(train, {getattr(gbt, k): v for k, v in trials[i].items()})
+        return i, float(ev.evaluate(model.transform(val)))
+
+    with ThreadPool(max(1, min(parallelism, len(trials)))) as pool:
+        scores = dict(pool.map(run, range(len(trials))))
+    best = min(scores, key=scores.get)
+    rows = [(i, {k: float(v) for k, v in t.items()}, scores[i], i == best) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, params map<string,double>, val_rmse double, selected boolean")
+
+
 # ----------------------------------------------------------------------------- M14
 def save_model(spark: SparkSession, model: PipelineModel, family: str, registry_path: str, models_root: str, seq: int) -> str:
     """Save a fitted pipeline and append a registry row (family, seq, path)."""

@@ -274,3 +274,13 @@ def test_engine_rejects_unknown_model_and_params(spark):
         run_forecast(df, model_name="xgboost", hyperparameters={"depth": 4})
     with pytest.raises(ValueError):
         run_forecast(df, model_name="prophet", hyperparameters=[1, 2])
+
+
+def test_random_search_trees_small_space(spark):
+    from spendlake.models import tuning
+
+    data = [(k, D(2015 + t // 12, t % 12 + 1, 1), Decimal(100 + 3 * t + (7 if k == "b" else 0))) for k in ("a", "b") for t in range(40)]
+    df = spark.createDataFrame(data, "k string, ds date, y decimal(18,2)")
+    out = tuning.random_search_gbt(df, ["k"], n_trials=2, parallelism=2, space={"maxIter": (3, 5), "maxDepth": (2, 3)}).collect()
+    assert len(out) == 2 and sum(r["selected"] for r in out) == 1
+    assert all(r["val_rmse"] >= 0 and 3 <= r["params"]["maxIter"] <= 5 for r in out)
