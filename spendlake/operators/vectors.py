@@ -70,3 +70,20 @@ def match_to_anchors(df: DataFrame, vec_col: str, anchors: DataFrame, label_col:
         F.round("__best", 4).alias("confidence"),
         F.when(hit, F.lit("mapped")).otherwise(F.lit("unmapped")).alias("status"),
     )
+
+
+def first_claim(matches: DataFrame, order_col: str, target_col: str = "mapped_to") -> DataFrame:
+    """S3 assignment rule: a target can be claimed once; among rows mapped to the same target the
+    first in ``order_col`` order keeps it and the others become ``unmapped``.
+
+    The first claimant per target is a ``min`` aggregation (combined map-side, so a target
+    claimed by a third of all rows costs one row per partition), joined back on (target, order).
+    """
+    firsts = matches.where(F.col(target_col).isNotNull()).groupBy(target_col).agg(F.min(order_col).alias("__first"))
+    j = matches.join(firsts, target_col, "left")
+    keep = F.col(target_col).isNotNull() & (F.col(order_col) == F.col("__first"))
+    return j.select(
+        *[c for c in matches.columns if c not in (target_col, "status")],
+        F.when(keep, F.col(target_col)).alias(target_col),
+        F.when(keep, F.lit("mapped")).otherwise(F.lit("unmapped")).alias("status"),
+    )

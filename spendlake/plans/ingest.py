@@ -176,6 +176,13 @@ def q_vector_match(spark: SparkSession, d: str) -> DataFrame:
     return V.match_to_anchors(emb, "embedding", anchors, "label", threshold=0.65)
 
 
+def q_vector_assign(spark: SparkSession, d: str) -> DataFrame:
+    """S3 with the assignment rule: each anchor is kept by its first claimant in vec_id order."""
+    emb = read_table(spark, d, "embeddings")
+    m = V.match_to_anchors(emb, "embedding", V.centroids(emb, "embedding", "label"), "label", threshold=0.65)
+    return V.first_claim(m, "vec_id")
+
+
 def q_stream_daily_spend(spark: SparkSession, d: str) -> DataFrame:
     landing = shared_path(spark, "events-landing")
     ST.land_in_order(read_table(spark, d, "events"), "ts", landing, files=8)
@@ -312,6 +319,20 @@ WITH cells AS (SELECT vec_id, label, UNNEST(embedding) AS v, UNNEST(range(len(em
 SELECT e.vec_id, e.label, CASE WHEN s >= 0.65 THEN a END AS mapped_to, ROUND(s, 4) AS confidence,
        CASE WHEN s >= 0.65 THEN 'mapped' ELSE 'unmapped' END AS status
 FROM embeddings e JOIN best USING (vec_id)""",
+    "vector_assign": """
+WITH cells AS (SELECT vec_id, label, UNNEST(embedding) AS v, UNNEST(range(len(embedding))) AS pos FROM embeddings)
+, cen AS (SELECT label AS anchor, pos, AVG(CAST(v AS DOUBLE)) AS c FROM cells GROUP BY 1, 2)
+, cn AS (SELECT anchor, sqrt(SUM(c * c)) AS nc FROM cen GROUP BY 1)
+, vn AS (SELECT vec_id, sqrt(SUM(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) AS nv FROM cells GROUP BY 1)
+, dots AS (SELECT x.vec_id, cen.anchor, SUM(CAST(x.v AS DOUBLE) * cen.c) AS d FROM cells x JOIN cen ON x.pos = cen.pos GROUP BY 1, 2)
+, sc AS (SELECT dots.vec_id, dots.anchor, d / NULLIF(nv * nc, 0) AS s FROM dots JOIN vn USING (vec_id) JOIN cn USING (anchor))
+, best AS (SELECT vec_id, arg_max(anchor, s) AS a, MAX(s) AS s FROM sc GROUP BY 1)
+
+, m AS (SELECT e.vec_id, e.label, CASE WHEN s >= 0.65 THEN a END AS mapped_to, ROUND(s, 4) AS confidence FROM embeddings e JOIN best USING (vec_id))
+, f AS (SELECT mapped_to, MIN(vec_id) AS first_id FROM m WHERE mapped_to IS NOT NULL GROUP BY 1)
+SELECT m.vec_id, m.label, m.confidence, CASE WHEN m.vec_id = f.first_id THEN m.mapped_to END AS mapped_to,
+       CASE WHEN m.vec_id = f.first_id THEN 'mapped' ELSE 'unmapped' END AS status
+FROM m LEFT JOIN f USING (mapped_to)""",
     "stream_daily_spend": """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
 FROM events GROUP BY 1, 2""",
