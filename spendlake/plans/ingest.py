@@ -224,7 +224,8 @@ def q_stream_monthly_spend(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     landing = shared_path(spark, "billing-landing")
-    ST.land_syncs(squashed(spark, d), landing)
+    rng = ledger(spark, d).agg(F.min("date"), F.max("date")).first()
+    ST.land_syncs(squashed(spark, d), landing, date_range=(rng[0], rng[1]))
     schema = spark.read.parquet(landing).schema
     out = ST.ledger_ingest_stream(spark, landing, schema, shared_path(spark, "ledger-stream"), shared_path(spark, "ledger-stream-ckpt"))
     return out.select("date", "service_name", "account_name", "spend", "bu_code", "segment")

@@ -67,11 +67,13 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
     return write
 
 
-def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts: bool = False) -> None:
+def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts: bool = False, bounds: tuple | None = None) -> None:
     """Fixture: land rows as ``files`` files in event-time order, one append per time slice, so
     the file source (which orders by modification time) sees them arrive in order. The slice
     bounds are two scalars (min, max) from one aggregation."""
-    lo, hi = df.agg(F.min(F.col(ts_col).cast("timestamp")).alias("lo"), F.max(F.col(ts_col).cast("timestamp")).alias("hi")).first()
+    if bounds is None:
+        bounds = df.agg(F.min(F.col(ts_col).cast("timestamp")).alias("lo"), F.max(F.col(ts_col).cast("timestamp")).alias("hi")).first()
+    lo, hi = bounds
     sec = F.unix_micros(F.col(ts_col).cast("timestamp"))
     span = max(int((hi - lo).total_seconds() * 1e6), 1)
     sliced = df.withColumn("__slice", F.least(F.floor((sec - F.unix_micros(F.lit(lo).cast("timestamp"))) * files / F.lit(span)), F.lit(files - 1)))
@@ -170,7 +172,7 @@ def drop_replays(stream: DataFrame, ts_col: str, keys: Sequence[str], horizon: s
     return stream.withWatermark(ts_col, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, files: int = 8) -> None:
+def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, files: int = 8, date_range: tuple | None = None) -> None:
     """Fixture: deliver squashed ledger rows as periodic syncs; each sync also re-sends the
     ``overlap_days`` before its period (the provider revision window). Written as ``files``
     time-ordered files so the stream sees them arrive in order."""
@@ -180,7 +182,16 @@ def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_
     in_overlap = F.datediff("date", F.lit("1970-01-01")) >= nxt_start - overlap_days
     syncs = F.when(in_overlap, F.array(base, base + 1)).otherwise(F.array(base))
     landed = ledger_rows.withColumn("sync_id", F.explode(syncs))
-    land_in_order(landed.withColumn("__ts", (F.col("sync_id") * 86400 * period_days).cast("timestamp")), "__ts", path, files, drop_ts=True)
+    bounds = None
+    if date_range is not None:  # sync ids follow from the dates: no pass over the rows needed
+        import datetime as _dt
+
+        epoch = _dt.date(1970, 1, 1)
+        first = (date_range[0] - epoch).days // period_days
+        last = (date_range[1] - epoch).days // period_days + 1
+        to_ts = lambda k: _dt.datetime(1970, 1, 1) + _dt.timedelta(days=k * period_days)
+        bounds = (to_ts(first), to_ts(last))
+    land_in_order(landed.withColumn("__ts", (F.col("sync_id") * 86400 * period_days).cast("timestamp")), "__ts", path, files, drop_ts=True, bounds=bounds)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
