@@ -302,3 +302,13 @@ def test_stream_ingest_versioned_sink_out_of_order_and_replay(spark):
     out = ST.ledger_ingest_stream(spark, landing, spark.read.parquet(landing).schema, shared_path(spark, "t-sink"), shared_path(spark, "t-ckpt"), max_files=1)
     got = {r["date"]: r["spend"] for r in out.collect()}
     assert got == {D(2020, 1, 4): Decimal("7.00"), D(2020, 1, 5): Decimal("12.00"), D(2020, 1, 6): Decimal("3.00")}
+
+
+def test_quantile_methods_agree(spark):
+    vals = [Decimal(str(x)) for x in np.random.default_rng(3).integers(1, 5000, 301) / 100]
+    df = spark.createDataFrame([(D(2021, 1 + i % 3, 1), v) for i, v in enumerate(vals)], "date date, spend decimal(14,2)")
+    dist = {r["month"]: r["median_spend"] for r in P.monthly_profile(df).collect()}
+    built = {r["month"]: r["median_spend"] for r in P.monthly_profile(df, method="builtin").collect()}
+    approx = {r["month"]: r["median_spend"] for r in P.monthly_profile(df, method="approx").collect()}
+    assert dist == built
+    assert all(abs(approx[m] - dist[m]) <= 50 for m in dist)  # GK sketch: a nearby sample value
