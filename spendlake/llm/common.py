@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def unique_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet."""
     return stem if stem not in df.columns else f"{stem}_{uuid.uuid4().hex[:8]}"
+
+
+def sum_vectors(df: DataFrame, keys: list[str], vec: str = "vec", dtype: str = "<f8") -> DataFrame:
+    """Element-wise sum of equally long binary vectors by ``keys``: one row per key.
+
+    A group has one vector per task that made it, so its size follows the number of tasks, not rows.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(vec):
+                v = np.frombuffer(x.as_buffer(), dtype)
+                total = v.copy() if total is None else total + v
+        cols = [pa.array([k.as_py()], k.type) for k in key]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([total.tobytes()], pa.binary())], names=[*keys, vec])
+
+    return df.groupBy(*keys).applyInArrow(add, f"{fields}, `{vec}` binary")
