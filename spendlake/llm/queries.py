@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, chat_format, langid, line_dedup, quality_rules, token_counts
+from . import bpe, chat_format, langid, line_dedup, quality_classifier, quality_rules, token_counts
 from .common import fold, table
 
 
@@ -74,6 +74,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id") == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id") != 0).select("doc_id", "quality")
+    model, rows = quality_classifier.train(docs.withColumn("learn", ~F.col("held_out")), labels)
+    return quality_classifier.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_langid": op4_langid,
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {
