@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, chat_format, langid, line_dedup, quality_classifier, quality_rules, token_counts
+from . import bpe, chat_format, decontaminate, langid, line_dedup, quality_classifier, quality_rules, token_counts
 from .common import fold, table
 
 
@@ -25,6 +25,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", *decontaminate.sentences())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.annotate(docs, items).select("doc_id", F.explode("leaks").alias("leak"))
+    return out.select("doc_id", "leak.*")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id") == 0).alias("held_out"))
     model = langid.train(docs.where("not held_out"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,6 +90,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
