@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, chat_format, decontaminate, langid, line_dedup, quality_classifier, quality_rules, token_counts
+from . import bpe, chat_format, decontaminate, langid, license_scan, line_dedup, quality_classifier, quality_rules, token_counts
 from .common import fold, table
 
 
@@ -75,6 +75,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document is file N of directory source/(id div 400)/(id div 20), and
+    every file whose id is divisible by 20 is that directory's LICENSE, by 400 also that of the one above."""
+    n = F.col("doc_id")
+    name = F.when(n % 20 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    steps = [F.coalesce("source", F.lit("unknown")), F.floor(n / 400).cast("string"), F.when(n % 400 != 0, F.floor(n / 20).cast("string")), name]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", *steps).alias("path"))
+    return license_scan.scan(docs)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_chars=40, min_docs=5))
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
