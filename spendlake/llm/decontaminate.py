@@ -102,7 +102,9 @@ class Index:
         chunks = text.split()
         if len(self.cache) > self.cache_size:
             self.cache.clear()
-        for c in set(chunks) - self.cache.keys():
+        for c in set(chunks):
+            if c in self.cache:
+                continue
             ids = [self.vocab.get(w, -1) for w in words(c)]
             self.cache[c] = ids[0] if len(ids) == 1 else ids
         found = [self.cache[c] for c in chunks]
