@@ -270,16 +270,22 @@ def _expected_pieces(words: DataFrame, state) -> DataFrame:
 
 
 def predict(
-    docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score"
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    lang_out: str = "lang_pred",
+    score_out: str = "score",
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``docs`` without its text, plus the predicted language and its posterior probability.
+    """``docs`` without its text (unless ``keep_text``), plus the predicted language and its posterior probability.
 
     ``und`` with score 0 where the text is null or has no letter. Every row gets a prediction from its
     text alone; columns named like the outputs are replaced, others pass through. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in (text_col, lang_out, score_out)]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col))
+    left_out = (lang_out, score_out) if keep_text else (text_col, lang_out, score_out)
+    keep = [c for c in docs.columns if c not in left_out]
+    docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
     fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import shared_path
-from . import bpe, chat_format, decontaminate, langid, license_scan, line_dedup, quality_classifier, quality_rules, token_counts
+from . import bpe, chat_format, decontaminate, langid, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts
 from .common import fold, table
 
 
@@ -25,6 +27,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", *decontaminate.sentences())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +106,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op5_chat_format": op5_chat_format,
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
@@ -173,3 +181,5 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
