@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM", "MM/dd/yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss")
 
 
-def parse_date_any(c: Column) -> Column:
-    """DATE from a date, a timestamp, or text in one of ``DATE_FORMATS``; null if none parse."""
+def parse_date_any(c: Column, kind: str = "string") -> Column:
+    """DATE from a date, a timestamp, or text in one of ``DATE_FORMATS`` or any ISO form (``T``,
+    fractions of a second, zone); null if none parse. ``kind`` is the column's type name: dates and
+    timestamps are cast without a way through text."""
+    if kind.startswith(("date", "timestamp")):
+        return c.cast("date")
     s = F.trim(c.cast("string"))
     tries = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries, F.expr("try_cast(NULL AS timestamp)")).cast("date")
+    return F.coalesce(*tries, s.try_cast("timestamp")).cast("date")
 
 
 def weekday_mon0(c: Column) -> Column:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..operators.calendar import attach_holidays
 from ..operators.features import backtest_cutoffs, backtest_rows
 
@@ -197,6 +198,6 @@ def backtest_metrics(series: DataFrame, keys: Sequence[str], granularity: str =
     bt = backtest(series, keys, granularity=granularity, params=params, **kw)
     m = error_metrics(bt, keys, "y", "yhat")
     everyone = series.select(*keys).distinct()
-    return everyone.join(m, list(keys), "left").withColumn(
+    return null_safe_join(everyone, m, keys, "left").withColumn(
         "reason", F.when(F.col("n").isNull(), F.lit("insufficient history for a backtest"))
     )

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.sizing import bounded_broadcast
 from ..operators.features import GROUP_LAGS, add_lags, add_rolling_means, tail_features
 from ..operators.ledger import DEFAULT_LEVEL
@@ -111,7 +112,7 @@ def flat_horizon(frame: DataFrame, cat_cols: Sequence[str], horizon: int = 24, k
     model = fit_regressor(frame, cat_cols, kind)
     tails = tail_features(frame.select(*cat_cols, "month", "spend"), cat_cols, "month", "spend").drop("n_periods")
     last = frame.groupBy(*cat_cols).agg(F.max("month").alias("__last"))
-    fut = last.join(tails, list(cat_cols)).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    fut = null_safe_join(last, tails, cat_cols).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     fut = fut.withColumn("month", F.add_months("__last", F.col("h"))).withColumns(
         {"year": F.year("month").cast("double"), "month_num": F.month("month").cast("double"), "spend": F.lit(0.0)}
     ).withColumns({c: F.col(c).cast("double") for c in [*LAG_COLS, *ROLL]})

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_periods
+from ..functions.joins import null_safe_join
 from ..operators.features import month_index
 
 
@@ -98,7 +99,7 @@ def ols_fitted(series: DataFrame, keys: Sequence[str], ds_col: str = "ds", value
     """In-sample fitted values of the trend, rounded to cents (``keys, ds, y, yhat``)."""
     money = _is_money(series, value)
     fit = ols_fit(series, keys, ds_col, value, granularity)
-    j = _with_prediction(series.select(*keys, ds_col, value).join(fit, list(keys)), _t(ds_col, granularity), money)
+    j = _with_prediction(null_safe_join(series.select(*keys, ds_col, value), fit, keys), _t(ds_col, granularity), money)
     yhat = F.col("yhat") if money else F.round("yhat", 2).cast("decimal(18,2)")
     return j.select(*keys, ds_col, value, yhat.alias("yhat"))
 
@@ -111,7 +112,7 @@ def seasonal_naive(series: DataFrame, keys: Sequence[str], horizon: int = 24, se
         "src_ds", add_periods(F.col("ds"), -F.lit(season) * F.ceil(F.col("h") / F.lit(season)), granularity)
     )
     hist = series.select(*keys, F.col(ds_col).alias("src_ds"), F.col(value).alias("src_y"))
-    j = fut.join(hist, [*keys, "src_ds"], "left")
+    j = null_safe_join(fut, hist, [*keys, "src_ds"], "left")
     return j.select(*keys, "ds", F.coalesce("src_y", "last_y").cast("decimal(18,2)").alias("yhat"))
 
 

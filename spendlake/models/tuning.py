@@ -28,6 +28,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..session import cut_lineage
 from . import decompose
 from .trees import FEATURES, training_frame
@@ -121,7 +122,7 @@ def tuned_forecast(series: DataFrame, keys: Sequence[str], n_trials: int = 20, h
     """M10 end to end: tune per series, then refit each series with its own best parameters."""
     best = tune_decompose(series, keys, n_trials, granularity=granularity, seed=seed)
     daily = granularity.lower() in ("day", "daily", "d")
-    rows = series.select(*keys, "ds", F.col("y").cast("double").alias("y")).join(best, list(keys))
+    rows = null_safe_join(series.select(*keys, "ds", F.col("y").cast("double").alias("y")), best, keys)
     key_types = {f.name: f.dataType.simpleString() for f in series.schema.fields if f.name in keys}
     schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["ds date", "yhat double", "yhat_lower double", "yhat_upper double", "trial int"])
 
@@ -243,15 +244,24 @@ def load_newest(spark: SparkSession, registry_path: str, family: str) -> Pipelin
 
 # ----------------------------------------------------------------------------- M13
 def inverse_rmse_ensemble(forecasts: dict[str, DataFrame], metrics: dict[str, DataFrame], keys: Sequence[str], ds_col: str = "ds") -> DataFrame:
-    """Per series, weight each model's forecast by 1 / RMSE (normalised); a model without a
-    positive RMSE for a series gets weight 0 there."""
+    """Per series, weight each model's forecast by 1 / RMSE (normalised). A model without an RMSE
+    for a series gets weight 0 there; models with an RMSE of 0 share the whole weight. Without any
+    weight the ensemble is null."""
     names = list(forecasts)
     f = None
     for n in names:
-        part = forecasts[n].select(*keys, ds_col, F.col("yhat").cast("double").alias(f"yhat_{n}")).join(
-            metrics[n].select(*keys, F.when(F.col("rmse") > 0, 1.0 / F.col("rmse").cast("double")).otherwise(0.0).alias(f"w_{n}")), list(keys)
+        rmse = F.col("rmse").cast("double")
+        part = null_safe_join(
+            forecasts[n].select(*keys, ds_col, F.col("yhat").cast("double").alias(f"yhat_{n}")),
+            metrics[n].select(*keys, F.coalesce(F.when(rmse >= 0, rmse == 0), F.lit(False)).alias(f"p_{n}"), F.coalesce(F.when(rmse > 0, 1.0 / rmse), F.lit(0.0)).alias(f"w_{n}")),
+            keys,
         )
-        f = part if f is None else f.join(part, [*keys, ds_col])
+        f = part if f is None else null_safe_join(f, part, [*keys, ds_col])
+    # one or more perfect models share the whole weight
+    perfect = F.greatest(*[F.col(f"p_{n}") for n in names]) if len(names) > 1 else F.col(f"p_{names[0]}")
+    f = f.withColumn("__perfect", perfect)
+    for n in names:
+        f = f.withColumn(f"w_{n}", F.when(F.col("__perfect"), F.col(f"p_{n}").cast("double")).otherwise(F.col(f"w_{n}")))
     wsum = sum((F.col(f"w_{n}") for n in names[1:]), F.col(f"w_{names[0]}"))
     num = sum((F.col(f"w_{n}") * F.col(f"yhat_{n}") for n in names[1:]), F.col(f"w_{names[0]}") * F.col(f"yhat_{names[0]}"))
-    return f.select(*keys, ds_col, F.round(F.when(wsum > 0, num / wsum), 2).alias("yhat"), *[F.round(F.col(f"w_{n}") / wsum, 6).alias(f"weight_{n}") for n in names])
+    return f.select(*keys, ds_col, F.round(F.try_divide(num, wsum), 2).alias("yhat"), *[F.round(F.try_divide(F.col(f"w_{n}"), wsum), 6).alias(f"weight_{n}") for n in names])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_parts
+from ..functions.joins import null_safe_join
 
 # Lag offsets and rolling widths of the legacy feature set.
 GROUP_LAGS = (1, 2, 3, 6, 12)
@@ -124,7 +125,7 @@ def backtest_rows(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], ds
     """Each series row tagged with every cutoff it belongs to as train (ds <= cutoff) or test
     (cutoff < ds <= cutoff + horizon). Equi-join on the series key; cutoffs per key are bounded by
     span / period, so each row fans out to at most that many folds."""
-    j = series.join(cutoffs, list(keys))
+    j = null_safe_join(series, cutoffs, keys)
     role = F.when(F.col(ds_col) <= F.col("cutoff"), "train").when(F.col(ds_col) <= F.date_add("cutoff", horizon_days), "test")
     return j.withColumn("role", role).where(F.col("role").isNotNull())
 

@@ -107,11 +107,13 @@ def coerce_spend(c: Column | str) -> Column:
     return F.coalesce(F.trim(c.cast("string")).try_cast(RAW_MONEY), F.lit(0).cast(RAW_MONEY))
 
 
-def normalise_raw(df: DataFrame) -> DataFrame:
+def normalise_raw(df: DataFrame, bad_dates: str = "raise") -> DataFrame:
     """P5-P8 + P11 on a canonicalised raw frame.
 
     * time column: first of date / month / Month / ds becomes ``date``; parsed from ISO day,
-      ``yyyy-MM``, ``MM/dd/yyyy`` or a timestamp; rows whose date stays null are dropped (P7)
+      ``yyyy-MM``, ``MM/dd/yyyy`` or a timestamp; rows without a date are dropped (P7). A date that is
+      there but does not parse fails the job (``bad_dates="raise"``) or drops the row (``"drop"``, for
+      callers that divert such rows with ``bad_date_rows`` first)
     * spend: unparseable -> 0 (P6)
     * serviceName / accountName: null or missing -> ``Unallocated`` (P5)
     * buCode / segment carried only when present (P11); ``estimate`` dropped (P8)
@@ -125,19 +127,39 @@ def normalise_raw(df: DataFrame) -> DataFrame:
     if time_col != "date":
         out = out.withColumnRenamed(time_col, "date")
     cols = {
-        "date": parse_date_any(F.col("date")),
+        "date": _checked_date(out, "date", bad_dates),
         "spend": coerce_spend("spend"),
         "service_name": null_label(F.col("serviceName")) if "serviceName" in df.columns else F.lit(UNALLOCATED),
         "account_name": null_label(F.col("accountName")) if "accountName" in df.columns else F.lit(UNALLOCATED),
     }
     if "buCode" in df.columns:
-        cols["bu_code"] = F.col("buCode").cast("string").try_cast("int")
+        # a code that went through a float column reads 7.0; one with a real fraction is no code
+        code = F.trim(F.col("buCode").cast("string")).try_cast("decimal(20,6)")
+        cols["bu_code"] = F.when(code == F.floor(code), code).try_cast("int")
     if "segment" in df.columns:
         cols["segment"] = F.col("segment").cast("string")
     keep = [c for c in out.columns if c not in {"date", "spend", "serviceName", "accountName", "buCode", "segment"}]
     return out.select(*[e.alias(k) for k, e in cols.items()], *keep).where(F.col("date").isNotNull())
 
 
+def _checked_date(df: DataFrame, name: str, bad_dates: str) -> Column:
+    if bad_dates not in ("raise", "drop"):
+        raise ValueError(f"bad_dates is raise or drop, not {bad_dates}")
+    raw = F.col(name)
+    parsed = parse_date_any(raw, dict(df.dtypes)[name])
+    if bad_dates == "drop":
+        return parsed
+    text = F.trim(raw.cast("string"))
+    message = F.concat(F.lit("date does not parse: "), text)
+    return F.when(parsed.isNull() & (text != ""), F.raise_error(message).cast("date")).otherwise(parsed)
+
+
+def bad_date_rows(df: DataFrame, date_col: str = "date") -> DataFrame:
+    """The raw rows whose date is there but does not parse, to be kept aside."""
+    text = F.trim(F.col(date_col).cast("string"))
+    return df.where((text != "") & parse_date_any(F.col(date_col), dict(df.dtypes)[date_col]).isNull())
+
+
 def quality_report(df: DataFrame, date_col: str = "date", spend_col: str = "spend") -> DataFrame:
     """S4 re-aimed: one pass that counts rows breaking each ingest rule (no per-rule jobs)."""
     raw_spend = F.col(spend_col).cast("string")
@@ -236,12 +258,16 @@ def append(ledger: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
-    """U3 re-aimed at rows: multiset difference both ways, tagged with the side it came from."""
+    """U3 re-aimed at rows: multiset difference both ways, tagged with the side it came from.
+
+    One union with +1 / -1 and one grouped sum: each side is evaluated once.
+    """
     cols = [c for c in left.columns if c in right.columns]
-    l, r = left.select(*cols), right.select(*cols)
-    return l.exceptAll(r).withColumn("side", F.lit("left_only")).unionByName(
-        r.exceptAll(l).withColumn("side", F.lit("right_only"))
-    )
+    both = left.select(*cols, F.lit(1).alias("__n")).unionByName(right.select(*cols, F.lit(-1).alias("__n")))
+    surplus = both.groupBy(*cols).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, "left_only").otherwise("right_only")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n")))
+    return surplus.select(*cols, side.alias("side"), times.alias("__i")).drop("__i")
 
 
 def dimension_filter(df: DataFrame, **filters) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.money import mean_money, safe_ratio
 
 # Reporting constants.
@@ -67,12 +68,12 @@ def forecast_kpis(forecast: DataFrame, keys: Sequence[str], yhat: str = "yhat",
 
 def dashboard_kpis(kpis: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """budget = 1.2 x total, spend share of budget, accuracy = max(0, 100 - 100 mape),
-    8-segment gauges by floor."""
-    j = kpis.join(metrics.select(*keys, "mape"), list(keys), "left")
+    8-segment gauges by floor. Without a MAPE the accuracy is null, not 100%."""
+    j = null_safe_join(kpis, metrics.select(*keys, "mape"), keys, "left")
     total = F.coalesce(F.col("total_forecasted_spend").cast("double"), F.lit(0.0))
     budget = total * F.lit(BUDGET_FACTOR)
     pct = F.when(budget > 0, total / budget * 100).otherwise(F.lit(0.0))
-    acc = F.greatest(F.lit(0.0), F.lit(100.0) - F.coalesce(F.col("mape"), F.lit(0.0)) * 100)
+    acc = F.when(F.col("mape").isNotNull(), F.greatest(F.lit(0.0), F.lit(100.0) - F.col("mape") * 100))
     return j.select(
         *keys,
         F.round(budget, 2).alias("budget"),
@@ -86,8 +87,10 @@ def dashboard_kpis(kpis: DataFrame, metrics: DataFrame, keys: Sequence[str]) ->
 def model_comparison(metrics_a: DataFrame, metrics_b: DataFrame, keys: Sequence[str], name_a: str = "model_a", name_b: str = "model_b") -> DataFrame:
     """Per series and metric, the winner: lower rmse / mae, higher r2; ties go to the second
     model. Metrics are stacked with ``stack`` (no join per metric)."""
-    j = metrics_a.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in ("rmse", "mae", "r2")]).join(
-        metrics_b.select(*keys, *[F.col(m).cast("double").alias(f"b_{m}") for m in ("rmse", "mae", "r2")]), list(keys)
+    j = null_safe_join(
+        metrics_a.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in ("rmse", "mae", "r2")]),
+        metrics_b.select(*keys, *[F.col(m).cast("double").alias(f"b_{m}") for m in ("rmse", "mae", "r2")]),
+        keys,
     )
     long = j.select(
         *keys,
@@ -100,8 +103,10 @@ def model_comparison(metrics_a: DataFrame, metrics_b: DataFrame, keys: Sequence[
 def forecast_difference(fa: DataFrame, fb: DataFrame, keys: Sequence[str], ds_col: str = "ds", yhat: str = "yhat") -> DataFrame:
     """Per period difference and percent difference against the second model (0 if its
     forecast is 0)."""
-    j = fa.select(*keys, ds_col, F.col(yhat).cast("double").alias("yhat_a")).join(
-        fb.select(*keys, ds_col, F.col(yhat).cast("double").alias("yhat_b")), [*keys, ds_col]
+    j = null_safe_join(
+        fa.select(*keys, ds_col, F.col(yhat).cast("double").alias("yhat_a")),
+        fb.select(*keys, ds_col, F.col(yhat).cast("double").alias("yhat_b")),
+        [*keys, ds_col],
     )
     diff = F.col("yhat_a") - F.col("yhat_b")
     return j.select(*keys, ds_col, "yhat_a", "yhat_b", F.round(diff, 4).alias("diff"), F.round(safe_ratio(diff * 100, F.col("yhat_b")), 4).alias("pct_diff"))
@@ -127,7 +132,7 @@ def variance_facts(history: DataFrame, forecast: DataFrame, keys: Sequence[str],
     period counts (distinct historical months, forecast periods)."""
     h = history.groupBy(*keys).agg(F.sum(y).cast("decimal(18,2)").alias("historical_total"), F.countDistinct(F.trunc(ds_col, "month")).alias("historical_months"))
     f = forecast.groupBy(*keys).agg(F.sum(F.col(yhat).cast("decimal(18,2)")).cast("decimal(18,2)").alias("forecast_total"), F.count(F.lit(1)).alias("forecast_periods"))
-    j = h.join(f, list(keys))
+    j = null_safe_join(h, f, keys)
     var = (F.col("forecast_total") - F.col("historical_total")).cast("decimal(18,2)")
     word = F.when(var > 0, F.lit("an increase of $")).otherwise(F.lit("a decrease of $"))
     return j.select(*keys, "historical_total", "forecast_total", var.alias("variance"), F.concat(word, F.format_number(F.abs(var), 2)).alias("trend"), "historical_months", "forecast_periods")
@@ -170,7 +175,7 @@ def align_history_forecast(history: DataFrame, forecast: DataFrame, keys: Sequen
     f = forecast.where(F.col(ds_col).isNotNull() & (F.coalesce(F.col("yhat").cast("double"), F.lit(0.0)) != 0)).select(
         *keys, ds_col, F.col("yhat").cast("double").alias("predicted"), F.col("yhat_lower").cast("double").alias("lo"), F.col("yhat_upper").cast("double").alias("hi")
     )
-    j = h.join(f, [*keys, ds_col], "full_outer")
+    j = null_safe_join(h, f, [*keys, ds_col], "full_outer")
     band = F.col("__h").isNull() & (F.coalesce(F.col("lo"), F.lit(0.0)) != 0)
     return j.select(
         *keys, ds_col, "actual", "predicted",

@@ -101,11 +101,12 @@ def cumulative_spend(df: DataFrame, date_col: str = "date", value: str = "spend"
 
 
 def growth_rate(df: DataFrame, date_col: str = "date", value: str = "spend") -> DataFrame:
-    """Month-over-month change in percent; the first month (no predecessor) is dropped."""
+    """Month-over-month change in percent; the first month (no predecessor) is dropped, and the
+    rate after a month with a total of 0 is null."""
     m = monthly_totals(df, date_col, value)
     prev = F.lag("total_spend").over(Window.orderBy("month"))
     out = m.withColumn("prev_total", prev).where(F.col("prev_total").isNotNull())
-    rate = (F.col("total_spend") / F.col("prev_total") - F.lit(1)) * F.lit(100)
+    rate = (F.try_divide(F.col("total_spend"), F.col("prev_total")) - F.lit(1)) * F.lit(100)
     return out.select("month", "total_spend", F.round(rate.cast("double"), 6).alias("growth_rate"))
 
 
@@ -201,6 +202,43 @@ def month_region_matrix(df: DataFrame, dim: str = "region") -> DataFrame:
     return pivot_matrix(df, _month(), dim).withColumnRenamed("__row", "month")
 
 
+def long_matrix(df: DataFrame, row: Column | str, col: Column | str, value: str = "spend") -> DataFrame:
+    """A9-A11 in long form: ``(row, col, spend)``, zero-filled over the rows and columns that occur.
+
+    Any number of columns works: nothing is discovered on the driver. Cells are aggregated first; the
+    missing ones come from pairing the distinct rows with the distinct columns, both a report's axes
+    (months, and a bounded top list or the regions).
+    """
+    row_c = F.col(row) if isinstance(row, str) else row
+    col_c = F.col(col) if isinstance(col, str) else col
+    cells = df.groupBy(row_c.alias("row"), col_c.alias("col")).agg(F.sum(value).alias("spend"))
+    axis = cells.agg(F.collect_set("col").alias("cols"), F.collect_set("row").alias("rows"))
+    zeros = axis.select(F.explode("rows").alias("row"), "cols").select("row", F.explode("cols").alias("col"), F.lit(0).alias("spend"))
+    return cells.unionByName(zeros).groupBy("row", "col").agg(F.sum("spend").cast(MONEY).alias("spend"))
+
+
+def service_month_cells(df: DataFrame, k: int = 10, dim: str = "service_name") -> DataFrame:
+    """A9 in long form: the top-k services x every month of the data."""
+    month = F.date_format("date", "yyyy-MM")
+    names = top_k(df, dim, k).select(dim)
+    # every month counts, also one in which no top service spent
+    marked = df.groupBy(dim, month.alias("m")).agg(F.sum("spend").alias("spend"))
+    cells = long_matrix(marked.join(F.broadcast(names), dim, "left_semi"), dim, "m")
+    months = df.groupBy(month.alias("col")).agg(F.lit(0).cast(MONEY).alias("spend"))
+    filled = months.withColumn("row", F.explode(F.array(*[F.lit(r[0]) for r in names.collect()])))  # k names
+    return cells.unionByName(filled).groupBy("row", "col").agg(F.sum("spend").cast(MONEY).alias("spend"))
+
+
+def month_top_service_cells(df: DataFrame, k: int = 5, dim: str = "service_name") -> DataFrame:
+    """A10 in long form: month x top-k services."""
+    return long_matrix(restrict_to_top(df, dim, k), _month(), dim)
+
+
+def month_region_cells(df: DataFrame, dim: str = "region") -> DataFrame:
+    """A11 in long form: month x region."""
+    return long_matrix(df, _month(), dim)
+
+
 # ----------------------------------------------------------------------------- A12, A14-A16
 def spend_percentiles(df: DataFrame, value: str = "spend", pcts: Sequence[int] = PERCENTILES, method: str = "distributed", accuracy: int = 10000) -> DataFrame:
     """Linear-interpolation percentiles (numpy default) as rows (percentile, spend_value)."""
@@ -308,6 +346,8 @@ def level_grouping_sets(df: DataFrame, granularity_col: Column | None = None, va
     period = granularity_col if granularity_col is not None else _month()
     dims = ["account_name", "service_name", "bu_code", "segment"]
     base = df.select(period.alias("month"), "account_name", "service_name", F.col("bu_code").cast("string").alias("bu_code"), "segment", value)
+    # the expansion into five sets works on one row per combination that occurs, not on fact rows
+    base = base.groupBy("month", *dims).agg(F.sum(value).alias(value))
     sets = [["month"]] + [["month", d] for d in dims]
     out = base.groupingSets(sets, "month", *dims).agg(
         F.grouping_id().alias("gid"), sum_money(value).alias("spend")

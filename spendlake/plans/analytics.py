@@ -58,15 +58,15 @@ def q_top_services_other(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_service_month_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return P.service_month_matrix(ledger(spark, d), 10)
+    return P.service_month_cells(ledger(spark, d), 10)
 
 
 def q_month_top5_services(spark: SparkSession, d: str) -> DataFrame:
-    return P.month_top_services(ledger(spark, d), 5)
+    return P.month_top_service_cells(ledger(spark, d), 5)
 
 
 def q_month_region_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return P.month_region_matrix(ledger(spark, d))
+    return P.month_region_cells(ledger(spark, d))
 
 
 def q_spend_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -223,15 +223,17 @@ FROM ledger GROUP BY 1"""),
 , cells AS (
     SELECT service_name, strftime(date, '%Y-%m') AS m, spend FROM ledger WHERE service_name IN (SELECT service_name FROM top)
     UNION ALL SELECT top.service_name, months.m, NULL FROM top, months)
-PIVOT cells ON m USING CAST(COALESCE(SUM(spend), 0) AS DECIMAL(18,2)) GROUP BY service_name"""),
+SELECT service_name AS "row", m AS col, CAST(COALESCE(SUM(spend), 0) AS DECIMAL(18,2)) AS spend FROM cells GROUP BY 1, 2"""),
     "month_top5_services": with_ledger(f"""
 , t AS (SELECT service_name, SUM(spend) AS tot FROM ledger GROUP BY 1)
 , top AS (SELECT service_name FROM t ORDER BY tot DESC, service_name LIMIT 5)
 , cells AS (SELECT {M} AS month, service_name, spend FROM ledger WHERE service_name IN (SELECT service_name FROM top))
-PIVOT cells ON service_name USING CAST(COALESCE(SUM(spend), 0) AS DECIMAL(18,2)) GROUP BY month"""),
+, grid AS (SELECT * FROM cells UNION ALL SELECT m.month, s.service_name, 0 FROM (SELECT DISTINCT month FROM cells) m, (SELECT DISTINCT service_name FROM cells) s)
+SELECT month AS "row", service_name AS col, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend FROM grid GROUP BY 1, 2"""),
     "month_region_matrix": with_ledger(f"""
 , cells AS (SELECT {M} AS month, region, spend FROM ledger)
-PIVOT cells ON region USING CAST(COALESCE(SUM(spend), 0) AS DECIMAL(18,2)) GROUP BY month"""),
+, grid AS (SELECT * FROM cells UNION ALL SELECT m.month, s.region, 0 FROM (SELECT DISTINCT month FROM cells) m, (SELECT DISTINCT region FROM cells) s)
+SELECT month AS "row", region AS col, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend FROM grid GROUP BY 1, 2"""),
     "spend_percentiles": with_ledger("""
 , q AS (SELECT quantile_cont(CAST(spend AS DOUBLE), [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS v FROM ledger)
 SELECT CAST(p AS INTEGER) AS percentile, ROUND(v[i], 6) AS spend_value

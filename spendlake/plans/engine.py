@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..models import decompose, linear, trees
 from ..operators import calendar, metrics as MX
 from ..operators.ledger import dimension_filter
@@ -101,5 +102,5 @@ def run_forecast(
     fc, err = ENGINES[model_name](history, run_keys, HORIZON.get(granularity, 24), gran, dict(hyperparameters or {}))
     kpis = MX.forecast_kpis(fc, run_keys, daily=gran == "day")
     if err is not None:
-        kpis = kpis.join(err, run_keys, "left")
+        kpis = null_safe_join(kpis, err, run_keys, "left")
     return fc, history, kpis

@@ -225,7 +225,9 @@ def q_stream_monthly_spend(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     landing = shared_path(spark, "billing-landing")
     rng = ledger(spark, d).agg(F.min("date"), F.max("date")).first()
-    ST.land_syncs(squashed(spark, d), landing, date_range=(rng[0], rng[1]))
+    # line items, so a sync holds several rows of a key; a re-send revises spend and must not touch bu_code
+    rows = ledger(spark, d).select("date", "service_name", "account_name", "spend", "bu_code", "segment")
+    ST.land_syncs(rows, landing, date_range=(rng[0], rng[1]), revise={"spend": F.col("spend") + 1, "bu_code": F.col("bu_code") + 100})
     schema = spark.read.parquet(landing).schema
     out = ST.ledger_ingest_stream(spark, landing, schema, shared_path(spark, "ledger-stream"), shared_path(spark, "ledger-stream-ckpt"))
     return out.select("date", "service_name", "account_name", "spend", "bu_code", "segment")
@@ -337,7 +339,10 @@ FROM m LEFT JOIN f USING (mapped_to)""",
     "stream_daily_spend": """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
 FROM events GROUP BY 1, 2""",
-    "stream_ingest": with_ledger(SQ + "\nSELECT * FROM sq"),
+    "stream_ingest": with_ledger("""
+SELECT date, service_name, account_name, CAST(SUM(spend) + CASE WHEN date_diff('day', DATE '1970-01-01', date) % 7 >= 4 THEN COUNT(*) ELSE 0 END AS DECIMAL(18,2)) AS spend,
+       MIN(bu_code) AS bu_code, MIN(segment) AS segment
+FROM ledger GROUP BY 1, 2, 3"""),
     "stream_monthly_spend": """
 SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS spend, COUNT(*) AS events
 FROM events GROUP BY 1, 2""",

@@ -40,10 +40,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only set our own where it is unset (local runs, tests).
+    The cluster names it; only on a local master we set our own where it is unset. Elsewhere an unset
+    folder is an error: a machine-local one would not be seen by other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="spendlake-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)

@@ -29,6 +29,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format("date", "yyyy-MM"))
 
@@ -70,6 +77,7 @@ def merge_into_ledger(spark: SparkSession, path: str, updates: DataFrame, keys:
     staging = shared_path(spark, "ledger-staging")
     write_ledger(merged.select(*LEDGER_TABLE_COLUMNS), staging, "overwrite")
     write_ledger(spark.read.parquet(staging).select(*LEDGER_TABLE_COLUMNS), path, "overwrite")
+    remove_path(spark, staging)
 
 
 def records_json(df: DataFrame, date_cols: Sequence[str] = ("ds",)) -> DataFrame:

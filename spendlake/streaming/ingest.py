@@ -19,14 +19,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.sizing import bounded_broadcast
 from ..session import shared_path
-from ..sources.sinks import _exists
-from ..sources.tables import MONEY
+from ..sources.sinks import _exists, remove_path
+from ..sources.tables import MONEY, RAW_MONEY
 
 LATE_HORIZON = "3 days"
 
 
+def swap_partitions(rows: DataFrame, path: str, part_col: str, name: str) -> None:
+    """Replace the partitions of ``path`` that ``rows`` holds; ``rows`` may be derived from ``path``.
+
+    The rows are written aside first, so nothing is overwritten while it is read, then moved in by
+    dynamic partition overwrite; the staged copy is removed afterwards.
+    """
+    spark = rows.sparkSession
+    staging = shared_path(spark, name)
+    rows.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col).parquet(staging)
+    (
+        spark.read.parquet(staging).hint("rebalance", part_col).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
+    )
+    remove_path(spark, staging)
+
+
 def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col: str | None = None):
     """foreachBatch writer into a keyed table.
 
@@ -39,11 +56,14 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()  # read several times below; released at the end of the batch
+        own = not batch.is_cached  # a caller that cached the batch also releases it
+        if own:
+            batch = batch.persist()  # read several times below
         try:
             _write(spark, batch, epoch_id)
         finally:
-            batch.unpersist()
+            if own:
+                batch.unpersist()
 
     def _write(spark, batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
@@ -52,25 +72,21 @@ def keyed_window_sink(path: str, keys: Sequence[str], part_col: str, version_col
         if _exists(spark, path):
             old = spark.read.parquet(path).join(bounded_broadcast(touched, 100_000), part_col, "left_semi").select(*batch.columns)
             if version_col is None:
-                merged = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+                merged = null_safe_join(old, batch.select(*keys), keys, "left_anti").unionByName(batch)
             else:
                 merged = newest_per_key(old.unionByName(batch), keys, version_col)
         else:
             merged = batch
-        staging = shared_path(spark, f"stage-{epoch_id}")
-        merged.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col).parquet(staging)
-        (
-            spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(part_col).parquet(path)
-        )
+        swap_partitions(merged, path, part_col, f"stage-{epoch_id}")
 
     return write
 
 
-def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts: bool = False, bounds: tuple | None = None) -> None:
-    """Fixture: land rows as ``files`` files in event-time order, one append per time slice, so
+def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts: bool = False, bounds: tuple | None = None, single_file: bool = True) -> None:
+    """Fixture: land rows as ``files`` slices in event-time order, one append per time slice, so
     the file source (which orders by modification time) sees them arrive in order. The slice
-    bounds are two scalars (min, max) from one aggregation."""
+    bounds are two scalars (min, max) from one aggregation. A watermark needs ``single_file``: within a
+    slice the rows of several files are in no order of time."""
     if bounds is None:
         bounds = df.agg(F.min(F.col(ts_col).cast("timestamp")).alias("lo"), F.max(F.col(ts_col).cast("timestamp")).alias("hi")).first()
     lo, hi = bounds
@@ -85,8 +101,8 @@ def land_in_order(df: DataFrame, ts_col: str, path: str, files: int = 8, drop_ts
     for i in range(files):
         part = f"{staging}/__slice={i}"
         if _exists(df.sparkSession, part):
-            # one file per delivery, as a provider drops one export per sync
-            df.sparkSession.read.parquet(part).coalesce(1).write.mode("append").parquet(path)
+            rows = df.sparkSession.read.parquet(part)
+            (rows.coalesce(1) if single_file else rows).write.mode("append").parquet(path)
 
 
 def daily_spend_stream(spark: SparkSession, source_dir: str, schema, ts_col: str = "ts", key: str = "event_type", value: str = "value", max_files: int = 1) -> DataFrame:
@@ -120,12 +136,7 @@ def run_daily_spend(spark: SparkSession, source_dir: str, schema, sink: str, che
                 days = batch.sparkSession.read.parquet(sink).withColumn("month", F.trunc("day", "month"))
                 touched = days.join(bounded_broadcast(months, 100_000), "month", "left_semi")
                 roll = touched.groupBy("month", key).agg(F.sum("spend").cast(MONEY).alias("spend"), F.sum("events").alias("events"))
-                staging = shared_path(batch.sparkSession, f"month-stage-{epoch_id}")
-                roll.write.mode("overwrite").partitionBy("month").parquet(staging)
-                (
-                    batch.sparkSession.read.parquet(staging).write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(monthly_sink)
-                )
+                swap_partitions(roll, monthly_sink, "month", f"month-stage-{epoch_id}")
         finally:
             batch.unpersist()
 
@@ -137,32 +148,87 @@ def run_daily_spend(spark: SparkSession, source_dir: str, schema, sink: str, che
     return spark.read.parquet(sink)
 
 
+LEDGER_KEYS = ["date", "service_name", "account_name"]
+
+
+def with_parts(batch: DataFrame) -> DataFrame:
+    """``batch`` plus ``part``: what a file says about a sync, as a digest of those rows in any order.
+
+    A sync may come in several files, whose rows add up; a file that is delivered again has the digest
+    of the first delivery and counts once.
+    """
+    cols = [F.col(c) for c in batch.columns if c not in ("__position", "month")]
+    named = batch.withColumn("__file", F.col("__position.file_path"))
+    digest = F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(20,0)")))
+    parts = named.groupBy("__file", "sync_id").agg(digest.alias("part"), F.min("__position").alias("__at"))
+    once = parts.groupBy("sync_id", "part").agg(F.min_by("__file", "__at").alias("__file"))
+    return null_safe_join(named, once, ["__file", "sync_id"]).drop("__file")
+
+
+def merge_syncs(old: DataFrame | None, batch: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
+    """Stored contributions after a micro-batch: per key its first sync's rows (for the other columns)
+    and its latest sync's (for spend), one row per part of a sync.
+
+    Rows of one key and part add up (A1); a part that comes again, or a batch that runs again, changes
+    nothing.
+    """
+    new = batch.groupBy(*keys, "sync_id", "part").agg(
+        F.min("__position").alias("at"),
+        F.sum(F.col("spend").cast(RAW_MONEY)).alias("spend"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__position"))).alias(c) for c in ("bu_code", "segment")],
+    )
+    rows = new if old is None else old.select(*new.columns).unionByName(new)
+    once = rows.groupBy(*keys, "sync_id", "part").agg(F.min(F.struct("at", "spend", "bu_code", "segment")).alias("r"))
+    own = Window.partitionBy(*keys)
+    ends = once.select(*keys, "sync_id", "part", "r.*").withColumns({"__lo": F.min("sync_id").over(own), "__hi": F.max("sync_id").over(own)})
+    return ends.where("sync_id = __lo or sync_id = __hi").drop("__lo", "__hi")
+
+
+def ledger_of_syncs(stored: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
+    """J2 over the stored contributions: spend of the latest sync, other columns of the first one."""
+    span = stored.groupBy(*keys).agg(
+        F.max("sync_id").alias("__hi"),
+        F.min("sync_id").alias("__lo"),
+        F.collect_list(F.struct("sync_id", "at", "spend", "bu_code", "segment")).alias("__rows"),  # a key's parts
+    )
+    total = F.aggregate(F.filter("__rows", lambda r: r["sync_id"] == F.col("__hi")), F.lit(0).cast("decimal(38,6)"), lambda s, r: (s + r["spend"]).cast("decimal(38,6)"))
+    first = lambda c: F.get(F.transform(F.filter(F.array_sort("__rows"), lambda r: (r["sync_id"] == F.col("__lo")) & r[c].isNotNull()), lambda r: r[c]), 0)
+    return span.select(*keys, total.cast(MONEY).alias("spend"), first("bu_code").alias("bu_code"), first("segment").alias("segment"))
+
+
 def ledger_ingest_stream(spark: SparkSession, landing_dir: str, schema, sink: str, checkpoint: str, max_files: int = 4) -> DataFrame:
-    """R1 + R4: landed billing syncs (each re-sends the trailing days) into the ledger table.
+    """R1 + R4 + J2: landed billing syncs (each re-sends the trailing days) into the ledger table.
 
-    Within a batch the latest delivery of a key wins (``max_by`` over the sync id); across
-    batches the sink keeps the highest sync id per key, so replays and re-sends are idempotent and
-    a late file never rolls a key back. No row is dropped for lateness: billing revisions are
-    money, so the ledger path has no watermark.
+    Rows of a key within one sync are summed (A1), however many files and batches the sync comes in; a
+    later sync replaces the key's spend and nothing else. A file that is delivered again, and a batch
+    that runs again, change nothing, and a late file never rolls a key back. No row is dropped for lateness: billing revisions are money,
+    so the ledger path has no watermark. Input order is file time, file name and row.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing_dir)
-    keys = ["date", "service_name", "account_name"]
+    at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing_dir)
+    rows = stream.select("*", at.alias("__position"), F.date_format("date", "yyyy-MM").alias("month"))
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        latest = batch.groupBy(*keys).agg(
-            F.max_by("spend", "sync_id").cast(MONEY).alias("spend"),
-            F.max_by("bu_code", "sync_id").alias("bu_code"),
-            F.max_by("segment", "sync_id").alias("segment"),
-            F.max("sync_id").alias("sync_id"),
-        ).withColumn("month", F.date_format("date", "yyyy-MM"))
-        keyed_window_sink(sink, keys, "month", version_col="sync_id")(latest, epoch_id)
+        session = batch.sparkSession
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            months = batch.select("month").distinct()
+            old = None
+            if _exists(session, sink):
+                old = session.read.parquet(sink).join(bounded_broadcast(months, 100_000), "month", "left_semi")
+            merged = merge_syncs(old, with_parts(batch)).withColumn("month", F.date_format("date", "yyyy-MM"))
+            swap_partitions(merged, sink, "month", f"stage-{epoch_id}")
+        finally:
+            batch.unpersist()
 
     q = (
         rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("month", "sync_id")
+    return ledger_of_syncs(spark.read.parquet(sink))
 
 
 def drop_replays(stream: DataFrame, ts_col: str, keys: Sequence[str], horizon: str = LATE_HORIZON) -> DataFrame:
@@ -172,8 +238,8 @@ def drop_replays(stream: DataFrame, ts_col: str, keys: Sequence[str], horizon: s
     return stream.withWatermark(ts_col, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, files: int = 8, date_range: tuple | None = None) -> None:
-    """Fixture: deliver squashed ledger rows as periodic syncs; each sync also re-sends the
+def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, files: int = 8, date_range: tuple | None = None, revise: dict | None = None) -> None:
+    """Fixture: deliver ledger rows as periodic syncs; each sync also re-sends the
     ``overlap_days`` before its period (the provider revision window). Written as ``files``
     time-ordered files so the stream sees them arrive in order."""
     base = F.floor(F.datediff("date", F.lit("1970-01-01")) / F.lit(period_days)).cast("long")
@@ -182,6 +248,9 @@ def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_
     in_overlap = F.datediff("date", F.lit("1970-01-01")) >= nxt_start - overlap_days
     syncs = F.when(in_overlap, F.array(base, base + 1)).otherwise(F.array(base))
     landed = ledger_rows.withColumn("sync_id", F.explode(syncs))
+    if revise is not None:  # what a re-sent row says
+        again = F.col("sync_id") != base
+        landed = landed.withColumns({c: F.when(again, e).otherwise(F.col(c)).cast(ledger_rows.schema[c].dataType) for c, e in revise.items()})
     bounds = None
     if date_range is not None:  # sync ids follow from the dates: no pass over the rows needed
         import datetime as _dt
@@ -191,7 +260,7 @@ def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_
         last = (date_range[1] - epoch).days // period_days + 1
         to_ts = lambda k: _dt.datetime(1970, 1, 1) + _dt.timedelta(days=k * period_days)
         bounds = (to_ts(first), to_ts(last))
-    land_in_order(landed.withColumn("__ts", (F.col("sync_id") * 86400 * period_days).cast("timestamp")), "__ts", path, files, drop_ts=True, bounds=bounds)
+    land_in_order(landed.withColumn("__ts", (F.col("sync_id") * 86400 * period_days).cast("timestamp")), "__ts", path, files, drop_ts=True, bounds=bounds, single_file=False)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
