@@ -17,6 +17,7 @@ holds at most a few thousand rows however hot the key is; no data passes through
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,6 @@ DEFAULTS = {
     "yearly_order": 10,
     "weekly_order": 3,
 }
-Z_BY_WIDTH = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
 
 
 def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -56,7 +56,7 @@ def _design(days: np.ndarray, t0: float, span: float, cps: np.ndarray, daily: bo
     if len(cps):
         blocks.append(np.maximum(t[:, None] - cps[None, :], 0.0))
         pen += [1.0 / p["changepoint_prior_scale"] ** 2] * len(cps)
-    yo = p["yearly_order"] if daily else min(p["yearly_order"], 5)
+    yo = p["yearly_order"]
     yr = _fourier(days, 365.25, yo)
     blocks.append(yr)
     pen += [1.0 / p["seasonality_prior_scale"] ** 2] * yr.shape[1]
@@ -73,12 +73,12 @@ def _design(days: np.ndarray, t0: float, span: float, cps: np.ndarray, daily: bo
 def fit_predict(hist: pd.DataFrame, future_days: np.ndarray, params: dict, daily: bool, fut_holiday: np.ndarray | None = None):
     """Fit on ``hist`` (columns ds, y[, is_holiday]) and predict at ``future_days`` (days since
     epoch). Returns (yhat, lower, upper) arrays. Plain numpy; used inside grouped-map workers."""
-    p = {**DEFAULTS, **{k: v for k, v in params.items() if v is not None}}
+    p = settings(params, daily)
     days = (pd.to_datetime(hist["ds"]).values.astype("datetime64[D]").astype(np.int64)).astype(float)
     y = hist["y"].astype(float).to_numpy()
     mult = p["seasonality_mode"] == "multiplicative"
-    if mult:
-        y = np.log1p(np.maximum(y, 0.0))
+    if mult:  # credits are negative, so the sign stays outside the logarithm
+        y = np.sign(y) * np.log1p(np.abs(y))
     scale = float(np.max(np.abs(y))) or 1.0
     ys = y / scale
     t0, span = float(days.min()), float(max(days.max() - days.min(), 1.0))
@@ -93,12 +93,12 @@ def fit_predict(hist: pd.DataFrame, future_days: np.ndarray, params: dict, daily
     if hol is not None and fh is None:
         fh = np.zeros(len(future_days))
     Xf, _ = _design(future_days.astype(float), t0, span, cps, daily, p, fh)
-    z = Z_BY_WIDTH.get(p["interval_width"], 1.2815515655446004)
+    z = NormalDist().inv_cdf(0.5 + p["interval_width"] / 2)
     mid = Xf @ beta
     lo, hi = mid - z * resid_sd, mid + z * resid_sd
     out = [v * scale for v in (mid, lo, hi)]
     if mult:
-        out = [np.expm1(v) for v in out]
+        out = [np.sign(v) * np.expm1(np.abs(v)) for v in out]
     return out
 
 
@@ -106,6 +106,33 @@ def _step_days(granularity: str) -> bool:
     return granularity.lower() in ("day", "daily", "d")
 
 
+# Pandas offsets of the granularities; a period starts on its first day, a week on Monday.
+STEPS = {"d": "D", "day": "D", "daily": "D", "w": "W-MON", "week": "W-MON", "weekly": "W-MON", "m": "MS", "ms": "MS", "month": "MS", "monthly": "MS", "y": "YS", "year": "YS", "yearly": "YS"}
+
+
+def future_dates(last: pd.Timestamp, horizon: int, granularity: str) -> pd.DatetimeIndex:
+    """The ``horizon`` period starts after ``last``; an unknown granularity is an error."""
+    step = STEPS.get(granularity.lower())
+    if step is None:
+        raise ValueError(f"unknown granularity {granularity!r}")
+    return pd.date_range(last + pd.Timedelta(days=1), periods=horizon, freq=step)
+
+
+def settings(params: dict, daily: bool) -> dict:
+    """Defaults and ``params`` together; unknown names and impossible widths are errors. Unless it is
+    given, the yearly order is what the step can tell apart."""
+    unknown = set(params) - set(DEFAULTS)
+    if unknown:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    given = {k: v for k, v in params.items() if v is not None}
+    p = {**DEFAULTS, **given}
+    if "yearly_order" not in given and not daily:
+        p["yearly_order"] = min(p["yearly_order"], 5)
+    if not 0 < p["interval_width"] < 1:
+        raise ValueError("interval_width lies between 0 and 1")
+    return p
+
+
 def forecast(
     series: DataFrame,
     keys: Sequence[str],
@@ -119,6 +146,7 @@ def forecast(
     """Future rows only: ``keys, ds, yhat, yhat_lower, yhat_upper`` for H periods per series."""
     params = dict(params or {})
     daily = _step_days(granularity)
+    settings(params, daily)
     src = series.select(*keys, F.col(ds_col).alias("ds"), F.col(value).cast("double").alias("y"))
     hol_pdf = None
     if holidays is not None:
@@ -136,11 +164,7 @@ def forecast(
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        last = pd.Timestamp(pdf["ds"].max())
-        if daily:
-            fut = pd.date_range(last + pd.Timedelta(days=1), periods=horizon, freq="D")
-        else:
-            fut = pd.date_range(last + pd.offsets.MonthBegin(1), periods=horizon, freq="MS")
+        fut = future_dates(pd.Timestamp(pdf["ds"].max()), horizon, granularity)
         fdays = fut.values.astype("datetime64[D]").astype(np.int64)
         fh = None
         if hol_days is not None:
@@ -170,6 +194,7 @@ def backtest(
     own group. Returns test rows ``keys, cutoff, ds, y, yhat``; aggregate with ``error_metrics``."""
     params = dict(params or {})
     daily = _step_days(granularity)
+    settings(params, daily)
     src = series.select(*keys, F.col(ds_col).alias("ds"), F.col(value).cast("double").alias("y"))
     cut = backtest_cutoffs(src, keys, "ds", initial_days, period_days, horizon_days)
     rows = backtest_rows(src, cut, keys, "ds", horizon_days)

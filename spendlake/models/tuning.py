@@ -78,44 +78,50 @@ def _trial_array(trials: list[dict]):
     )
 
 
-def tune_decompose(series: DataFrame, keys: Sequence[str], n_trials: int = 20, holdout_frac: float = 0.2, granularity: str = "month", seed: int = 42) -> DataFrame:
-    """Per series, the trial with the lowest RMSE on the last ``holdout_frac`` periods.
+def tune_decompose(series: DataFrame, keys: Sequence[str], n_trials: int = 20, n_folds: int = 3, granularity: str = "month", seed: int = 42) -> DataFrame:
+    """Per series, the trial with the lowest RMSE over ``n_folds`` expanding folds.
+
+    A series goes to its task once and all trials are fitted there; validation never precedes training.
+    A series too short for a fold keeps the default parameters, as trial -1 without an RMSE.
 
     Output: ``keys, trial, changepoint_prior_scale, seasonality_mode, seasonality_prior_scale,
     rmse``."""
     trials = sample_trials(n_trials, seed)
     daily = granularity.lower() in ("day", "daily", "d")
     src = series.select(*keys, "ds", F.col("y").cast("double").alias("y"))
-    w = Window.partitionBy(*keys).orderBy("ds")
-    src = src.withColumn("__pos", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    src = src.withColumn("is_train", F.col("__pos") <= F.floor(F.col("__n") * F.lit(1 - holdout_frac)))
-    rows = src.withColumn("t", F.explode(_trial_array(trials))).select(*keys, "ds", "y", "is_train", "t.*")
+    names = ("changepoint_prior_scale", "seasonality_mode", "seasonality_prior_scale")
     key_types = {f.name: f.dataType.simpleString() for f in series.schema.fields if f.name in keys}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["trial int", "cps double", "mode string", "sps double", "rmse double"])
+    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["trial int", "changepoint_prior_scale double", "seasonality_mode string", "seasonality_prior_scale double", "rmse double"])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[pdf["is_train"]].sort_values("ds"), pdf[~pdf["is_train"]].sort_values("ds")
-        first = pdf.iloc[0]
-        rmse = float("nan")
-        if len(train) >= 2 and len(test):
-            params = {"changepoint_prior_scale": float(first["cps"]), "seasonality_mode": first["mode"], "seasonality_prior_scale": float(first["sps"])}
-            tdays = pd.to_datetime(test["ds"]).values.astype("datetime64[D]").astype(np.int64)
-            yhat, _, _ = decompose.fit_predict(train, tdays, params, daily)
-            rmse = float(np.sqrt(np.mean((test["y"].to_numpy() - yhat) ** 2)))
-        row = {k: first[k] for k in keys}
-        row.update(trial=int(first["trial"]), cps=float(first["cps"]), mode=first["mode"], sps=float(first["sps"]), rmse=rmse)
-        return pd.DataFrame([row])
-
-    scored = rows.groupBy(*keys, "trial").applyInPandas(score, schema).where(~F.isnan("rmse"))
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct("trial", "cps", "mode", "sps", "rmse"), "rmse").alias("b"))
-    return best.select(
-        *keys,
-        F.col("b.trial").alias("trial"),
-        F.col("b.cps").alias("changepoint_prior_scale"),
-        F.col("b.mode").alias("seasonality_mode"),
-        F.col("b.sps").alias("seasonality_prior_scale"),
-        F.col("b.rmse").alias("rmse"),
-    )
+        pdf = pdf.sort_values("ds")
+        best = (None, {"trial": -1, **{k: decompose.DEFAULTS[k] for k in names}})
+        folds = fold_bounds(len(pdf), n_folds)
+        for t in trials if folds else []:
+            params = {k: t[k] for k in names}
+            errors = []
+            for start, stop in folds:
+                train, test = pdf.iloc[:start], pdf.iloc[start:stop]
+                days = pd.to_datetime(test["ds"]).values.astype("datetime64[D]").astype(np.int64)
+                yhat, _, _ = decompose.fit_predict(train, days, params, daily)
+                errors.append((test["y"].to_numpy() - yhat) ** 2)
+            rmse = float(np.sqrt(np.concatenate(errors).mean()))
+            if np.isfinite(rmse) and (best[0] is None or rmse < best[0]):
+                best = (rmse, t)
+        row = {k: pdf[k].iloc[0] for k in keys} | {"trial": best[1]["trial"]} | {k: best[1][k] for k in names} | {"rmse": best[0]}
+        return pd.DataFrame([row]).astype({"rmse": "float64"})
+
+    return src.groupBy(*keys).applyInPandas(score, schema)
+
+
+def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
+    """W10 on ``n`` sorted periods: (start, stop) of each validation block; it is trained on all that
+    comes before it. Fewer folds where the series is short, none where two points cannot precede one."""
+    for k in range(min(folds, n - 2), 0, -1):
+        size = n // (k + 1)
+        if size >= 1 and n - k * size >= 2:
+            return [(n - (k - i) * size, n - (k - i - 1) * size) for i in range(k)]
+    return []
 
 
 def tuned_forecast(series: DataFrame, keys: Sequence[str], n_trials: int = 20, horizon: int = 24, granularity: str = "month", seed: int = 42) -> DataFrame:
@@ -131,7 +137,7 @@ def tuned_forecast(series: DataFrame, keys: Sequence[str], n_trials: int = 20, h
         first = pdf.iloc[0]
         params = {k: first[k] for k in ("changepoint_prior_scale", "seasonality_mode", "seasonality_prior_scale")}
         last = pd.Timestamp(pdf["ds"].max())
-        fut = pd.date_range(last + (pd.Timedelta(days=1) if daily else pd.offsets.MonthBegin(1)), periods=horizon, freq="D" if daily else "MS")
+        fut = decompose.future_dates(last, horizon, granularity)
         yhat, lo, hi = decompose.fit_predict(pdf, fut.values.astype("datetime64[D]").astype(np.int64), params, daily)
         out = pd.DataFrame({"ds": fut.date, "yhat": yhat, "yhat_lower": lo, "yhat_upper": hi, "trial": int(first["trial"])})
         for k in keys:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
-from ..models import decompose, linear, trees
+from ..models import decompose, linear, trees, tuning
 from ..operators import calendar, metrics as MX
 from ..operators.ledger import dimension_filter
 
@@ -26,10 +26,11 @@ LEVELS = {
     "segment": ["segment"],
 }
 LEVEL_FILTER = {"account": "account_name", "service": "service_name", "bu_code": "bu_code", "segment": "segment_name"}
-HORIZON = {"daily": 90, "monthly": 24}
+HORIZON = {"daily": 90, "weekly": 52, "monthly": 24, "yearly": 5}
+STEP = {"daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
 # The accepted hyper-parameters per engine (one schema; anything else is an error).
 PARAMS = {
-    "prophet": {"changepoint_prior_scale", "seasonality_prior_scale", "seasonality_mode", "holidays"},
+    "prophet": {"changepoint_prior_scale", "seasonality_prior_scale", "seasonality_mode", "holidays", "tune", "trials"},
     "xgboost": {"maxIter", "stepSize", "maxDepth", "subsamplingRate", "refit"},
     "catboost": {"maxIter", "stepSize", "maxDepth", "subsamplingRate", "refit"},
     "linear": set(),
@@ -50,8 +51,13 @@ def validate_level(level: str, filters: dict, single_series: bool = False) -> li
 
 def _prophet(series, keys, horizon, gran, hp):
     hp = dict(hp)
-    hp.pop("holidays", None)  # a holiday table is passed to decompose.forecast directly
-    return decompose.forecast(series, keys, horizon, gran, hp), None
+    holidays = hp.pop("holidays", None)  # a table of days (ds)
+    if hp.pop("tune", False):
+        fc = tuning.tuned_forecast(series, keys, hp.pop("trials", 20), horizon, gran)
+        hp = {}
+    else:
+        fc = decompose.forecast(series, keys, horizon, gran, hp, holidays)
+    return fc, decompose.backtest_metrics(series, keys, gran, hp)
 
 
 def _trees(engine):
@@ -77,10 +83,15 @@ def run_forecast(
     granularity: str = "monthly",
     model_name: str = "prophet",
     hyperparameters: dict | None = None,
+    single_series: bool = False,
     **filters,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """S8 -> P1 / P2 -> A2 -> engine -> A19 (+ A18 where the engine validates).
 
+    ``single_series`` is the request for one series: its level's filter is required. A filter that leaves
+    no rows is an error. The default engine is backtested on every run; a series that is too short has
+    null metrics and a ``reason``. With ``tune`` it is tuned first and run with the best parameters.
+
     Returns (forecast ``keys, ds, yhat[, yhat_lower, yhat_upper]``, history ``keys, ds, y``,
     metrics ``keys, total_forecasted_spend, average_monthly_spend, forecast_period[, rmse ...]``).
     """
@@ -91,15 +102,19 @@ def run_forecast(
     unknown = set(hyperparameters or {}) - PARAMS[model_name]
     if unknown:
         raise ValueError(f"unknown hyperparameters for {model_name}: {sorted(unknown)}")
-    keys = validate_level(level, filters)
-    gran = "day" if granularity == "daily" else "month"
+    keys = validate_level(level, filters, single_series)
+    if granularity not in STEP:
+        raise ValueError(f"unknown granularity {granularity!r}")
+    gran = STEP[granularity]
     sliced = dimension_filter(ledger, **filters)
+    if sliced.isEmpty():
+        raise ValueError("no ledger rows match the request")
     # the overall series gets a constant key so every engine runs the same grouped plan
     run_keys = keys or ["series"]
     if not keys:
         sliced = sliced.withColumn("series", F.lit("overall"))
     history = calendar.resample(sliced, run_keys, gran)
-    fc, err = ENGINES[model_name](history, run_keys, HORIZON.get(granularity, 24), gran, dict(hyperparameters or {}))
+    fc, err = ENGINES[model_name](history, run_keys, HORIZON[granularity], gran, dict(hyperparameters or {}))
     kpis = MX.forecast_kpis(fc, run_keys, daily=gran == "day")
     if err is not None:
         kpis = null_safe_join(kpis, err, run_keys, "left")

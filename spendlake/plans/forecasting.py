@@ -76,7 +76,7 @@ def q_flat_horizon_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_tuned_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return tuning.tuned_forecast(SE.panel(spark, d), SE.PANEL, n_trials=8)
+    return tuning.tuned_forecast(SE.panel(spark, d), SE.PANEL)
 
 
 def q_cv_grid_search(spark: SparkSession, d: str) -> DataFrame:
