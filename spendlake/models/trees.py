@@ -100,30 +100,20 @@ def recursive_forecast(
         *[F.max(F.when(F.col("__rn") == k, F.col("__y"))).alias(f"lag_{k}") for k in LAGS],
     )
     state = idx_model.transform(state.withColumn("series_key", _series_key(keys))).withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0))
-    state = cut_lineage(state.select(*keys, "last_ds", *[f"lag_{k}" for k in LAGS], "series_idx"))
-    outs = []
+    none = F.array().cast("array<struct<ds:date,yhat:double>>")
+    state = cut_lineage(state.select(*keys, "last_ds", *[f"lag_{k}" for k in LAGS], "series_idx", none.alias("__steps")))
+    # predictions travel with the state, so a step is scored once and the chain stays one plan
     for h in range(1, horizon + 1):
         step = _features(state.withColumn("ds", add_periods(F.col("last_ds"), 1, granularity)), "ds")
         pred = model.transform(assembler.transform(step)).withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
-        pred = pred.select(*keys, "ds", "yhat", *[f"lag_{k}" for k in LAGS], "series_idx")
-        nxt = pred.select(
-            *keys, F.col("ds").alias("last_ds"), F.col("yhat").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"), "series_idx"
+        step_out = F.array(F.struct(F.col("ds").cast("date").alias("ds"), F.col("yhat").cast("double").alias("yhat")))
+        state = pred.select(
+            *keys, F.col("ds").alias("last_ds"), F.col("yhat").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"),
+            "series_idx", F.concat("__steps", step_out).alias("__steps"),
         )
-        outs.append(pred.select(*keys, "ds", "yhat"))
         if h % checkpoint_every == 0 and h < horizon:
-            # the step outputs so far share the state's lineage: cut both together
-            done = cut_lineage(_union(outs))
-            outs = [done]
-            nxt = cut_lineage(nxt)
-        state = nxt
-    return _union(outs)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+            state = cut_lineage(state)
+    return state.select(*keys, F.explode("__steps").alias("__s")).select(*keys, "__s.ds", "__s.yhat")
 
 
 def forecast(series: DataFrame, keys: Sequence[str], engine: str = "xgboost", horizon: int = 24, granularity: str = "month", params: dict | None = None, refit: bool = False) -> tuple[DataFrame, DataFrame]:

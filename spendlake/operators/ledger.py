@@ -74,13 +74,15 @@ def canonicalise(df: DataFrame, aliases: Mapping[str, Sequence[str]] = COLUMN_AL
 
 def add_synthetic_day(df: DataFrame, month_cols: Sequence[str] = ("month", "year_month", "Month"), key_cols: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """A valid day inside the row's month as ``MM/dd/yyyy`` text, placed right after the
-    month column; null when the month does not parse. The day is a seeded hash of the row's key
-    (``pmod(xxhash64(...), days in month)``), so reruns and recomputed partitions agree."""
+    month column; null when the month does not parse. The day is a seeded hash of the row's key (the
+    first 28 bits of an md5, modulo the days in the month), so reruns and recomputed partitions agree."""
     mcol = next((c for c in month_cols if c in df.columns), None)
     if mcol is None:
         raise ValueError(f"no month column among {df.columns}")
     start = F.trunc(parse_date_any(F.col(mcol)), "month")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col(mcol), *[F.col(k) for k in key_cols]), F.dayofmonth(F.last_day(start)))
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (mcol, *key_cols)])
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+    offset = F.pmod(number, F.dayofmonth(F.last_day(start)))
     day = F.date_format(F.date_add(start, offset.cast("int")), "MM/dd/yyyy")
     cols = []
     for c in df.columns:

@@ -127,6 +127,37 @@ def q_forecast_request(spark: SparkSession, d: str) -> DataFrame:
     return fc.join(kpis, "segment")
 
 
+def forecast_contract(spark: SparkSession, d: str, engine: str, **hyperparameters) -> DataFrame:
+    """What every engine owes a request: the next 24 months of each series, once, with a forecast that
+    is a number, not below 0 for tree engines, and a band that holds it where the engine gives one."""
+    from .engine import run_forecast
+
+    fc, _hist, _kpis = run_forecast(ledger(spark, d), "segment", "monthly", engine, hyperparameters or None)
+    y = F.col("yhat").cast("double")
+    ok = y.isNotNull() & ~F.isnan(y)
+    if engine in ("xgboost", "catboost"):
+        ok = ok & (y >= 0)
+    if "yhat_lower" in fc.columns:
+        ok = ok & (F.col("yhat_lower") <= y) & (y <= F.col("yhat_upper"))
+    return fc.select("segment", F.col("ds").cast("date").alias("ds"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def q_contract_prophet(spark: SparkSession, d: str) -> DataFrame:
+    return forecast_contract(spark, d, "prophet")
+
+
+def q_contract_prophet_tuned(spark: SparkSession, d: str) -> DataFrame:
+    return forecast_contract(spark, d, "prophet", tune=True, trials=5)
+
+
+def q_contract_linear(spark: SparkSession, d: str) -> DataFrame:
+    return forecast_contract(spark, d, "linear")
+
+
+def q_contract_catboost(spark: SparkSession, d: str) -> DataFrame:
+    return forecast_contract(spark, d, "catboost")
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 
 _E = "(CAST(y AS DECIMAL(20,2)) - CAST(p AS DECIMAL(20,2)))"
@@ -139,7 +170,15 @@ def _rmse_sql(src: str) -> str:
     return f"(SELECT segment, service_name, ROUND(sqrt(CAST({mse} AS DOUBLE)), 4) AS rmse FROM {src} WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)"
 
 
+CONTRACT = with_ledger("""
+, s AS (SELECT segment, MAX(date_trunc('month', date)) AS m FROM ledger GROUP BY 1)
+SELECT segment, CAST(m + to_months(CAST(h AS INTEGER)) AS DATE) AS ds, TRUE AS ok FROM s, range(1, 25) AS t(h)""")
+
 ORACLE = {
+    "contract_prophet": CONTRACT,
+    "contract_prophet_tuned": CONTRACT,
+    "contract_linear": CONTRACT,
+    "contract_catboost": CONTRACT,
     "level_forecast": with_ledger(f"""
 , b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, account_name, service_name, CAST(bu_code AS VARCHAR) AS bu_code, segment, spend FROM ledger)
 , g AS (SELECT month, account_name, service_name, bu_code, segment,

@@ -291,6 +291,12 @@ SELECT CAST(date_trunc('month', date) AS DATE) AS date, service_name, account_na
 SELECT date, CASE WHEN service_name = 'PROMO' THEN 'Unallocated' ELSE service_name END AS service_name, account_name,
        CAST(SUM(CASE WHEN usage_family = 'R' THEN 0 ELSE spend END) AS DECIMAL(18,2)) AS spend, MIN(bu_code) AS bu_code, MIN(segment) AS segment
 FROM ledger WHERE bu_code <> 0 GROUP BY 1, 2, 3"""),
+    "synthetic_day": with_ledger("""
+, m AS (SELECT strftime(date, '%Y-%m') AS month, CAST(date_trunc('month', date) AS DATE) AS start, service_name, account_name, CAST(SUM(spend) AS DECIMAL(18,2)) AS spend
+        FROM ledger GROUP BY ALL)
+SELECT month, strftime(start + CAST(CAST('0x' || substr(md5('42|' || month || '|' || service_name || '|' || account_name), 1, 7) AS BIGINT)
+         % CAST(day(last_day(start)) AS BIGINT) AS INTEGER), '%m/%d/%Y') AS date, service_name, account_name, spend
+FROM m"""),
     "quality_report": with_ledger("""
 SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE bu_code = 0) AS null_date, 0 AS bad_date, 0 AS null_spend,
        COUNT(*) FILTER (WHERE usage_family = 'R') AS bad_spend, COUNT(*) FILTER (WHERE usage_family <> 'R' AND spend < 0) AS negative_spend

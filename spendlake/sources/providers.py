@@ -71,19 +71,22 @@ def gcp_daily_costs(export: DataFrame, start_date: str, end_date: str) -> DataFr
 
 
 # ----------------------------------------------------------------------------- packing (fixtures)
-def page_of(*cols: str, pages: int = 64) -> Column:
-    """Hash page of a row inside its day, so one day's groups spread over ``pages`` payloads."""
-    return F.pmod(F.xxhash64(*cols), F.lit(pages))
+def with_pages(ledger_rows: DataFrame, page_rows: int = 1_000) -> DataFrame:
+    """Rows with the payload page they go to: a day has as many pages as its row count asks for, so a
+    payload's size does not follow the data. Rows are dealt to pages by hash."""
+    days = ledger_rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / page_rows).alias("__pages"))
+    page = F.pmod(F.xxhash64("account_name", "service_name"), F.col("__pages"))
+    return ledger_rows.join(days, "date").withColumn("page", page).drop("__pages")
 
 
-def pack_aws(ledger_rows: DataFrame, pages: int = 64) -> DataFrame:
+def pack_aws(ledger_rows: DataFrame, page_rows: int = 1_000) -> DataFrame:
     """Ledger rows (date, service_name, account_name, spend) -> one AWS-style JSON payload per
     (day, page). Used to build landed test payloads from the driver tables."""
     grp = F.struct(
         F.array("service_name", "account_name").alias("Keys"),
         F.struct(F.struct(F.col("spend").cast("string").alias("Amount"), F.lit("USD").alias("Unit")).alias("UnblendedCost")).alias("Metrics"),
     )
-    per_page = ledger_rows.groupBy("date", page_of("account_name", "service_name", pages=pages).alias("page")).agg(F.collect_list(grp).alias("Groups"))
+    per_page = with_pages(ledger_rows, page_rows).groupBy("date", "page").agg(F.collect_list(grp).alias("Groups"))
     result = F.struct(
         F.struct(F.date_format("date", "yyyy-MM-dd").alias("Start"), F.date_format(F.date_add("date", 1), "yyyy-MM-dd").alias("End")).alias("TimePeriod"),
         F.col("Groups"),
@@ -91,7 +94,7 @@ def pack_aws(ledger_rows: DataFrame, pages: int = 64) -> DataFrame:
     return per_page.select(F.to_json(F.struct(F.array(result).alias("ResultsByTime"))).alias("payload"))
 
 
-def pack_azure(ledger_rows: DataFrame, pages: int = 64) -> DataFrame:
+def pack_azure(ledger_rows: DataFrame, page_rows: int = 1_000) -> DataFrame:
     row = F.array(F.col("spend").cast("string"), F.date_format("date", "yyyyMMdd"), F.col("service_name"), F.col("account_name"))
-    per_page = ledger_rows.groupBy("date", page_of("account_name", "service_name", pages=pages).alias("page")).agg(F.collect_list(row).alias("rows"))
+    per_page = with_pages(ledger_rows, page_rows).groupBy("date", "page").agg(F.collect_list(row).alias("rows"))
     return per_page.select(F.to_json(F.struct("rows")).alias("payload"))

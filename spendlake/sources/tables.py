@@ -43,11 +43,11 @@ def line_facts(spark: SparkSession, sf_dir: str, fact_cols=("l_extendedprice", "
 
     geo = nation.join(bounded_broadcast(region, 1000), nation.n_regionkey == region.r_regionkey)
     cust = customer.join(bounded_broadcast(geo, 100_000), customer.c_nationkey == geo.n_nationkey)
-    ord_c = orders.join(cust.hint("shuffle_hash"), orders.o_custkey == cust.c_custkey)
-    part_side = bounded_broadcast(part, 2_000_000)
+    ord_c = orders.join(cust.hint("merge"), orders.o_custkey == cust.c_custkey)
+    part_side = bounded_broadcast(part, 200_000)
     if part_side is part:
-        part_side = part.hint("shuffle_hash")
-    return li.join(ord_c.hint("shuffle_hash"), li.l_orderkey == ord_c.o_orderkey).join(part_side, li.l_partkey == part.p_partkey)
+        part_side = part.hint("merge")
+    return li.join(ord_c.hint("merge"), li.l_orderkey == ord_c.o_orderkey).join(part_side, li.l_partkey == part.p_partkey)
 
 
 def derive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
