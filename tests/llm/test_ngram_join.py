@@ -3,11 +3,12 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from spendlake.llm import common, ngram_join
-from spendlake.llm.queries import op2_ngram_join
+from spendlake.llm.queries import ORACLE, op2_ngram_join
 
 U = np.uint64
 
@@ -145,4 +146,8 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_query_equals_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted(str(tuple(r)) for r in op2_ngram_join(spark, sf).collect()) == brute(rows, 4, 85, 100)
+    want = brute(rows, 4, 85, 100)
+    assert sorted(str(tuple(r)) for r in op2_ngram_join(spark, sf).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(map(str, con.execute(ORACLE["op2_ngram_join"]).fetchall())) == want
