@@ -11,8 +11,9 @@ one band and the next smaller, which keeps ``lo`` close to n.
 
 A key's sets are compared by parity bitmaps, whose Hamming distance never exceeds the size of the
 symmetric difference, so the filter drops no link. First every set is verified against its nearest
-neighbour under each key; what that connects need not be compared again. Then all pairs of different
-components that share a key and pass the filter are verified, so no link between components is lost.
+neighbour, then neighbours that are not connected yet; what that connects need not be compared again.
+Last, all pairs of different components that share a key and pass the filter are verified, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, slices
@@ -35,7 +36,8 @@ SLOT_BITS = 22
 SLOT_BLOCK = 1 << 16
 #: From this size on a band's frequent shingles are indexed as pairs.
 PAIRS_FROM = 16
-NEIGHBOURS = 16
+#: Sets before it in order of size that a set is first compared with under each key.
+NEIGHBOURS = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -260,7 +262,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, did, d1, n) whose key more than one set has."""
+    """The rows (key, did) whose key more than one set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
@@ -269,19 +271,16 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
             same = k[1:] == k[:-1]
             yield from t.filter(pa.array(np.r_[False, same] | np.r_[same, False])).to_batches()
 
-    keyed = rows.select(F.explode("keys").alias("key"), "did", "d1", "n")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, did long, d1 long, n long")
+    keyed = rows.select(F.explode("keys").alias("key"), "did")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, did long")
 
 
-def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """``(did, d1, n, bits, tokens)`` of the wanted (did, d1).
+def _place(did: str) -> Column:
+    return F.pmod(F.xxhash64(did), F.lit(1 << SLOT_BITS))
 
-    A bitmap of 2^SLOT_BITS places of wanted ids, broadcast, skips most other documents before their
-    sets are built; the join behind it is exact.
-    """
-    spark = src.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS))
-    places = wanted.select(place("did").alias("p")).distinct()
+
+def _marked(ids: DataFrame):
+    """A broadcast bitmap of 2^SLOT_BITS hashed places, set where ``ids`` (did) has one."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << SLOT_BITS, bool)
@@ -291,9 +290,17 @@ def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["vec"])
 
     want = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
-    for r in places.coalesce(16).mapInArrow(mark, "vec binary").toLocalIterator():
+    for r in ids.select(_place("did").alias("p")).distinct().coalesce(16).mapInArrow(mark, "vec binary").toLocalIterator():
         want |= np.frombuffer(r["vec"], np.uint8)
-    shared = spark.sparkContext.broadcast(want.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(want.tobytes())
+
+
+def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """``(did, n, bits, tokens)`` of the wanted documents and of a few that share their hashed places.
+
+    The places skip most other documents before their sets are built; joins behind it are exact.
+    """
+    shared = _marked(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
@@ -302,78 +309,113 @@ def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             rows = []
             for did, t in zip(b.column("did").to_pylist(), b.column("content").to_pylist(), strict=True):
                 if len(s := shingle_set(t, k)):
-                    rows.append((did, _digest(s)[0], len(s), bitmap(s), pack(s)))
+                    rows.append((did, len(s), bitmap(s), pack(s)))
             if rows:
-                kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+                kinds = [pa.int64()] * 2 + [pa.binary()] * 2
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["did", "d1", "n", "bits", "tokens"])
+                yield pa.RecordBatch.from_arrays(cols, names=["did", "n", "bits", "tokens"])
 
-    found = src.select("did", place("did").alias("p"), "content").mapInArrow(run, "did long, d1 long, n long, bits binary, tokens binary")
-    return found.join(wanted, ["did", "d1"], "left_semi").dropDuplicates(["did", "d1"])
+    return src.select("did", _place("did").alias("p"), "content").mapInArrow(run, "did long, n long, bits binary, tokens binary")
 
 
-PAIR = "a long, a1 long, b long, b1 long"
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "n", "did")
 
 
-def _compare(keyed: DataFrame, plan: Plan, everything: bool) -> DataFrame:
-    """Candidate pairs ``PAIR`` among the rows (key, did, d1, n, bits, comp) of each key.
+def _bits(raw: list[bytes]) -> np.ndarray:
+    width = min(map(len, raw))
+    return np.array([fold(x, width) for x in raw]).view(np.uint64)
 
-    ``everything``: all pairs of different components that may link; otherwise each set's nearest of the
-    NEIGHBOURS sets before it in order of size. Nothing but candidates leaves the task.
-    """
 
-    def ok(dist, n, m):
-        # symmetric difference of a linked pair: n + m - 2 o, with o >= t (n + m) / (1 + t)
-        return dist * (plan.num + plan.den) <= (plan.den - plan.num) * (n + m)
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def _may_link(plan: Plan, dist, n, m):
+    """Symmetric difference of a linked pair: n + m - 2 o, with o >= t (n + m) / (1 + t)."""
+    return dist * (plan.num + plan.den) <= (plan.den - plan.num) * (n + m)
+
+
+def _nearest(keyed: DataFrame, plan: Plan) -> DataFrame:
+    """``(a, b, dist)``: for each row (key, did, n, bits) the nearest of the NEIGHBOURS sets before it in
+    order of size under its key, if it may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
             t = t.combine_chunks()
-            key, did, d1, n, comp = (t.column(c).to_numpy() for c in ("key", "did", "d1", "n", "comp"))
+            key, did, n = (t.column(c).to_numpy() for c in ("key", "did", "n"))
             raw = t.column("bits").to_pylist()
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [np.zeros((0, 3), np.int64)]
             for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
-                if everything and (comp[s:e] == comp[s]).all():
+                bits, m = _bits(raw[s:e]), e - s
+                best, near = np.full(m, 1 << 30), np.full(m, -1)
+                for j in range(1, min(NEIGHBOURS, m - 1) + 1):
+                    dist, at = _distance(bits[j:], bits[:-j]), np.arange(j, m)
+                    use = (dist < best[j:]) & _may_link(plan, dist, n[s + j : e], n[s : e - j]) & (did[s + j : e] != did[s : e - j])
+                    best[at[use]], near[at[use]] = dist[use], at[use] - j
+                at = np.flatnonzero(near >= 0)
+                found.append(np.c_[did[near[at] + s], did[at + s], best[at]])
+            rows = np.unique(np.concatenate(found), axis=0)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in rows.T], names=["a", "b", "dist"])
+
+    return _by_key(keyed).mapInArrow(run, "a long, b long, dist long")
+
+
+def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
+    """``(a, b)``: all pairs of different components among the rows (key, did, n, bits, comp) of a key
+    that may link, each once.
+
+    A task hands on one row per document with the list of its partners, so pairs that meet under many
+    keys stay numbers in a list until the lists of a document are merged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "key"):
+            t = t.combine_chunks()
+            key, did, n, comp = (t.column(c).to_numpy() for c in ("key", "did", "n", "comp"))
+            raw = t.column("bits").to_pylist()
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
+                if (comp[s:e] == comp[s]).all():
                     continue
-                width = min(map(len, raw[s:e]))
-                bits = np.array([fold(x, width) for x in raw[s:e]]).view(np.uint64)
-                m = e - s
-                if everything:
-                    for i in range(0, m, 128):
-                        for j in range(i, m, 1024):
-                            dist = np.bitwise_count(bits[i : i + 128, None] ^ bits[None, j : j + 1024]).sum(2, dtype=np.int64)
-                            ns = n[s:e]
-                            x, y = np.nonzero(ok(dist, ns[i : i + 128, None], ns[None, j : j + 1024]))
-                            x, y = x + i + s, y + j + s
-                            use = (x < y) & (comp[x] != comp[y])
-                            left.append(x[use])
-                            right.append(y[use])
-                else:
-                    best, near = np.full(m, 1 << 30), np.full(m, -1)
-                    for j in range(1, min(NEIGHBOURS, m - 1) + 1):
-                        dist = np.bitwise_count(bits[j:] ^ bits[:-j]).sum(1, dtype=np.int64)
-                        at = np.arange(j, m)
-                        use = ok(dist, n[s + j : e], n[s : e - j]) & (dist < best[j:]) & (did[s + j : e] != did[s : e - j])
-                        best[at[use]], near[at[use]] = dist[use], at[use] - j
-                    at = np.flatnonzero(near >= 0)
-                    left.append(near[at] + s)
-                    right.append(at + s)
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.c_[did[x], d1[x], did[y], d1[y]], axis=0) if len(x) else np.zeros((0, 4), np.int64)
-            swap = pairs[:, 0] > pairs[:, 2]
-            pairs[swap] = pairs[swap][:, [2, 3, 0, 1]]
+                bits, m, ns = _bits(raw[s:e]), e - s, n[s:e]
+                for i in range(0, m, 128):
+                    for j in range(i, m, 1024):
+                        dist = _distance(bits[i : i + 128, None], bits[None, j : j + 1024])
+                        x, y = np.nonzero(_may_link(plan, dist, ns[i : i + 128, None], ns[None, j : j + 1024]))
+                        x, y = x + i + s, y + j + s
+                        use = (x < y) & (comp[x] != comp[y])
+                        found.append(np.c_[did[y[use]], did[x[use]]])
+            pairs = np.concatenate(found)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in pairs.T], names=["a", "a1", "b", "b1"])
+                first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pairs)].astype(np.int32)), pa.array(pairs[:, 1].copy()))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0].copy()), lists], names=["a", "partners"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "n", "did").mapInArrow(run, PAIR).distinct()
+    lists = _by_key(keyed).mapInArrow(run, "a long, partners array<long>")
+    merged = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    return merged.select("a", F.explode("partners").alias("b"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets really link."""
-    one = sets.select(F.col("did").alias("a"), F.col("d1").alias("a1"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("did").alias("b"), F.col("d1").alias("b1"), F.col("tokens").alias("tb"))
-    both = pairs.join(two, ["b", "b1"]).join(one, ["a", "a1"]).select("a", "b", "ta", "tb")
+    """The pairs ``(a, b)`` whose sets really link; only sets in a pair are shuffled."""
+    pairs = materialise(pairs.select("a", "b"), "candidates")
+    ids = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).distinct()
+    shared = _marked(ids)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(want[b.column("p").to_numpy()])).select(["did", "tokens"])
+
+    some = sets.select("did", _place("did").alias("p"), "tokens").mapInArrow(pick, "did long, tokens binary")
+    one = some.select(F.col("did").alias("a"), F.col("tokens").alias("ta"))
+    two = some.select(F.col("did").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
@@ -383,7 +425,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
                 keep.append(bool(plan.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components ``(id, component)`` of the links together with those found before."""
+    edges = links if comp is None else links.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return materialise(connected_components(edges), "components")
+
+
+def _component_of(rows: DataFrame, comp: DataFrame, did: str, name: str) -> DataFrame:
+    named = comp.select(F.col("id").alias(did), F.col("component").alias("__c"))
+    return rows.join(named, did, "left").withColumn(name, F.coalesce("__c", did)).drop("__c")
 
 
 def components(
@@ -410,23 +463,21 @@ def components(
     classes = materialise(some.groupBy("d1", "d2").agg(F.min("did").alias("did")), "classes")
     index = _index_rows(src, plan, frequent).join(classes, ["did", "d1", "d2"])
     shared = materialise(_shared_keys(index), "shared-keys")
-    wanted = materialise(shared.select("did", "d1").distinct(), "wanted")
-    sets = materialise(_sets(src, k, wanted), "sets")
-    bits = sets.select("did", "d1", "bits")
-    near = _compare(shared.join(bits, ["did", "d1"]).withColumn("comp", F.col("did")), plan, False)
-    links = materialise(_verify(near, sets, plan), "links")
+    sets = materialise(_sets(src, k, shared.select("did")), "sets")
+    bits = sets.select("did", "n", "bits")
+    near = materialise(_nearest(shared.join(bits, "did"), plan), "nearest")
     # an id with several texts connects their classes
     several = some.groupBy("did").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y"))
     several = several.where("x <> y").select("did")
     twice = some.join(several, "did", "left_semi").join(classes.withColumnRenamed("did", "rep"), ["d1", "d2"])
-    links = links.unionByName(twice.select(F.col("did").alias("a"), F.col("rep").alias("b")))
-    comp = connected_components(links)
-    label = F.coalesce("component", "did")
-    mine = shared.join(comp.withColumnRenamed("id", "did"), "did", "left").select("key", "did", "d1", "n", label.alias("comp"))
-    rest = _compare(mine.join(bits, ["did", "d1"]), plan, True)
-    more = materialise(_verify(rest, sets, plan), "links")
-    joined = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    comp = materialise(connected_components(joined.unionByName(more)), "components")
+    twice = twice.select(F.col("did").alias("a"), F.col("rep").alias("b"))
+    # the nearest neighbour of each set, then other neighbours of other components, then all pairs of those
+    best = near.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
+    comp = _joined(None, _verify(best, sets, plan).unionByName(twice))
+    others = _component_of(_component_of(near.select("a", "b").distinct(), comp, "a", "ca"), comp, "b", "cb")
+    comp = _joined(comp, _verify(others.where("ca <> cb"), sets, plan))
+    mine = _component_of(shared, comp, "did", "comp")
+    comp = _joined(comp, _verify(_crossing(mine.join(bits, "did"), plan), sets, plan))
     named = classes.select("d1", "d2", F.col("did").alias("rep")).join(comp, F.col("rep") == F.col("id"), "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = ids.join(named, ["d1", "d2"], "left").select("did", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
