@@ -11,9 +11,9 @@ one band and the next smaller, which keeps ``lo`` close to n.
 
 A key's sets are compared by parity bitmaps, whose Hamming distance never exceeds the size of the
 symmetric difference, so the filter drops no link. First every set is verified against its nearest
-neighbour, then neighbours that are not connected yet; what that connects need not be compared again.
-Last, all pairs of different components that share a key and pass the filter are verified, so no link
-between components is lost.
+neighbour; what that connects need not be compared again. Then the other pairs that share a key, pass
+the filter and lie in different components are verified, last those of keys that many sets have, so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -262,17 +262,19 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, did) whose key more than one set has."""
+    """The rows (key, did, m) whose key m sets have, more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
             t = t.combine_chunks()
             k = t.column("key").to_numpy()
-            same = k[1:] == k[:-1]
-            yield from t.filter(pa.array(np.r_[False, same] | np.r_[same, False])).to_batches()
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            m = np.diff(np.r_[start, len(k)])
+            t = t.append_column("m", pa.array(np.repeat(m, m).astype(np.int32)))
+            yield from t.filter(pa.array(np.repeat(m > 1, m))).to_batches()
 
     keyed = rows.select(F.explode("keys").alias("key"), "did")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, did long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, did long, m int")
 
 
 def _place(did: str) -> Column:
@@ -337,8 +339,12 @@ def _may_link(plan: Plan, dist, n, m):
 
 
 def _nearest(keyed: DataFrame, plan: Plan) -> DataFrame:
-    """``(a, b, dist)``: for each row (key, did, n, bits) the nearest of the NEIGHBOURS sets before it in
-    order of size under its key, if it may link."""
+    """``(b, a, dist, partners)``: for each row (key, did, n, bits) those of the NEIGHBOURS sets before it
+    in order of size under its key that may link, and the nearest of them.
+
+    Under a key of no more than NEIGHBOURS + 1 sets these are all pairs; under others only the nearest
+    is a partner.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
@@ -348,19 +354,24 @@ def _nearest(keyed: DataFrame, plan: Plan) -> DataFrame:
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             found = [np.zeros((0, 3), np.int64)]
             for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
-                bits, m = _bits(raw[s:e]), e - s
-                best, near = np.full(m, 1 << 30), np.full(m, -1)
+                bits, m, mine = _bits(raw[s:e]), e - s, []
                 for j in range(1, min(NEIGHBOURS, m - 1) + 1):
-                    dist, at = _distance(bits[j:], bits[:-j]), np.arange(j, m)
-                    use = (dist < best[j:]) & _may_link(plan, dist, n[s + j : e], n[s : e - j]) & (did[s + j : e] != did[s : e - j])
-                    best[at[use]], near[at[use]] = dist[use], at[use] - j
-                at = np.flatnonzero(near >= 0)
-                found.append(np.c_[did[near[at] + s], did[at + s], best[at]])
+                    dist, at = _distance(bits[j:], bits[:-j]), np.arange(s + j, e)
+                    use = _may_link(plan, dist, n[at], n[at - j]) & (did[at] != did[at - j])
+                    if use.any():
+                        mine.append(np.c_[did[at[use]], dist[use], did[at[use] - j]])
+                if mine:
+                    mine = np.unique(np.concatenate(mine), axis=0)  # by document, the nearest first
+                    nearest = np.r_[True, mine[1:, 0] != mine[:-1, 0]]
+                    found.append(mine if m <= NEIGHBOURS + 1 else mine[nearest])
             rows = np.unique(np.concatenate(found), axis=0)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in rows.T], names=["a", "b", "dist"])
+                first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(rows[:, 2].copy()))
+                cols = [pa.array(rows[first, c].copy()) for c in (0, 2, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, lists], names=["b", "a", "dist", "partners"])
 
-    return _by_key(keyed).mapInArrow(run, "a long, b long, dist long")
+    return _by_key(keyed).mapInArrow(run, "b long, a long, dist long, partners array<long>")
 
 
 def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
@@ -465,18 +476,23 @@ def components(
     shared = materialise(_shared_keys(index), "shared-keys")
     sets = materialise(_sets(src, k, shared.select("did")), "sets")
     bits = sets.select("did", "n", "bits")
-    near = materialise(_nearest(shared.join(bits, "did"), plan), "nearest")
+    near = _nearest(shared.drop("m").join(bits, "did"), plan).groupBy("b").agg(
+        F.min(F.struct("dist", "a")).alias("s"), F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")
+    )
+    near = materialise(near, "nearest")
     # an id with several texts connects their classes
     several = some.groupBy("did").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y"))
     several = several.where("x <> y").select("did")
     twice = some.join(several, "did", "left_semi").join(classes.withColumnRenamed("did", "rep"), ["d1", "d2"])
     twice = twice.select(F.col("did").alias("a"), F.col("rep").alias("b"))
-    # the nearest neighbour of each set, then other neighbours of other components, then all pairs of those
-    best = near.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
+    # the nearest neighbour of each set, then the others, then all pairs of the keys that many sets have,
+    # each only where the components found so far differ
+    best = near.select(F.col("s.a").alias("a"), "b")
     comp = _joined(None, _verify(best, sets, plan).unionByName(twice))
-    others = _component_of(_component_of(near.select("a", "b").distinct(), comp, "a", "ca"), comp, "b", "cb")
+    pairs = near.select("b", F.explode("partners").alias("a"))
+    others = _component_of(_component_of(pairs, comp, "a", "ca"), comp, "b", "cb")
     comp = _joined(comp, _verify(others.where("ca <> cb"), sets, plan))
-    mine = _component_of(shared, comp, "did", "comp")
+    mine = _component_of(shared.where(F.col("m") > NEIGHBOURS + 1).drop("m"), comp, "did", "comp")
     comp = _joined(comp, _verify(_crossing(mine.join(bits, "did"), plan), sets, plan))
     named = classes.select("d1", "d2", F.col("did").alias("rep")).join(comp, F.col("rep") == F.col("id"), "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
