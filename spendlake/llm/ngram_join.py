@@ -13,7 +13,8 @@ A key's sets are compared by parity bitmaps, whose Hamming distance never exceed
 symmetric difference, so the filter drops no link. First every set is verified against its nearest
 neighbour; what that connects need not be compared again. Then the other pairs that share a key, pass
 the filter and lie in different components are verified, last those of keys that many sets have, so no
-link between components is lost.
+link between components is lost. The rows of a key that very many sets have lie in blocks of bounded
+length in order of size, and each pair of blocks is a task's work of its own.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ SLOT_BLOCK = 1 << 16
 PAIRS_FROM = 16
 #: Sets before it in order of size that a set is first compared with under each key.
 NEIGHBOURS = 64
+#: Rows of one key that are held at once; a key of more is divided into blocks of so many at most.
+KEY_BLOCK = 1 << 14
+#: Candidate pairs that a task gathers before it hands them on.
+HELD_PAIRS = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -261,8 +267,44 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, did, m) whose key m sets have, more than one."""
+def _hot_keys(index: DataFrame, block: int) -> DataFrame:
+    """The keys (key) that about ``block`` sets or more have, found in a part of the documents by hash.
+
+    This only chooses which keys are divided: all rows of a key stay, however it is counted.
+    """
+    share = max(1, min(64, block // 128))
+    some = index.where(F.pmod(F.xxhash64("did"), F.lit(share)) == 0).select(F.explode("keys").alias("key"))
+    return materialise(some.groupBy("key").count().where(F.col("count") * share >= block).select("key"), "hot-keys")
+
+
+def _hot_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``(key, did, n, block)``: the rows (key, did, n) in order of size, no more than ``block`` to a block.
+
+    Rows are dealt out by ranges, so a key's rows spread over tasks; a block lies in one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, length = TaskContext.get().partitionId() << 32, None, 0
+        for b in batches:
+            key = b.column("key").to_numpy()
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+            out = np.zeros(len(key), np.int64)
+            for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
+                if key[s] != last:
+                    at, last, length = at + 1, key[s], 0
+                place = length + np.arange(e - s)
+                out[s:e] = at + place // block
+                at, length = at + (length + int(e - s) - 1) // block, (length + int(e - s) - 1) % block + 1
+            yield b.append_column("block", pa.array(out))
+
+    rows = materialise(rows, "hot-rows")
+    dealt = rows.repartitionByRange("key", "n", "did").sortWithinPartitions("key", "n", "did")
+    return materialise(dealt.mapInArrow(run, "key long, did long, n long, block long"), "hot-blocks")
+
+
+def _shared_keys(index: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (key, did, m) whose key m sets have, more than one, without the keys that very many sets
+    have; and the rows (key, did, n, block) of those, if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
@@ -273,8 +315,31 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
             t = t.append_column("m", pa.array(np.repeat(m, m).astype(np.int32)))
             yield from t.filter(pa.array(np.repeat(m > 1, m))).to_batches()
 
-    keyed = rows.select(F.explode("keys").alias("key"), "did")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, did long, m int")
+    keyed = index.select(F.explode("keys").alias("key"), "did", "n")
+    hot = _hot_keys(index, block)
+    blocks = None
+    if not hot.isEmpty():
+        blocks = _hot_blocks(keyed.join(F.broadcast(hot), "key", "left_semi"), block)
+        keyed = keyed.join(F.broadcast(hot), "key", "left_anti")
+    keyed = keyed.select("key", "did").repartition("key").sortWithinPartitions("key")
+    return materialise(keyed.mapInArrow(run, "key long, did long, m int"), "shared-keys"), blocks
+
+
+def _block_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """``(block, key, side)``: the pairs of a key's blocks that may hold a link between components, each
+    under a key of its own, its first block as side 0, its second as side 1; a block's pair with itself
+    is its side 0 alone. ``rows`` has (key, n, block, comp)."""
+    one = rows.groupBy("key", "block").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last")
+    )
+    one = materialise(one, "blocks")
+    two = one.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "first", "last")])
+    pairs = one.join(two, "key").where("block <= block2")
+    pairs = pairs.where((plan.den * F.col("hi") >= plan.num * F.col("lo2")) & (plan.den * F.col("hi2") >= plan.num * F.col("lo")))
+    pairs = pairs.where(F.least("first", "first2") != F.greatest("last", "last2"))
+    pairs = pairs.select(F.xxhash64("block", "block2").alias("key"), "block", "block2")
+    second = pairs.where("block < block2").select(F.col("block2").alias("block"), "key", F.lit(1).alias("side"))
+    return pairs.select("block", "key", F.lit(0).alias("side")).unionByName(second)
 
 
 def _place(did: str) -> Column:
@@ -320,8 +385,8 @@ def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return src.select("did", _place("did").alias("p"), "content").mapInArrow(run, "did long, n long, bits binary, tokens binary")
 
 
-def _by_key(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "n", "did")
+def _by_key(rows: DataFrame, *first: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", *first, "n", "did")
 
 
 def _bits(raw: list[bytes]) -> np.ndarray:
@@ -375,39 +440,46 @@ def _nearest(keyed: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
-    """``(a, b)``: all pairs of different components among the rows (key, did, n, bits, comp) of a key
-    that may link, each once.
+    """``(a, b)``: all pairs of different components among the rows (key, did, n, bits, comp, side) of a
+    key that may link, each once; where a key has rows of side 1, the pairs of one of each side.
 
     A task hands on one row per document with the list of its partners, so pairs that meet under many
     keys stay numbers in a list until the lists of a document are merged.
     """
 
+    def hand_on(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        if len(pairs):
+            first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pairs)].astype(np.int32)), pa.array(pairs[:, 1].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0].copy()), lists], names=["a", "partners"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
             t = t.combine_chunks()
-            key, did, n, comp = (t.column(c).to_numpy() for c in ("key", "did", "n", "comp"))
+            key, did, n, comp, side = (t.column(c).to_numpy() for c in ("key", "did", "n", "comp", "side"))
             raw = t.column("bits").to_pylist()
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            found = [np.zeros((0, 2), np.int64)]
+            found, held = [np.zeros((0, 2), np.int64)], 0
             for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
                 if (comp[s:e] == comp[s]).all():
                     continue
                 bits, m, ns = _bits(raw[s:e]), e - s, n[s:e]
-                for i in range(0, m, 128):
-                    for j in range(i, m, 1024):
+                second = int(np.searchsorted(side[s:e], 1))  # the first row of side 1, if there is one
+                for i in range(0, second, 128):
+                    if held > HELD_PAIRS:
+                        yield from hand_on(found)
+                        found, held = [np.zeros((0, 2), np.int64)], 0
+                    for j in range(i if second == m else second, m, 1024):
                         dist = _distance(bits[i : i + 128, None], bits[None, j : j + 1024])
                         x, y = np.nonzero(_may_link(plan, dist, ns[i : i + 128, None], ns[None, j : j + 1024]))
                         x, y = x + i + s, y + j + s
-                        use = (x < y) & (comp[x] != comp[y])
+                        use = (x < y) & (comp[x] != comp[y]) & ((second == m) | (x < s + second))
                         found.append(np.c_[did[y[use]], did[x[use]]])
-            pairs = np.concatenate(found)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            if len(pairs):
-                first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pairs)].astype(np.int32)), pa.array(pairs[:, 1].copy()))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0].copy()), lists], names=["a", "partners"])
-
-    lists = _by_key(keyed).mapInArrow(run, "a long, partners array<long>")
+                        held += int(use.sum())
+            yield from hand_on(found)
+
+    lists = _by_key(keyed, "side").mapInArrow(run, "a long, partners array<long>")
     merged = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     return merged.select("a", F.explode("partners").alias("b"))
 
@@ -451,14 +523,20 @@ def _component_of(rows: DataFrame, comp: DataFrame, did: str, name: str) -> Data
 
 
 def components(
-    docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    k: int = 4,
+    num: int = 85,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = KEY_BLOCK,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id)``, one row per row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a document's set is its distinct ``k``-word
     shingles, with fewer words the whole sequence as one. Two documents link when
     ``den * intersection >= num * union``; ``component_id`` is the smallest id reachable by links.
-    ``num / den`` is at least a half.
+    ``num / den`` is at least a half. ``block`` bounds the rows of one key that a task holds, twice over.
 
     Null, empty and blank texts have no set and link with nothing. Rows of one id are one document: texts
     of the same id are connected. A null id comes after all others: such rows share a component, which
@@ -473,10 +551,13 @@ def components(
     some = ids.where("n > 0")
     classes = materialise(some.groupBy("d1", "d2").agg(F.min("did").alias("did")), "classes")
     index = _index_rows(src, plan, frequent).join(classes, ["did", "d1", "d2"])
-    shared = materialise(_shared_keys(index), "shared-keys")
-    sets = materialise(_sets(src, k, shared.select("did")), "sets")
+    shared, hot = _shared_keys(materialise(index.select("did", "n", "keys"), "index"), block)
+    keyed = shared.select("key", "did")
+    if hot is not None:
+        keyed = keyed.unionByName(hot.select(F.xxhash64("block").alias("key"), "did"))
+    sets = materialise(_sets(src, k, keyed.select("did")), "sets")
     bits = sets.select("did", "n", "bits")
-    near = _nearest(shared.drop("m").join(bits, "did"), plan).groupBy("b").agg(
+    near = _nearest(keyed.join(bits, "did"), plan).groupBy("b").agg(
         F.min(F.struct("dist", "a")).alias("s"), F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")
     )
     near = materialise(near, "nearest")
@@ -492,7 +573,12 @@ def components(
     pairs = near.select("b", F.explode("partners").alias("a"))
     others = _component_of(_component_of(pairs, comp, "a", "ca"), comp, "b", "cb")
     comp = _joined(comp, _verify(others.where("ca <> cb"), sets, plan))
-    mine = _component_of(shared.where(F.col("m") > NEIGHBOURS + 1).drop("m"), comp, "did", "comp")
+    mine = _component_of(shared.where(F.col("m") > NEIGHBOURS + 1).select("key", "did"), comp, "did", "comp")
+    mine = mine.withColumn("side", F.lit(0))
+    if hot is not None:
+        rows = materialise(_component_of(hot, comp, "did", "comp"), "hot-components")
+        sides = _block_pairs(rows, plan)
+        mine = mine.unionByName(rows.select("did", "block", "comp").join(sides, "block").drop("block"))
     comp = _joined(comp, _verify(_crossing(mine.join(bits, "did"), plan), sets, plan))
     named = classes.select("d1", "d2", F.col("did").alias("rep")).join(comp, F.col("rep") == F.col("id"), "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component"))

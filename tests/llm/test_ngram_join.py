@@ -139,6 +139,53 @@ def test_a_large_group_in_which_few_pairs_link(spark):
     assert len({x.component_id for x in got}) > 5
 
 
+def passages(seed=3):
+    """Documents made of the same shared passages, near copies of several groups among them."""
+    r = random.Random(seed)
+    base = [[f"p{g}_{i}" for i in range(120)] for g in range(3)]
+    rows = []
+    for i in range(330):
+        t = list(base[i % 3]) + base[0][: r.choice([0, 0, 10])]
+        for _ in range(r.randrange(0, 9)):
+            t[r.randrange(len(t))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [16, 40])
+def test_no_task_holds_more_of_a_key_than_two_blocks(spark, block):
+    rows = passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.components(docs, block=block).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows, 4, 85, 100)
+    plan = ngram_join.Plan(4, 85, 100)
+    sets = {d: ngram_join.shingle_set(t, 4) for d, t in rows}
+    keys = [(d, len(s), [int(x) for x in plan.keys(s, np.ones(len(s), bool)).view(np.int64)]) for d, s in sets.items()]
+    index = spark.createDataFrame(keys, "did long, n long, keys array<long>")
+    cold, hot = ngram_join._shared_keys(index, block)
+    assert cold.groupBy("key").count().where(f"count >= {block}").isEmpty()
+    assert hot.groupBy("block").count().where(f"count > {block}").isEmpty()
+    owners = {}
+    for d, _, ks in keys:
+        for k in set(ks):
+            owners.setdefault(k, set()).add(d)
+    big = {k: v for k, v in owners.items() if len(v) >= block}
+    assert max(map(len, big.values())) > 3 * block // 2
+    rows = hot.withColumn("comp", ngram_join.F.col("did"))
+    where = {}
+    for r in hot.collect():
+        where.setdefault(r.block, set()).add((r.key, r.did))
+    units = {}
+    for r in ngram_join._block_pairs(rows, plan).collect():
+        units.setdefault(r.key, [None, None])[r.side] = r.block
+    compared = set()
+    for i, j in units.values():
+        for k, x in where[i]:
+            compared |= {(k, *sorted((x, y))) for _, y in where[i if j is None else j] if x != y}
+    near = lambda x, y: 100 * min(len(sets[x]), len(sets[y])) >= 85 * max(len(sets[x]), len(sets[y]))
+    assert all((k, x, y) in compared for k, v in big.items() for x in v for y in v if x < y and near(x, y))
+
+
 def test_empty_table(spark):
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
