@@ -25,8 +25,11 @@ from .common import file_bytes, materialise, slices, sum_vectors
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
-#: A longer run of letters is scored as runs of this length, which keeps products of doubles above zero.
-MAX_RUN = 32
+#: Words of up to so many characters are summed in probabilities, which doubles hold for pieces of any table
+#: (1e-18 to this power); longer ones in logarithms.
+SHORT = 16
+#: Characters of words that are scored together.
+TOGETHER = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1024
 
@@ -38,13 +41,13 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         texts = {sp.id_to_piece(i) for i in range(sp.vocab_size())}
         texts = {p for p in texts if (b := p.removeprefix(START)) == b.lower() and (not b or b.isalpha())}
+        self.max_piece = max_piece
         self.texts = sorted(p for p in texts if 0 < len(p) <= max_piece)
         h = np.array([self.hash(p) for p in self.texts], np.uint64)
         self.order = np.argsort(h)
         self.keys = h[self.order]
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
-        self.max_piece = max_piece
         self.unknown = len(self.texts)
         self.none = self.unknown + 1
         self.size = self.none + 1
@@ -63,17 +66,20 @@ class Pieces:
             if n > 1:
                 h = h[:, :-1] * MULTIPLIER + codes[:, n - 1 :]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out.append(np.where(self.keys[at] == h, self.order[at], self.unknown if n == 1 else self.none))
+            out.append(np.where(self.keys[at] == h, self.order[at], self.unknown if n == 1 else self.none).astype(np.int32))
         return out
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of the words of one length, and their code points with the start mark."""
+    """Indices of words of one length, TOGETHER characters at once, and their code points with the start mark."""
     size = np.array([len(w) for w in words])
     for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        codes = np.frombuffer("".join(START + words[i] for i in at).encode("utf-32-le"), "<u4")
-        yield at, codes.reshape(len(at), n + 1).astype(np.uint64)
+        same = np.flatnonzero(size == n)
+        step = max(1, TOGETHER // int(n + 1))
+        for i in range(0, len(same), step):
+            at = same[i : i + step]
+            codes = np.frombuffer("".join(START + words[j] for j in at).encode("utf-32-le"), "<u4")
+            yield at, codes.reshape(len(at), n + 1).astype(np.uint64)
 
 
 def forward(cover: list[np.ndarray], n: int, prob: np.ndarray) -> np.ndarray:
@@ -86,11 +92,66 @@ def forward(cover: list[np.ndarray], n: int, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
+
+
+def log_forward(cover: list[np.ndarray], n: int, logp: np.ndarray, none: int) -> np.ndarray:
+    """Logarithm of ``forward``, of a word of any length; ``logp`` is that of its ``prob``."""
+    ends = np.full((len(cover[0]), n, len(cover)), none, np.int32)  # the pieces that end at each place
+    for k, at in enumerate(cover):
+        ends[:, k:, k] = at
+    alpha = np.full((len(cover[0]), n + 1, logp.shape[1]), -np.inf)
+    alpha[:, 0] = 0
+    for i in range(1, n + 1):
+        k = min(i, len(cover))
+        alpha[:, i] = _log_sum(alpha[:, i - k : i][:, ::-1] + logp[ends[:, i - 1, :k]])
+    return alpha
+
+
+def log_backward(cover: list[np.ndarray], n: int, logp: np.ndarray, none: int) -> np.ndarray:
+    """Logarithm of each suffix's probability under one language, ``(words, n + 1)``."""
+    starts = np.full((len(cover[0]), n, len(cover)), none, np.int32)
+    for k, at in enumerate(cover):
+        starts[:, : n - k, k] = at
+    beta = np.full((len(cover[0]), n + 1), -np.inf)
+    beta[:, n] = 0
+    for i in range(n - 1, -1, -1):
+        k = min(n - i, len(cover))
+        beta[:, i] = _log_sum(beta[:, i + 1 : i + k + 1] + logp[starts[:, i, :k]])
+    return beta
+
+
+def logarithm(prob: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(prob)
+
+
+def log_probability(pieces: Pieces, codes: np.ndarray, prob: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log probability of each word by language, ``(words, languages)``."""
+    n, cover = codes.shape[1], pieces.cover(codes)
+    if n <= SHORT:
+        return np.log(forward(cover, n, prob)[:, n])
+    out = np.empty((len(codes), prob.shape[1]))
+    step = max(1, 8 * TOGETHER // codes.size)
+    for i in range(0, prob.shape[1], step):
+        out[:, i : i + step] = log_forward(cover, n, logp[:, i : i + step], pieces.none)[:, n]
+    return out
+
+
 def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece under one language's ``prob``."""
-    total = np.zeros(pieces.size)
+    total, logp = np.zeros(pieces.size), logarithm(prob)
     for at, codes in by_length(words):
         n, cover = codes.shape[1], pieces.cover(codes)
+        if n > SHORT:
+            alpha = log_forward(cover, n, logp[:, None], pieces.none)[:, :, 0]
+            beta = log_backward(cover, n, logp, pieces.none)
+            for k, c in enumerate(cover, 1):
+                use = np.exp(alpha[:, : n - k + 1] + logp[c] + beta[:, k:] - alpha[:, n:]) * counts[at][:, None]
+                total += np.bincount(c.ravel(), use.ravel(), pieces.size)
+            continue
         alpha = forward(cover, n, prob[:, None])[:, :, 0]
         beta = np.zeros_like(alpha)
         beta[:, n] = 1
@@ -107,11 +168,8 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndar
 
 
 def runs(chunk: str) -> list[str]:
-    """The lower-case letter runs of a piece of text, cut at MAX_RUN letters."""
-    out = []
-    for w in LETTERS.findall(chunk.lower()):
-        out += [w[i : i + MAX_RUN] for i in range(0, len(w), MAX_RUN)]
-    return out
+    """The lower-case letter runs of a piece of text."""
+    return LETTERS.findall(chunk.lower())
 
 
 def word_counts(docs: DataFrame, lang: Column, text: Column, held: int = 300_000) -> DataFrame:
@@ -155,11 +213,12 @@ class Model:
     pieces: Pieces | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pieces": None, "cache": None}
+        return self.__dict__ | {"pieces": None, "cache": None, "logp": None, "rows": None}
 
     def _ready(self) -> None:
         if self.pieces is None:
             self.pieces = Pieces(self.vocabulary, self.max_piece)
+            self.logp = logarithm(self.prob)
             self.cache = None
         if self.cache is None or len(self.cache) > self.cache_size:
             self.cache, self.rows = {}, np.zeros((0, len(self.langs) + 1))
@@ -175,8 +234,7 @@ class Model:
         logs = np.zeros((len(words), len(self.langs) + 1))
         logs[:, -1] = 1
         for at, codes in by_length(list(words)):
-            n = codes.shape[1]
-            logs[at, :-1] = np.log(forward(self.pieces.cover(codes), n, self.prob)[:, n])
+            logs[at, :-1] = log_probability(self.pieces, codes, self.prob, self.logp)
         new = np.zeros((len(chunks), len(self.langs) + 1))
         np.add.at(new, owner, logs[use])
         self.cache.update(zip(chunks, range(len(self.rows), len(self.rows) + len(chunks)), strict=True))

@@ -78,3 +78,28 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out]
     assert len(held) > 100
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_long_unseen_runs_in_a_large_table():
+    p = langid.Pieces(RAW, 8)
+    counts = np.full((p.size, 3), 0.01)
+    counts[p.none] = 0
+    for k, word in enumerate(["der", "the", "les"]):
+        counts[p.texts.index(langid.START + word), k] += 1e10 * (k + 1)
+    model = langid.Model(["de", "en", "fr"], np.ones(3) / 3, counts / counts.sum(0), RAW, 8)
+    texts = ["the the", "the the " + "漢" * 40, "漢" * 40, "ก" * 3000 + " der", "z" * 100]
+    langs, score = model.predict(texts)
+    assert langs[0] == "en" and langs[2] == "de"  # a smaller total leaves more to unseen letters
+    assert np.isfinite(score).all() and (score > 0).all() and (score <= 1).all()
+    assert langid.runs("Z" * 100) == ["z" * 100]
+    rng = np.random.default_rng(3)
+    prob = rng.random((p.size, 2))
+    prob[p.none] = 0
+    _, codes = next(langid.by_length(["internationalisierungsmaßnahmen"]))
+    n, cover = codes.shape[1], p.cover(codes)
+    plain = langid.forward(cover, n, prob)
+    assert np.allclose(langid.log_forward(cover, n, langid.logarithm(prob), p.none), np.log(plain))
+    # the long words' uses, scaled, add up to all their characters
+    for unseen in (1e-1, 1e-14):
+        got = langid.expected(p, ["漢" * 200], np.array([2.0]), np.where(np.arange(p.size) == p.unknown, unseen, np.r_[np.full(p.none, 1e-3), 0]))
+        assert np.isclose(got[p.unknown], 400)
