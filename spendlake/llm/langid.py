@@ -37,12 +37,12 @@ BLOCK = 1024
 class Pieces:
     """The vocabulary's lower-case letter pieces by hash; one more index stands for any other letter."""
 
-    def __init__(self, raw: bytes, max_piece: int):
+    def __init__(self, raw: bytes, max_piece: int | None = None):
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         texts = {sp.id_to_piece(i) for i in range(sp.vocab_size())}
         texts = {p for p in texts if (b := p.removeprefix(START)) == b.lower() and (not b or b.isalpha())}
-        self.max_piece = max_piece
-        self.texts = sorted(p for p in texts if 0 < len(p) <= max_piece)
+        self.max_piece = max_piece or max(map(len, texts))
+        self.texts = sorted(p for p in texts if 0 < len(p) <= self.max_piece)
         h = np.array([self.hash(p) for p in self.texts], np.uint64)
         self.order = np.argsort(h)
         self.keys = h[self.order]
@@ -208,7 +208,7 @@ class Model:
     prior: np.ndarray
     prob: np.ndarray
     vocabulary: bytes
-    max_piece: int
+    max_piece: int | None
     cache_size: int = 400_000
     pieces: Pieces | None = field(default=None, repr=False)
 
@@ -267,7 +267,7 @@ def train(
     lang_col: str = "lang",
     text_col: str = "text",
     iterations: int = 2,
-    max_piece: int = 8,
+    max_piece: int | None = None,
     smoothing: float = 0.01,
     max_langs: int = 500,
 ) -> Model:
@@ -275,7 +275,8 @@ def train(
 
     The driver gets ``languages x pieces`` doubles and no words; ``max_langs`` bounds the first factor
     (more is an error), the vocabulary the second. No training rows give a model that answers ``und``.
-    Repeated rows count as often as they stand there.
+    Repeated rows count as often as they stand there. All of the vocabulary's pieces take part unless
+    ``max_piece`` bounds their length, the start mark included.
     """
     spark = docs.sparkSession
     raw = file_bytes(vocabulary_path)

@@ -48,6 +48,28 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(uses, slow)
 
 
+def test_long_pieces_take_part():
+    p = langid.Pieces(RAW)
+    rng = np.random.default_rng(2)
+    prob = rng.random((p.size, 2))
+    prob[p.none] = 0
+    index = {t: i for i, t in enumerate(p.texts)}
+    longest = max(map(len, p.texts))
+    assert longest > 8 and p.max_piece == longest
+    for word in (max((t for t in p.texts if t[0] == langid.START and len(t) <= 13), key=len)[1:], "information"):
+        _, codes = next(langid.by_length([word]))
+        want = np.zeros(2)
+        for s in segmentations(langid.START + word):
+            want += np.prod(prob[[index.get(x, p.unknown if len(x) == 1 else p.none) for x in s]], axis=0)
+        assert np.allclose(langid.log_probability(p, codes, prob, langid.logarithm(prob)), np.log(want))
+
+
+def test_training_takes_the_longest_piece(spark):
+    docs = spark.createDataFrame([(1, "the information", "en", 0)], ROWS)
+    model = langid.train(docs, VOCAB)
+    assert len(model.prob) == langid.Pieces(RAW).size > langid.Pieces(RAW, 8).size
+
+
 def test_learns_odd_rows(spark):
     rows = [(i, "the cat and the dog " * 3, "en", 0) for i in range(8)] + [(i, "der hund und die katze", "de", 0) for i in range(8, 16)]
     rows += [(20, None, "en", 1), (21, "", "de", 1), (22, "12 !!", "en", 1), (23, "the dog", None, 1), (None, "die katze", None, 1), (8, rows[8][1], "de", 0)]
