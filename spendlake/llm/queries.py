@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..session import shared_path
+from ..session import stable_path
 from . import bpe, chat_format, decontaminate, langid, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts
 from .common import fold, table
 
@@ -73,7 +73,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    out = token_counts.count_tokens(docs, path, shared_path(spark, "token-cache"))
+    out = token_counts.count_tokens(docs, path, stable_path(spark, "token-cache"))
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

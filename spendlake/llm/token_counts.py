@@ -3,12 +3,14 @@
 The cache is a Parquet table ``(version, digest, n_tokens)`` in a shared folder: ``version`` is the
 digest of the tokenizer file, ``digest`` that of the normalised content. A run joins the digests of all
 documents to it, encodes one document of each digest that it lacks, appends those counts and joins them
-to every document. Counting a table twice therefore encodes nothing the second time.
+to every document. Counting a table twice therefore encodes nothing the second time. Each run appends
+under a folder ``run=...`` of its own, so that runs at the same time do not touch each other's files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,6 +102,6 @@ def count_tokens(
             )
 
     to_encode = chosen.select("digest", "content").unionByName(unnamed.select("digest", "content"))
-    to_encode.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    to_encode.mapInArrow(run, CACHE_SCHEMA).write.parquet(f"{cache_path}/run={uuid.uuid4().hex}")
     counts = read_cache(spark, cache_path, version)
     return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

@@ -64,6 +64,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stable_path(spark: SparkSession, name: str) -> str:
+    """The path of that name in the folder that ``spark.checkpoint.dir`` names, the same for every session.
+
+    The context's own checkpoint folder is one below it, new for each application.
+    """
+    own = ensure_checkpoint_dir(spark)
+    return os.path.join(spark.conf.get("spark.checkpoint.dir", None) or os.path.dirname(own), name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss, unlike a local one)."""
     ensure_checkpoint_dir(df.sparkSession)

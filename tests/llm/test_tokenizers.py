@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from spendlake.llm import bpe, token_counts
 from spendlake.llm.queries import op1_bpe, op6_token_counts
+from spendlake.session import stable_path
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -114,5 +115,17 @@ def test_op6_on_the_table(spark):
     assert all(r.over_limit == (r.n_tokens > 4096) for r in got)
 
 
+def test_op6_encodes_nothing_the_second_time(spark):
+    small = SF.replace("sf0.01", "sf0.001")
+    first = sorted(map(str, op6_token_counts(spark, small).collect()))
+    cache = stable_path(spark, "token-cache")
+    assert cache.startswith(spark.conf.get("spark.checkpoint.dir"))
+    n = spark.read.parquet(cache).count()
+    texts = {r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert n >= len(texts)
+    assert sorted(map(str, op6_token_counts(spark, small).collect())) == first
+    assert spark.read.parquet(cache).count() == n
+
+
 def test_counts_of_an_empty_table(spark, tmp_path):
     assert token_counts.count_tokens(frame(spark, ODD).limit(0), PIECE, str(tmp_path / "c")).collect() == []
