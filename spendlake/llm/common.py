@@ -37,11 +37,22 @@ def fold(doc_id: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that a task's Python memory follows ``rows``, not the batch."""
+#: Arrow bytes of a slice that Python works on at once; a single larger row makes a slice of its own.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows and ``max_bytes`` at most, so that a task's Python memory does not follow the
+    batch or the length of its texts. A row that is larger on its own is a slice."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        todo = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            s = todo.pop()
+            if s.num_rows > 1 and s.nbytes > max_bytes:
+                half = s.num_rows // 2
+                todo += [s.slice(half), s.slice(0, half)]
+            else:
+                yield s
 
 
 def file_bytes(path: str, limit: int = 64 << 20) -> bytes:
