@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import stable_path
-from . import bpe, chat_format, decontaminate, langid, lexical_search, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts
+from . import bpe, chat_format, decontaminate, langid, lexical_search, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, spelling, token_counts
 from .common import fold, table
 
 
@@ -108,6 +108,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_chars=7, min_count=2, every=31)
+    return spelling.variants(words, ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_lexical_search": op11_lexical_search,
+    "op12_spelling": op12_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
