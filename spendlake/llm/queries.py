@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..session import stable_path
-from . import bpe, chat_format, decontaminate, langid, lexical_search, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, spelling, token_counts
+from ..session import shared_path, stable_path
+from . import bpe, chat_format, decontaminate, langid, lexical_search, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, spelling, token_counts, warc
 from .common import fold, table
 
 
@@ -113,6 +113,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, ratio=10)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive(spark, table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_lexical_search": op11_lexical_search,
     "op12_spelling": op12_spelling,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -234,6 +240,14 @@ ORACLE: dict[str, str] = {
             SELECT item_id, rid, doc_id, sum(q.c * c.c)::BIGINT AS score FROM q JOIN c USING (t) GROUP BY ALL HAVING sum(q.c * c.c) > 0),
         o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
         SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op13_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+            CASE WHEN payload_bytes < 1000 OR top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND top IS DISTINCT FROM page_id THEN top END AS refers_to
+        FROM t""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
