@@ -189,8 +189,17 @@ def shards(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
     parts = -(-total // entries)
     dealt = bags.repartitionByRange(parts, "low", "item").sortWithinPartitions("low", "item").mapInArrow(deal, schema)
     dealt = materialise(dealt.withColumn("task", F.spark_partition_id()), "item-shards")
-    for r in dealt.select("task", "shard").distinct().orderBy("task", "shard").collect():
-        rows = dealt.where((F.col("task") == r["task"]) & (F.col("shard") == r["shard"])).collect()
+    at = F.struct("task", "shard")
+    # tasks may hold little: neighbours are packed to full shards, each from its first part to its last
+    packs: list[list] = []
+    for r in dealt.groupBy(at.alias("at")).agg(F.sum(F.size("terms")).alias("n")).orderBy("at").collect():
+        if packs and packs[-1][2] + r["n"] <= entries:
+            packs[-1][1:] = [r["at"], packs[-1][2] + r["n"]]
+        else:
+            packs.append([r["at"], r["at"], r["n"]])
+    for first, last, _ in packs:
+        low, high = (F.struct(F.lit(x["task"]).alias("task"), F.lit(x["shard"]).alias("shard")) for x in (first, last))
+        rows = dealt.where((at >= low) & (at <= high)).collect()
         bag = [(x["item"], {bytes(t): n for t, n in zip(x["terms"], x["counts"], strict=True)}) for x in rows]
         yield build_plan(sorted(bag, key=lambda x: (x[0] is None, x[0])))
 
