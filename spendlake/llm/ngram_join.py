@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
 from .common import connected_components, materialise, slices
 
 U = np.uint64
@@ -42,6 +43,10 @@ PAIRS_FROM = 16
 NEIGHBOURS = 64
 #: Rows of one key that are held at once; a key of more is divided into blocks of so many at most.
 KEY_BLOCK = 1 << 14
+#: Keys to divide that are broadcast; more of them meet their rows by a shuffle.
+MAX_HOT_KEYS = 1 << 21
+#: Shingles that a task gathers before it counts them.
+HELD_SLOTS = 1 << 20
 #: Candidate pairs that a task gathers before it hands them on.
 HELD_PAIRS = 1 << 20
 
@@ -49,31 +54,75 @@ HELD_PAIRS = 1 << 20
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     h = h ^ (h >> U(30))
-    h = h * U(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U(27))
-    h = h * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
 
 
-_WORDS: dict[bytes, int] = {}
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], U)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of the whole text."""
-    words = (text or "").encode().lower().split()
-    if not words:
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z in lower case, and where each text's words end.
+
+    Words are taken eight bytes at a time, all words together.
+    """
+    raw = b" ".join(t or b"" for t in texts).lower() + b" " * 8
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.r_[0, edge]
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from every place on
+    h = size.astype(U)
+    on = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(on):
+        part = eight[start[on] + at] & _MASKS[np.minimum(size[on] - at, 8)]
+        h[on] = mix(h[on] * GOLD + part)
+        at += 8
+        on = on[size[on] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]])
+    upto = np.cumsum([len(t or b"") + 1 for t in texts])
+    return h, np.searchsorted(start, upto)
+
+
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each whole text (UTF-8); those of all texts are mixed at once."""
+    if not texts:
+        return []
+    h, ends = word_hashes(texts)
+    whole = _shingles(h, k)
+    out, begin = [], 0
+    for end in ends.tolist():
+        n = end - begin
+        s = np.sort(whole[begin : end - k + 1]) if n >= k else _shingles(h[begin:end], n)
+        out.append(s if len(s) < 2 else s[np.r_[True, s[1:] != s[:-1]]])
+        begin = end
+    return out
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    if not size or len(h) < size:
         return np.zeros(0, U)
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    for w in set(words):
-        if w not in _WORDS:
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_WORDS[w] for w in words], U)
-    size = min(k, len(words))
-    s = np.full(len(words) - size + 1, size, U)
+    s = np.full(len(h) - size + 1, size, U)
     for i in range(size):
-        s = mix(s * GOLD + h[i : len(words) - size + 1 + i])
-    return np.unique(s)
+        s *= GOLD
+        s += h[i : len(h) - size + 1 + i]
+        s = mix(s)
+    return s
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """That of one text."""
+    return shingle_sets([(text or "").encode()], k)[0]
 
 
 def slot(tokens: np.ndarray) -> np.ndarray:
@@ -170,7 +219,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).alias("content"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).cast("binary").alias("content"))
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -181,22 +230,24 @@ def _first_scan(src: DataFrame, k: int) -> DataFrame:
     """A row (did, d1, d2, n) per document, and each task's shingle counts by hashed slot, at most 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(1 << SLOT_BITS, np.int32)
+        slots = np.zeros(1 << SLOT_BITS, np.int64)
         names = ["did", "d1", "d2", "n", "block", "vec"]
-        any_row = False
+        any_row, held = False, []
         for b in slices(batches):
             any_row = True
-            rows = []
-            for t in b.column("content").to_pylist():
-                s = shingle_set(t, k)
-                np.add.at(slots, slot(s), 1)
-                rows.append((*_digest(s), len(s)))
-            d1, d2, n = zip(*rows, strict=True)
-            none = pa.nulls(len(rows), pa.int32())
+            sets = shingle_sets(b.column("content").to_pylist(), k)
+            held += sets
+            if sum(map(len, held)) > HELD_SLOTS:
+                slots += np.bincount(slot(np.concatenate(held)), minlength=len(slots))
+                held = []
+            d1, d2, n = zip(*[(*_digest(s), len(s)) for s in sets], strict=True)
+            none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("did"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), none, pa.nulls(len(rows), pa.binary())],
+                [b.column("did"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), none, pa.nulls(len(sets), pa.binary())],
                 names=names,
             )
+        if held:
+            slots += np.bincount(slot(np.concatenate(held)), minlength=len(slots))
         if any_row:
             parts = np.minimum(slots, 255).astype(np.uint8).reshape(-1, SLOT_BLOCK)
             for i, p in enumerate(parts):
@@ -234,8 +285,8 @@ def _index_rows(src: DataFrame, plan: Plan, frequent: bytes) -> DataFrame:
         often = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for b in slices(batches):
             rows, keys = [], [np.zeros(0, U)]
-            for did, t in zip(b.column("did").to_pylist(), b.column("content").to_pylist(), strict=True):
-                s = shingle_set(t, plan.k)
+            sets = shingle_sets(b.column("content").to_pylist(), plan.k)
+            for did, s in zip(b.column("did").to_pylist(), sets, strict=True):
                 if len(s):
                     keys.append(plan.keys(s, often[slot(s)]))
                     rows.append((did, *_digest(s), len(s)))
@@ -319,8 +370,9 @@ def _shared_keys(index: DataFrame, block: int) -> tuple[DataFrame, DataFrame | N
     hot = _hot_keys(index, block)
     blocks = None
     if not hot.isEmpty():
-        blocks = _hot_blocks(keyed.join(F.broadcast(hot), "key", "left_semi"), block)
-        keyed = keyed.join(F.broadcast(hot), "key", "left_anti")
+        hot = bounded_broadcast(hot, MAX_HOT_KEYS)
+        blocks = _hot_blocks(keyed.join(hot, "key", "left_semi"), block)
+        keyed = keyed.join(hot, "key", "left_anti")
     keyed = keyed.select("key", "did").repartition("key").sortWithinPartitions("key")
     return materialise(keyed.mapInArrow(run, "key long, did long, m int"), "shared-keys"), blocks
 
@@ -374,8 +426,9 @@ def _sets(src: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         for b in slices(batches):
             b = b.filter(pa.array(want[b.column("p").to_numpy()]))
             rows = []
-            for did, t in zip(b.column("did").to_pylist(), b.column("content").to_pylist(), strict=True):
-                if len(s := shingle_set(t, k)):
+            sets = shingle_sets(b.column("content").to_pylist(), k)
+            for did, s in zip(b.column("did").to_pylist(), sets, strict=True):
+                if len(s):
                     rows.append((did, len(s), bitmap(s), pack(s)))
             if rows:
                 kinds = [pa.int64()] * 2 + [pa.binary()] * 2
@@ -443,8 +496,8 @@ def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
     """``(a, b)``: all pairs of different components among the rows (key, did, n, bits, comp, side) of a
     key that may link, each once; where a key has rows of side 1, the pairs of one of each side.
 
-    A task hands on one row per document with the list of its partners, so pairs that meet under many
-    keys stay numbers in a list until the lists of a document are merged.
+    A task hands on a document's partners as lists of a bounded number of pairs, which are taken apart
+    before they meet, so no row holds all partners of a document.
     """
 
     def hand_on(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -480,8 +533,7 @@ def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
             yield from hand_on(found)
 
     lists = _by_key(keyed, "side").mapInArrow(run, "a long, partners array<long>")
-    merged = lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
-    return merged.select("a", F.explode("partners").alias("b"))
+    return lists.select("a", F.explode("partners").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:

@@ -198,3 +198,19 @@ def test_query_equals_brute_force(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(map(str, con.execute(ORACLE["op2_ngram_join"]).fetchall())) == want
+
+
+def test_word_hashes():
+    rnd = random.Random(9)
+    letters = ["a", "A", "b", "é", "日", "\u00a0", "\x1c", "\0"]
+    texts = [None, "", " \t\n\x0b\x0c\r", "x" * 2000 + " " + "X" * 2000, "ab " * 9]
+    texts += ["".join(rnd.choice([*letters, " ", "\n", "  "]) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    raw = [t if t is None else t.encode() for t in texts]
+    words = [(t or b"").lower().split() for t in raw]
+    h, ends = ngram_join.word_hashes(raw)
+    assert ends.tolist() == [sum(map(len, words[: i + 1])) for i in range(len(words))]
+    flat = [w for ws in words for w in ws]
+    seen = {}
+    for w, x in zip(flat, h.tolist(), strict=True):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
