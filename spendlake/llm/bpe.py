@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,9 @@ def byte_symbols() -> list[str]:
 
 
 class Bpe:
-    """Merge tables of a vocabulary file, and a bounded cache of encoded pieces of text."""
+    """Merge tables of a vocabulary file, and a cache of encoded pieces of text, bounded in pieces and characters."""
 
-    def __init__(self, raw: bytes, cache_size: int = 400_000):
+    def __init__(self, raw: bytes, cache_size: int = 200_000, cache_chars: int = 4 << 20):
         spec = json.loads(raw)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         end = spec["model"]["end_of_word_suffix"] or ""
@@ -73,13 +74,26 @@ class Bpe:
         np.maximum.at(born, made, np.arange(len(made)))
         self.at_once = bool((np.maximum(born[left], born[right]) < np.arange(len(made))).all())
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache_size = cache_size
+        self.cache_size, self.cache_chars = cache_size, cache_chars
         self._clear()
 
     def _clear(self) -> None:
         self.cache: dict[str, int] = {}
-        self.store: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.chars = 0
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 14, np.int64)  # where each piece's ids end; the next one's begin there
+
+    def _append(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.cache)
+        used = int(self.ends[n - 1]) if n else 0
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used + len(ids), np.int32)])
+        if n + len(pieces) > len(self.ends):
+            self.ends = np.concatenate([self.ends[:n], np.zeros(n + len(pieces), np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n : n + len(pieces)] = used + np.cumsum(sizes)
+        self.cache.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.chars += sum(map(len, pieces))
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of non-empty words, and how many each has."""
@@ -130,14 +144,11 @@ class Bpe:
             words += [w.encode() for w in found]
         ids, size = self.encode_words(words) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         total = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(per_piece)]]
-        at = len(self.sizes)
-        self.store.append(ids)
-        self.sizes += np.diff(total).tolist()
-        self.cache.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self._append(pieces, ids, np.diff(total))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each has."""
-        if len(self.cache) > self.cache_size:
+        if len(self.cache) > self.cache_size or self.chars > self.cache_chars:
             self._clear()
         parts: list[list[str]] = []
         for t in texts:
@@ -151,21 +162,18 @@ class Bpe:
                 else:
                     found += c.split()
             parts.append(found)
-        new = list({p for found in parts for p in found if p not in self.cache})
-        for s in [s for s in new if s in self.special]:
-            self.cache[s] = len(self.sizes)
-            self.store.append(np.array([self.special[s]], np.int32))
-            self.sizes.append(1)
+        new = list(set().union(*parts).difference(self.cache))
+        if marks := [s for s in new if s in self.special]:
+            self._append(marks, np.array([self.special[s] for s in marks], np.int32), np.ones(len(marks), np.int64))
         if new := [p for p in new if p not in self.special]:
             self._learn(new)
-        self.store = [np.concatenate(self.store)] if self.store else [np.zeros(0, np.int32)]
-        sizes = np.array(self.sizes, np.int64)
-        begins = np.cumsum(sizes) - sizes
-        use = np.fromiter((self.cache[p] for found in parts for p in found), np.int64)
-        n = sizes[use]
-        shift = np.repeat(begins[use] - (np.cumsum(n) - n), n)
-        ids = self.store[0][np.arange(len(shift)) + shift]
-        upto = np.r_[0, np.cumsum(n)][np.cumsum([0] + [len(f) for f in parts])]
+        count = np.array([len(f) for f in parts], np.int64)
+        use = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+        begins = np.where(use > 0, self.ends[use - 1], 0)
+        n = self.ends[use] - begins
+        shift = np.repeat(begins - (np.cumsum(n) - n), n)
+        ids = self.ids[np.arange(len(shift)) + shift]
+        upto = np.r_[0, np.cumsum(n)][np.cumsum(np.r_[0, count])]
         return ids, np.diff(upto)
 
 

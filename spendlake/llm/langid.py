@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ START = "▁"
 SHORT = 16
 #: Characters of words that are scored together.
 TOGETHER = 1 << 18
+#: Leading bits of a piece's hash that are looked up before the hash itself.
+SEEN_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1024
 
@@ -48,8 +51,14 @@ class Pieces:
         self.keys = h[self.order]
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[self.keys >> np.uint64(64 - SEEN_BITS)] = True
         self.unknown = len(self.texts)
         self.none = self.unknown + 1
+        # pieces of one letter by code point; the last place stands for all code points behind
+        single = {ord(p): i for i, p in enumerate(self.texts) if len(p) == 1}
+        self.letters = np.full(max(single, default=0) + 2, self.unknown, np.int64)
+        self.letters[list(single)] = list(single.values())
         self.size = self.none + 1
 
     @staticmethod
@@ -59,14 +68,47 @@ class Pieces:
             h = (h * int(MULTIPLIER) + ord(c)) % 2**64
         return h
 
-    def cover(self, codes: np.ndarray) -> list[np.ndarray]:
-        """For lengths 1, 2, ...: the piece at each start of each word, ``none`` where there is none."""
-        out, h = [], codes
+    def cover(self, codes: np.ndarray) -> Cover:
+        """The pieces at all places of words of one length; a letter that is no piece is ``unknown``."""
+        hits, h = [], codes
         for n in range(1, min(self.max_piece, codes.shape[1]) + 1):
-            if n > 1:
-                h = h[:, :-1] * MULTIPLIER + codes[:, n - 1 :]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out.append(np.where(self.keys[at] == h, self.order[at], self.unknown if n == 1 else self.none).astype(np.int32))
+            if n == 1:
+                start, word = (x.ravel() for x in np.indices(h.shape[::-1]))
+                hits.append((start, word, self.letters[np.minimum(h.T.ravel(), len(self.letters) - 1)]))
+                continue
+            h = h[:, :-1] * MULTIPLIER + codes[:, n - 1 :]
+            start, word = np.nonzero(self.seen[h >> np.uint64(64 - SEEN_BITS)].T)
+            mine = h[word, start]
+            at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
+            found = self.keys[at] == mine
+            hits.append((start[found], word[found], self.order[at[found]]))
+        return Cover(len(codes), codes.shape[1], hits)
+
+
+@dataclass
+class Cover:
+    """Pieces in words of one length: for each piece length the places that have one, by start."""
+
+    words: int
+    length: int
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def by_start(self) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """At each start the pieces' lengths, with the words that have one and which."""
+        out: list[list] = [[] for _ in range(self.length)]
+        for k, (start, word, piece) in enumerate(self.hits, 1):
+            first = np.searchsorted(start, np.arange(self.length + 1))
+            for i in np.unique(start).tolist():
+                out[i].append((k, word[first[i] : first[i + 1]], piece[first[i] : first[i + 1]]))
+        return out
+
+    def dense(self, none: int) -> list[np.ndarray]:
+        """For lengths 1, 2, ...: the piece at each start of each word, ``none`` where there is none."""
+        out = []
+        for k, (start, word, piece) in enumerate(self.hits, 1):
+            at = np.full((self.words, self.length - k + 1), none, np.int32)
+            at[word, start] = piece
+            out.append(at)
         return out
 
 
@@ -82,14 +124,14 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, codes.reshape(len(at), n + 1).astype(np.uint64)
 
 
-def forward(cover: list[np.ndarray], n: int, prob: np.ndarray) -> np.ndarray:
+def forward(cover: Cover, n: int, prob: np.ndarray) -> np.ndarray:
     """Probability of each prefix, ``(words, n + 1, languages)``; ``prob`` is ``(pieces, languages)``."""
-    alpha = np.zeros((len(cover[0]), n + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for i in range(n):
-        for k, at in enumerate(cover[: n - i], 1):
-            alpha[:, i + k] += alpha[:, i] * prob[at[:, i]]
-    return alpha
+    alpha = np.zeros((n + 1, cover.words, prob.shape[1]))
+    alpha[0] = 1
+    for i, pieces in enumerate(cover.by_start()):
+        for k, word, piece in pieces:
+            alpha[i + k, word] += alpha[i, word] * prob[piece]
+    return alpha.transpose(1, 0, 2)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -97,8 +139,9 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
-def log_forward(cover: list[np.ndarray], n: int, logp: np.ndarray, none: int) -> np.ndarray:
+def log_forward(cover: Cover, n: int, logp: np.ndarray, none: int) -> np.ndarray:
     """Logarithm of ``forward``, of a word of any length; ``logp`` is that of its ``prob``."""
+    cover = cover.dense(none)
     ends = np.full((len(cover[0]), n, len(cover)), none, np.int32)  # the pieces that end at each place
     for k, at in enumerate(cover):
         ends[:, k:, k] = at
@@ -110,8 +153,9 @@ def log_forward(cover: list[np.ndarray], n: int, logp: np.ndarray, none: int) ->
     return alpha
 
 
-def log_backward(cover: list[np.ndarray], n: int, logp: np.ndarray, none: int) -> np.ndarray:
+def log_backward(cover: Cover, n: int, logp: np.ndarray, none: int) -> np.ndarray:
     """Logarithm of each suffix's probability under one language, ``(words, n + 1)``."""
+    cover = cover.dense(none)
     starts = np.full((len(cover[0]), n, len(cover)), none, np.int32)
     for k, at in enumerate(cover):
         starts[:, : n - k, k] = at
@@ -148,28 +192,28 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, prob: np.ndar
         if n > SHORT:
             alpha = log_forward(cover, n, logp[:, None], pieces.none)[:, :, 0]
             beta = log_backward(cover, n, logp, pieces.none)
-            for k, c in enumerate(cover, 1):
-                use = np.exp(alpha[:, : n - k + 1] + logp[c] + beta[:, k:] - alpha[:, n:]) * counts[at][:, None]
-                total += np.bincount(c.ravel(), use.ravel(), pieces.size)
+            for k, (start, word, piece) in enumerate(cover.hits, 1):
+                use = np.exp(alpha[word, start] + logp[piece] + beta[word, start + k] - alpha[word, n])
+                total += np.bincount(piece, use * counts[at][word], pieces.size)
             continue
-        alpha = forward(cover, n, prob[:, None])[:, :, 0]
+        places = cover.by_start()
+        alpha = forward(cover, n, prob[:, None])[:, :, 0].T
         beta = np.zeros_like(alpha)
-        beta[:, n] = 1
+        beta[n] = 1
         for i in range(n - 1, -1, -1):
-            for k, c in enumerate(cover[: n - i], 1):
-                beta[:, i] += prob[c[:, i]] * beta[:, i + k]
-        weight = counts[at] / alpha[:, n]
-        for i in range(n):
-            for k, c in enumerate(cover[: n - i], 1):
-                use = weight * alpha[:, i] * prob[c[:, i]] * beta[:, i + k]
-                total += np.bincount(c[:, i], use, pieces.size)
+            for k, word, piece in places[i]:
+                beta[i, word] += prob[piece] * beta[i + k, word]
+        weight = counts[at] / alpha[n]
+        for k, (start, word, piece) in enumerate(cover.hits, 1):
+            use = weight[word] * alpha[start, word] * prob[piece] * beta[start + k, word]
+            total += np.bincount(piece, use, pieces.size)
     total[pieces.none] = 0
     return total
 
 
-def runs(chunk: str) -> list[str]:
-    """The lower-case letter runs of a piece of text."""
-    return LETTERS.findall(chunk.lower())
+def runs(text: str) -> list[str]:
+    """The lower-case letter runs of a text."""
+    return LETTERS.findall(text.lower())
 
 
 def word_counts(docs: DataFrame, lang: Column, text: Column, held: int = 300_000) -> DataFrame:
@@ -209,7 +253,7 @@ class Model:
     prob: np.ndarray
     vocabulary: bytes
     max_piece: int | None
-    cache_size: int = 400_000
+    cache_size: int = 200_000
     pieces: Pieces | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -221,44 +265,41 @@ class Model:
             self.logp = logarithm(self.prob)
             self.cache = None
         if self.cache is None or len(self.cache) > self.cache_size:
-            self.cache, self.rows = {}, np.zeros((0, len(self.langs) + 1))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Score new pieces of text: log probability by language, and the number of letter runs."""
-        words: dict[str, int] = {}
-        owner, use = [], []
-        for i, c in enumerate(chunks):
-            for w in runs(c):
-                owner.append(i)
-                use.append(words.setdefault(w, len(words)))
-        logs = np.zeros((len(words), len(self.langs) + 1))
-        logs[:, -1] = 1
-        for at, codes in by_length(list(words)):
-            logs[at, :-1] = log_probability(self.pieces, codes, self.prob, self.logp)
-        new = np.zeros((len(chunks), len(self.langs) + 1))
-        np.add.at(new, owner, logs[use])
-        self.cache.update(zip(chunks, range(len(self.rows), len(self.rows) + len(chunks)), strict=True))
-        self.rows = np.concatenate([self.rows, new])
+            self.cache, self.rows = {}, np.zeros((0, len(self.langs)))
+
+    def _learn(self, words: list[str]) -> None:
+        """Score new words: log probability by language."""
+        if len(self.cache) + len(words) > len(self.rows):
+            grown = np.zeros((2 * len(self.cache) + len(words), len(self.langs)))
+            grown[: len(self.cache)] = self.rows[: len(self.cache)]
+            self.rows = grown
+        begin = len(self.cache)
+        for at, codes in by_length(words):
+            self.rows[begin + at] = log_probability(self.pieces, codes, self.prob, self.logp)
+        self.cache.update(zip(words, range(begin, begin + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most probable language and its posterior; ``und`` and 0 where there is no letter."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         self._ready()
-        parts = [(t or "").split() for t in texts]
-        if new := list({c for p in parts for c in p if c not in self.cache}):
+        parts = [runs(t) if t else [] for t in texts]
+        if new := list(set().union(*parts).difference(self.cache)):
             self._learn(new)
-        use = np.fromiter((self.cache[c] for p in parts for c in p), np.int64)
         size = np.array([len(p) for p in parts], np.int64)
-        total = np.zeros((len(texts), len(self.langs) + 1))
+        use = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(parts)), np.int64, int(size.sum()))
+        total = np.zeros((len(texts), len(self.langs)))
         some = np.flatnonzero(size)
-        if len(some):
-            total[some] = np.add.reduceat(self.rows[use], (np.cumsum(size) - size)[some])
-        score = total[:, :-1] + np.log(self.prior)
+        # the words of a text are added up some at a time, so that the sums' terms stay few
+        for i in range(0, len(some), 64):
+            at = some[i : i + 64]
+            begin = int(size[: at[0]].sum())
+            rows = self.rows[use[begin : begin + int(size[at].sum())]]
+            total[at] = np.add.reduceat(rows, np.cumsum(size[at]) - size[at])
+        score = total + np.log(self.prior)
         best = score.argmax(1)  # of equals the first in alphabetical order
         post = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
-        read = total[:, -1] > 0
-        return [self.langs[k] if r else "und" for k, r in zip(best, read, strict=True)], np.where(read, post, 0.0)
+        return [self.langs[k] if n else "und" for k, n in zip(best, size, strict=True)], np.where(size > 0, post, 0.0)
 
 
 def train(
@@ -348,7 +389,7 @@ def predict(
     fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2048):
+        for b in slices(batches):
             langs, score = shared.value.predict(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(score)],

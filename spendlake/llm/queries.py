@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -71,9 +72,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table folder has a cache of its own, so counting a table first encodes all its distinct texts."""
+    cache = f"{stable_path(spark, 'token-cache')}/table={hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    out = token_counts.count_tokens(docs, path, stable_path(spark, "token-cache"))
+    out = token_counts.count_tokens(docs, path, cache)
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

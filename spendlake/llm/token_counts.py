@@ -1,7 +1,7 @@
 """Token counts through a digest cache (operator 6).
 
 The cache is a Parquet table ``(version, digest, n_tokens)`` in a shared folder: ``version`` is the
-digest of the tokenizer file, ``digest`` that of the normalised content. A run joins the digests of all
+digest of the tokenizer file and of its library's version, ``digest`` that of the normalised content. A run joins the digests of all
 documents to it, encodes one document of each digest that it lacks, appends those counts and joins them
 to every document. Counting a table twice therefore encodes nothing the second time. Each run appends
 under a folder ``run=...`` of its own, so that runs at the same time do not touch each other's files.
@@ -15,12 +15,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import sentencepiece
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import file_bytes, materialise, slices
 
+#: A count belongs to the version of the library that made it.
+LIBRARIES = {"json": tokenizers.__version__, "model": sentencepiece.__version__}
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
 
@@ -64,14 +67,17 @@ def count_tokens(
     Normalised content is the text itself with null as empty: the tokenizers count white space and case
     by their own rules, so nothing else may be folded without changing a count. Repeated rows and equal
     texts each get a row, from one encoding. Null ids pass through. An empty table gives no rows. Other
-    columns are left out, so their names cannot clash.
+    columns are left out, so their names cannot clash. Very long texts are encoded whole, one at a time. An
+    append that did not end leaves no count; a count that is gone when the result is read is an error, not
+    a missing row. Runs at the same time may encode a text twice, to the same count.
 
     The documents' text is shuffled only to reach the chosen row of each new digest; the join of counts
     to documents carries digests. A digest that many rows share is split by the adaptive skew join.
     """
     spark = docs.sparkSession
     raw = file_bytes(tokenizer_path)
-    version, kind = hashlib.sha256(raw).hexdigest(), tokenizer_path.rpartition(".")[2]
+    kind = tokenizer_path.rpartition(".")[2]
+    version = hashlib.sha256(raw + f"{kind} {LIBRARIES.get(kind)}".encode()).hexdigest()
     model = spark.sparkContext.broadcast(raw)
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = docs.select(
@@ -85,9 +91,10 @@ def count_tokens(
     misses = distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti")
     # the chosen row of a digest; rows that share both id and digest have the same text
     chosen = content.where("id is not null").select("id", "digest", "content").join(misses.hint("merge"), ["id", "digest"])
+    chosen = chosen.dropDuplicates(["id", "digest"])
     unnamed = content.where("id is null").select("digest", "content").join(
         misses.where("id is null").select("digest"), "digest"
-    )
+    ).dropDuplicates(["digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if version not in _LOADED:
@@ -104,4 +111,5 @@ def count_tokens(
     to_encode = chosen.select("digest", "content").unionByName(unnamed.select("digest", "content"))
     to_encode.mapInArrow(run, CACHE_SCHEMA).write.parquet(f"{cache_path}/run={uuid.uuid4().hex}")
     counts = read_cache(spark, cache_path, version)
-    return keys.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    lost = F.raise_error(F.lit("the token cache lost counts while it was read")).cast("long")
+    return keys.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_tokens", lost).alias("n_tokens"))

@@ -66,3 +66,23 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").limit(40)
+    first = docs.orderBy("doc_id").first()
+    more = [(None, first.text, first.lang, None), (first.doc_id, first.text, None, None), (None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for c in ("lang_found", "lang_score", "leaks_found", "n_lines", "keep", "did"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    docs = materialise(docs, "clashing")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        for c in ("lang_found", "lang_score", "leaks_found", "n_lines", "keep", "did"):
+            assert out.where(F.col(c) != F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))).isEmpty()
+        # the text without an id stays as long as its like does, and texts that are null go or become empty
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert ids.count(first.doc_id) in (0, 1, 2) and ids.count(None) <= 2
+    assert cp.tokens(spark, docs, sf).count() == docs.count()
