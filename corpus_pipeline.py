@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each a Parquet table read by the next.
 
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and returns the
-columns of ``documents``; the last returns token ids. Near-duplicate documents are judged on five-word
+columns of ``documents``, further columns included; the last returns token ids. Repeated rows are judged
+alike, and each of them stays or goes; texts are taken whole, however long; an empty table stays empty. Near-duplicate documents are judged on five-word
 shingles at a Jaccard similarity of 0.8.
 """
 
@@ -12,22 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.llm import bpe, decontaminate, langid, line_dedup, ngram_join
-from spendlake.llm.common import fold, materialise, table
+from spendlake.llm.common import fold, materialise, table, unique_name
 
 #: Least posterior of a document's language.
 MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; those without a letter or a clear language go."""
+    """Documents in which a language is recognised; those without a letter or a clear language go.
+
+    That takes null and empty texts. A null id trains as the empty text's fold; of equally likely languages
+    the first in alphabetical order counts.
+    """
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = langid.train(docs.where(fold("doc_id") != 0), path)
-    out = langid.predict(docs, model, lang_out="lang_found", score_out="lang_score", keep_text=True)
-    return out.where((F.col("lang_found") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = unique_name(docs, "lang_found"), unique_name(docs, "lang_score")
+    out = langid.predict(docs, model, lang_out=lang, score_out=score, keep_text=True)
+    return out.where((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long lines that five or more share, except in the largest id."""
+    """All documents, without the long lines that five or more share, except in the largest id.
+
+    Null texts become empty ones; a null id counts as the smallest.
+    """
     out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -44,7 +53,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", *decontaminate.sentences())
-    return decontaminate.annotate(docs, items, out_col="leaks_found").where(F.size("leaks_found") == 0).select(*docs.columns)
+    leaks = unique_name(docs, "leaks_found")
+    return decontaminate.annotate(docs, items, out_col=leaks).where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
