@@ -1,8 +1,8 @@
 """Incremental billing ingest and streaming daily spend (R1-R4) on Structured Streaming.
 
 * R1: landed billing files are read with the file source (``readStream``), each micro-batch is
-  squashed and merged into the ledger table (``foreachBatch``), with a checkpoint so a restarted
-  or failed query resumes where it stopped.
+  squashed and appended to the merge-on-read ledger table (``foreachBatch``, ``ledger_table``), with a
+  checkpoint so a restarted or failed query resumes where it stopped.
 * R2: providers revise the trailing 3 days, so the event-time watermark is 3 days.
 * R3: tumbling daily spend per service is a ``window(ts, '1 day')`` aggregation; months are not a
   fixed-length window, so they are bucketed with ``date_trunc`` downstream.
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.sizing import bounded_broadcast
 from ..session import shared_path
 from ..sources.sinks import _exists, remove_path
-from ..sources.tables import MONEY, RAW_MONEY
+from ..sources.tables import MONEY
+from .ledger_table import LedgerTable
 
 LATE_HORIZON = "3 days"
 
@@ -148,87 +149,42 @@ def run_daily_spend(spark: SparkSession, source_dir: str, schema, sink: str, che
     return spark.read.parquet(sink)
 
 
-LEDGER_KEYS = ["date", "service_name", "account_name"]
-
-
-def with_parts(batch: DataFrame) -> DataFrame:
-    """``batch`` plus ``part``: what a file says about a sync, as a digest of those rows in any order.
-
-    A sync may come in several files, whose rows add up; a file that is delivered again has the digest
-    of the first delivery and counts once.
-    """
-    cols = [F.col(c) for c in batch.columns if c not in ("__position", "month")]
-    named = batch.withColumn("__file", F.col("__position.file_path"))
-    digest = F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(20,0)")))
-    parts = named.groupBy("__file", "sync_id").agg(digest.alias("part"), F.min("__position").alias("__at"))
-    once = parts.groupBy("sync_id", "part").agg(F.min_by("__file", "__at").alias("__file"))
-    return null_safe_join(named, once, ["__file", "sync_id"]).drop("__file")
-
-
-def merge_syncs(old: DataFrame | None, batch: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
-    """Stored contributions after a micro-batch: per key its first sync's rows (for the other columns)
-    and its latest sync's (for spend), one row per part of a sync.
-
-    Rows of one key and part add up (A1); a part that comes again, or a batch that runs again, changes
-    nothing.
-    """
-    new = batch.groupBy(*keys, "sync_id", "part").agg(
-        F.min("__position").alias("at"),
-        F.sum(F.col("spend").cast(RAW_MONEY)).alias("spend"),
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__position"))).alias(c) for c in ("bu_code", "segment")],
-    )
-    rows = new if old is None else old.select(*new.columns).unionByName(new)
-    once = rows.groupBy(*keys, "sync_id", "part").agg(F.min(F.struct("at", "spend", "bu_code", "segment")).alias("r"))
-    own = Window.partitionBy(*keys)
-    ends = once.select(*keys, "sync_id", "part", "r.*").withColumns({"__lo": F.min("sync_id").over(own), "__hi": F.max("sync_id").over(own)})
-    return ends.where("sync_id = __lo or sync_id = __hi").drop("__lo", "__hi")
-
-
-def ledger_of_syncs(stored: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
-    """J2 over the stored contributions: spend of the latest sync, other columns of the first one."""
-    span = stored.groupBy(*keys).agg(
-        F.max("sync_id").alias("__hi"),
-        F.min("sync_id").alias("__lo"),
-        F.collect_list(F.struct("sync_id", "at", "spend", "bu_code", "segment")).alias("__rows"),  # a key's parts
-    )
-    total = F.aggregate(F.filter("__rows", lambda r: r["sync_id"] == F.col("__hi")), F.lit(0).cast("decimal(38,6)"), lambda s, r: (s + r["spend"]).cast("decimal(38,6)"))
-    first = lambda c: F.get(F.transform(F.filter(F.array_sort("__rows"), lambda r: (r["sync_id"] == F.col("__lo")) & r[c].isNotNull()), lambda r: r[c]), 0)
-    return span.select(*keys, total.cast(MONEY).alias("spend"), first("bu_code").alias("bu_code"), first("segment").alias("segment"))
-
-
-def ledger_ingest_stream(spark: SparkSession, landing_dir: str, schema, sink: str, checkpoint: str, max_files: int = 4) -> DataFrame:
-    """R1 + R4 + J2: landed billing syncs (each re-sends the trailing days) into the ledger table.
+def ledger_ingest_stream(spark: SparkSession, landing_dir: str, schema, sink: str, checkpoint: str, max_files: int | None = None, max_bytes: int = 1 << 30) -> DataFrame:
+    """R1 + R4 + J2: landed billing syncs (each re-sends the trailing days) into a merge-on-read ledger table.
 
     Rows of a key within one sync are summed (A1), however many files and batches the sync comes in; a
-    later sync replaces the key's spend and nothing else. A file that is delivered again, and a batch
-    that runs again, change nothing, and a late file never rolls a key back. No row is dropped for lateness: billing revisions are money,
-    so the ledger path has no watermark. Input order is file time, file name and row.
+    later sync replaces the key's spend and nothing else. A file that is delivered again under its name, and
+    a batch that runs again, change nothing; files of different names add up, equal or not; a late file never
+    rolls a key back. No row is dropped for lateness: billing revisions are money, so the ledger path has no
+    watermark. Input order is file time, file name and row. Files in subfolders are read too.
+
+    A micro-batch takes ``max_bytes`` of files (or ``max_files``, if given) and appends what they hold; stored
+    months are rewritten only when their deltas pass the table's bounds.
     """
     at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing_dir)
-    rows = stream.select("*", at.alias("__position"), F.date_format("date", "yyyy-MM").alias("month"))
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    rows = reader.parquet(landing_dir).select("*", at.alias("__position"))
+    table = LedgerTable(spark, sink)
 
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        session = batch.sparkSession
+    def take(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            if batch.isEmpty():
-                return
-            months = batch.select("month").distinct()
-            old = None
-            if _exists(session, sink):
-                old = session.read.parquet(sink).join(bounded_broadcast(months, 100_000), "month", "left_semi")
-            merged = merge_syncs(old, with_parts(batch)).withColumn("month", F.date_format("date", "yyyy-MM"))
-            swap_partitions(merged, sink, "month", f"stage-{epoch_id}")
+            if not batch.isEmpty():
+                LedgerTable(batch.sparkSession, sink).append(batch, epoch_id)
         finally:
             batch.unpersist()
 
     q = (
-        rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+        rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return ledger_of_syncs(spark.read.parquet(sink))
+    found = table.read()
+    if found is None:
+        empty = ", ".join(f"{c} {t}" for c, t in (("date", "date"), ("service_name", "string"), ("account_name", "string"), ("spend", MONEY), ("bu_code", "int"), ("segment", "string")))
+        return spark.createDataFrame([], empty)
+    return found
 
 
 def drop_replays(stream: DataFrame, ts_col: str, keys: Sequence[str], horizon: str = LATE_HORIZON) -> DataFrame:
@@ -238,29 +194,34 @@ def drop_replays(stream: DataFrame, ts_col: str, keys: Sequence[str], horizon: s
     return stream.withWatermark(ts_col, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, files: int = 8, date_range: tuple | None = None, revise: dict | None = None) -> None:
-    """Fixture: deliver ledger rows as periodic syncs; each sync also re-sends the
-    ``overlap_days`` before its period (the provider revision window). Written as ``files``
-    time-ordered files so the stream sees them arrive in order."""
-    base = F.floor(F.datediff("date", F.lit("1970-01-01")) / F.lit(period_days)).cast("long")
-    # the row's own sync, plus the next sync when the row falls in that sync's re-read window
-    nxt_start = (base + 1) * period_days
-    in_overlap = F.datediff("date", F.lit("1970-01-01")) >= nxt_start - overlap_days
-    syncs = F.when(in_overlap, F.array(base, base + 1)).otherwise(F.array(base))
-    landed = ledger_rows.withColumn("sync_id", F.explode(syncs))
+def land_syncs(ledger_rows: DataFrame, path: str, period_days: int = 7, overlap_days: int = 3, revise: dict | None = None) -> None:
+    """Fixture: deliver ledger rows as periodic syncs; each sync also re-sends the ``overlap_days`` before its
+    period (the provider revision window), changed as ``revise`` says."""
+    base, last = sync_ids(period_days, overlap_days)
+    landed = ledger_rows.withColumn("sync_id", F.explode(F.array_distinct(F.array(base, last))))
     if revise is not None:  # what a re-sent row says
         again = F.col("sync_id") != base
         landed = landed.withColumns({c: F.when(again, e).otherwise(F.col(c)).cast(ledger_rows.schema[c].dataType) for c, e in revise.items()})
-    bounds = None
-    if date_range is not None:  # sync ids follow from the dates: no pass over the rows needed
-        import datetime as _dt
-
-        epoch = _dt.date(1970, 1, 1)
-        first = (date_range[0] - epoch).days // period_days
-        last = (date_range[1] - epoch).days // period_days + 1
-        to_ts = lambda k: _dt.datetime(1970, 1, 1) + _dt.timedelta(days=k * period_days)
-        bounds = (to_ts(first), to_ts(last))
-    land_in_order(landed.withColumn("__ts", (F.col("sync_id") * 86400 * period_days).cast("timestamp")), "__ts", path, files, drop_ts=True, bounds=bounds, single_file=False)
+    landed.write.mode("append").parquet(path)
+
+
+def sync_ids(period_days: int = 7, overlap_days: int = 3) -> tuple[Column, Column]:
+    """The first and the last sync that send a row of ``date``."""
+    days = F.datediff("date", F.lit("1970-01-01"))
+    base = F.floor(days / F.lit(period_days)).cast("long")
+    # the next sync too when the row falls in that sync's re-read window
+    return base, base + (days >= (base + 1) * period_days - overlap_days).cast("long")
+
+
+def redeliver(spark: SparkSession, source: str, target: str) -> None:
+    """Fixture: the files of ``source`` once more, under their own names, in another folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    fs = src.getFileSystem(conf)
+    fs.mkdirs(dst)
+    for f in fs.listStatus(src):
+        if f.isFile() and f.getPath().getName().endswith(".parquet"):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f.getPath(), fs, jvm.org.apache.hadoop.fs.Path(dst, f.getPath().getName()), False, conf)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

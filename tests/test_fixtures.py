@@ -296,10 +296,11 @@ def test_stream_ingest_versioned_sink_out_of_order_and_replay(spark):
     newer = spark.createDataFrame([(D(2020, 1, 5), "s", "a", Decimal("12.00"), 1, "x", 2), (D(2020, 1, 6), "s", "a", Decimal("3.00"), 1, "x", 2)], schema)
     older = spark.createDataFrame([(D(2020, 1, 5), "s", "a", Decimal("10.00"), 1, "x", 1), (D(2020, 1, 4), "s", "a", Decimal("7.00"), 1, "x", 1)], schema)
     landing = shared_path(spark, "t-landing")
-    for part in (newer, older, newer):  # a revision, a late older delivery, then a replay
-        part.coalesce(1).write.mode("append").parquet(landing)
+    for name, part in (("first", newer), ("late", older)):  # a revision, a late older delivery, then a replay
+        part.coalesce(1).write.parquet(f"{landing}/{name}")
         _time.sleep(1.1)  # distinct modification times: the file source orders by them
-    out = ST.ledger_ingest_stream(spark, landing, spark.read.parquet(landing).schema, shared_path(spark, "t-sink"), shared_path(spark, "t-ckpt"), max_files=1)
+    ST.redeliver(spark, f"{landing}/first", f"{landing}/again")
+    out = ST.ledger_ingest_stream(spark, landing, spark.read.parquet(f"{landing}/first").schema, shared_path(spark, "t-sink"), shared_path(spark, "t-ckpt"), max_files=1)
     got = {r["date"]: r["spend"] for r in out.collect()}
     assert got == {D(2020, 1, 4): Decimal("7.00"), D(2020, 1, 5): Decimal("12.00"), D(2020, 1, 6): Decimal("3.00")}
 
