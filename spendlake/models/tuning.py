@@ -1,10 +1,9 @@
 """Hyper-parameter search (M10, M11, W12), model registry (M14) and ensembles.
 
-* M10: seeded random search for the decomposition model. Trials are a bounded literal list
-  (1-100) exploded onto every series row, so (series x trial) fits run as independent groups in
-  parallel; the best trial per series (lowest holdout RMSE) is refitted on the full history.
-  Adaptive (TPE) sampling is not reproduced.
-* M10 (trees): seeded random search over the tree engines' space, trained on the first 85% of
+* M10: adaptive search (tree-structured Parzen estimator). Within a series a trial follows from those
+  before it; series run in parallel, each in the task that holds it. The best trial per series (lowest
+  RMSE over expanding folds) is refitted on the full history.
+* M10 (trees): the same sampler over an engine's space, some trials at a time, trained on the first 85% of
   every series and validated on the rest, candidate fits running concurrently.
 * M11 / W12: grid search with ``CrossValidator`` over time-ordered folds (``foldCol``), so
   validation never precedes training in a fold; candidate models train in parallel.
@@ -15,7 +14,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,83 +31,155 @@ from ..session import cut_lineage
 from . import decompose
 from .trees import FEATURES, training_frame
 
-# Search spaces.
+# Search spaces (kind, then bounds or choices).
 SPACE = {
-    "changepoint_prior_scale": (1e-3, 0.5),  # log-uniform
-    "seasonality_mode": ("additive", "multiplicative"),
-    "seasonality_prior_scale": (0.01, 10.0),  # log-uniform
+    "changepoint_prior_scale": ("log", 1e-3, 0.5),
+    "seasonality_mode": ("choice", "additive", "multiplicative"),
+}
+TREE_SPACES = {
+    "xgboost": {"stepSize": ("log", 1e-4, 0.3), "maxDepth": ("int", 3, 10), "maxIter": ("int", 50, 300), "subsamplingRate": ("real", 0.5, 1.0)},
+    "catboost": {"stepSize": ("log", 1e-4, 0.3), "maxDepth": ("int", 4, 10), "maxIter": ("int", 50, 300)},
 }
-# The tree engines' search space (learning rate log-uniform, depth, trees, subsample).
-TREE_SPACE = {"stepSize": (1e-4, 0.3), "maxDepth": (3, 10), "maxIter": (50, 300), "subsamplingRate": (0.5, 1.0)}
 MAX_TRIALS = 100
 KEEP_MODELS = 5
+#: Trials drawn at random before the search adapts, and candidates it weighs for each one after that.
+STARTUP = 10
+CANDIDATES = 24
 
 
-def sample_trials(n: int, seed: int = 42) -> list[dict]:
+def _check_trials(n: int) -> None:
     if not 1 <= n <= MAX_TRIALS:
         raise ValueError(f"trials must be in 1..{MAX_TRIALS}")
-    rng = random.Random(seed)
-    out = []
-    for i in range(n):
-        lo, hi = SPACE["changepoint_prior_scale"]
-        slo, shi = SPACE["seasonality_prior_scale"]
-        out.append(
-            {
-                "trial": i,
-                "changepoint_prior_scale": math.exp(rng.uniform(math.log(lo), math.log(hi))),
-                "seasonality_mode": rng.choice(SPACE["seasonality_mode"]),
-                "seasonality_prior_scale": math.exp(rng.uniform(math.log(slo), math.log(shi))),
-            }
-        )
+
+
+class Parzen:
+    """Density of one parameter among some trials: kernels around their values and a broad one."""
+
+    def __init__(self, spec: tuple, values: list):
+        self.spec = spec
+        if spec[0] == "choice":
+            self.weight = np.array([1.0 + sum(v == c for v in values) for c in spec[1:]])
+            self.weight /= self.weight.sum()
+            return
+        lo, hi = map(self._scale, spec[1:])
+        self.lo, self.hi = lo, hi
+        at = np.sort([self._scale(v) for v in values])
+        # a kernel is as wide as the distance to its farther neighbour
+        edge = np.r_[lo, at, hi]
+        wide = np.maximum(edge[2:] - edge[1:-1], edge[1:-1] - edge[:-2])
+        least = (hi - lo) / min(100.0, 1.0 + len(at))
+        self.mid = np.r_[at, (lo + hi) / 2]
+        self.wide = np.r_[np.clip(wide, least, hi - lo), hi - lo]
+
+    def _scale(self, v: float) -> float:
+        return math.log(v) if self.spec[0] == "log" else float(v)
+
+    def draw(self, rng: np.random.Generator, n: int) -> list:
+        if self.spec[0] == "choice":
+            return [self.spec[1 + i] for i in rng.choice(len(self.weight), n, p=self.weight)]
+        k = rng.integers(len(self.mid), size=n)
+        x = rng.normal(self.mid[k], self.wide[k])
+        for _ in range(50):  # draws outside the bounds are repeated
+            out = (x < self.lo) | (x > self.hi)
+            if not out.any():
+                break
+            x[out] = rng.normal(self.mid[k[out]], self.wide[k[out]])
+        x = np.clip(x, self.lo, self.hi)
+        if self.spec[0] == "int":
+            return [int(v) for v in np.rint(x)]
+        return [float(v) for v in (np.exp(x) if self.spec[0] == "log" else x)]
+
+    def log_density(self, values: list) -> np.ndarray:
+        if self.spec[0] == "choice":
+            return np.log([self.weight[self.spec[1:].index(v)] for v in values])
+        x = np.array([self._scale(v) for v in values])[:, None]
+        inside = _normal_cdf((self.hi - self.mid) / self.wide) - _normal_cdf((self.lo - self.mid) / self.wide)
+        kernel = np.exp(-0.5 * ((x - self.mid) / self.wide) ** 2) / (self.wide * inside)
+        return np.log(kernel.mean(1) + 1e-300)
+
+
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in np.atleast_1d(x)])
+
+
+def suggest(space: dict, history: list[tuple[dict, float]], rng: np.random.Generator, startup: int = STARTUP) -> dict:
+    """The next trial after ``history`` (parameters, loss): uniform at first, then of some candidates from the
+    density of the better quarter the one whose density there is largest against that of the others."""
+    known = sorted((h for h in history if np.isfinite(h[1])), key=lambda h: h[1])
+    if len(known) < startup:
+        return {k: _uniform(s, rng) for k, s in space.items()}
+    good = known[: min(math.ceil(0.25 * math.sqrt(len(known)) * 2), 25)]
+    bad = known[len(good) :]
+    out = {}
+    for k, spec in space.items():
+        better, worse = (Parzen(spec, [t[k] for t, _ in part]) for part in (good, bad))
+        drawn = better.draw(rng, CANDIDATES)
+        out[k] = drawn[int(np.argmax(better.log_density(drawn) - worse.log_density(drawn)))]
     return out
 
 
-def _trial_array(trials: list[dict]):
-    return F.array(
-        *[
-            F.struct(
-                F.lit(t["trial"]).alias("trial"),
-                F.lit(t["changepoint_prior_scale"]).alias("cps"),
-                F.lit(t["seasonality_mode"]).alias("mode"),
-                F.lit(t["seasonality_prior_scale"]).alias("sps"),
-            )
-            for t in trials
-        ]
-    )
+def _uniform(spec: tuple, rng: np.random.Generator):
+    kind = spec[0]
+    if kind == "choice":
+        return spec[1 + int(rng.integers(len(spec) - 1))]
+    if kind == "int":
+        return int(rng.integers(spec[1], spec[2] + 1))
+    if kind == "log":
+        return float(math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2]))))
+    return float(rng.uniform(spec[1], spec[2]))
+
 
+def search(objective, space: dict, n_trials: int, seed: int = 42, startup: int = STARTUP) -> list[tuple[dict, float]]:
+    """``n_trials`` trials of ``objective`` (parameters -> loss), each following from those before it."""
+    _check_trials(n_trials)
+    rng, history = np.random.default_rng(seed), []
+    for _ in range(n_trials):
+        t = suggest(space, history, rng, startup)
+        history.append((t, float(objective(t))))
+    return history
 
-def tune_decompose(series: DataFrame, keys: Sequence[str], n_trials: int = 20, n_folds: int = 3, granularity: str = "month", seed: int = 42) -> DataFrame:
+
+def tune_decompose(
+    series: DataFrame, keys: Sequence[str], n_trials: int = 20, n_folds: int = 3, granularity: str = "month", seed: int = 42,
+    params: dict | None = None, holidays: DataFrame | None = None,
+) -> DataFrame:
     """Per series, the trial with the lowest RMSE over ``n_folds`` expanding folds.
 
     A series goes to its task once and all trials are fitted there; validation never precedes training.
-    A series too short for a fold keeps the default parameters, as trial -1 without an RMSE.
+    ``params`` holds for every trial and takes what it names out of the search; ``holidays`` are flags of the
+    training and the validation rows. A series too short for a fold keeps ``params`` and the defaults, as
+    trial -1 without an RMSE.
 
     Output: ``keys, trial, changepoint_prior_scale, seasonality_mode, seasonality_prior_scale,
     rmse``."""
-    trials = sample_trials(n_trials, seed)
+    _check_trials(n_trials)
     daily = granularity.lower() in ("day", "daily", "d")
-    src = series.select(*keys, "ds", F.col("y").cast("double").alias("y"))
-    names = ("changepoint_prior_scale", "seasonality_mode", "seasonality_prior_scale")
-    key_types = {f.name: f.dataType.simpleString() for f in series.schema.fields if f.name in keys}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["trial int", "changepoint_prior_scale double", "seasonality_mode string", "seasonality_prior_scale double", "rmse double"])
+    given = {k: v for k, v in (params or {}).items() if v is not None}
+    decompose.settings(given, daily)
+    space = {k: v for k, v in SPACE.items() if k not in given}
+    src = decompose._source(series, keys, "ds", "y", holidays, None)
+    names = decompose.TUNED
+    schema = ", ".join([*decompose._key_types(series, keys), "trial int", "changepoint_prior_scale double", "seasonality_mode string", "seasonality_prior_scale double", "rmse double"])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        best = (None, {"trial": -1, **{k: decompose.DEFAULTS[k] for k in names}})
         folds = fold_bounds(len(pdf), n_folds)
-        for t in trials if folds else []:
-            params = {k: t[k] for k in names}
+        days = pd.to_datetime(pdf["ds"]).values.astype("datetime64[D]").astype(np.int64)
+        flags = pdf["is_holiday"].astype(float).to_numpy() if "is_holiday" in pdf else None
+
+        def rmse(t: dict) -> float:
             errors = []
             for start, stop in folds:
-                train, test = pdf.iloc[:start], pdf.iloc[start:stop]
-                days = pd.to_datetime(test["ds"]).values.astype("datetime64[D]").astype(np.int64)
-                yhat, _, _ = decompose.fit_predict(train, days, params, daily)
-                errors.append((test["y"].to_numpy() - yhat) ** 2)
-            rmse = float(np.sqrt(np.concatenate(errors).mean()))
-            if np.isfinite(rmse) and (best[0] is None or rmse < best[0]):
-                best = (rmse, t)
-        row = {k: pdf[k].iloc[0] for k in keys} | {"trial": best[1]["trial"]} | {k: best[1][k] for k in names} | {"rmse": best[0]}
-        return pd.DataFrame([row]).astype({"rmse": "float64"})
+                yhat, _, _ = decompose.fit_predict(pdf.iloc[:start], days[start:stop], {**given, **t}, daily, None if flags is None else flags[start:stop])
+                errors.append((pdf["y"].to_numpy()[start:stop] - yhat) ** 2)
+            return float(np.sqrt(np.concatenate(errors).mean()))
+
+        trials = search(rmse, space, n_trials, seed) if folds else []
+        finite = [(loss, i) for i, (_, loss) in enumerate(trials) if np.isfinite(loss)]
+        best, at = min(finite, default=(None, -1))
+        used = {**decompose.DEFAULTS, **given, **(trials[at][0] if at >= 0 else {})}
+        row = {k: pdf[k].iloc[0] for k in keys} | {"trial": at} | {k: used[k] for k in names} | {"rmse": best}
+        return pd.DataFrame([row]).astype({"rmse": "float64", **{k: "float64" for k in names if k != "seasonality_mode"}})
 
     return src.groupBy(*keys).applyInPandas(score, schema)
 
@@ -124,27 +194,15 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
     return []
 
 
-def tuned_forecast(series: DataFrame, keys: Sequence[str], n_trials: int = 20, horizon: int = 24, granularity: str = "month", seed: int = 42) -> DataFrame:
-    """M10 end to end: tune per series, then refit each series with its own best parameters."""
-    best = tune_decompose(series, keys, n_trials, granularity=granularity, seed=seed)
-    daily = granularity.lower() in ("day", "daily", "d")
-    rows = null_safe_join(series.select(*keys, "ds", F.col("y").cast("double").alias("y")), best, keys)
-    key_types = {f.name: f.dataType.simpleString() for f in series.schema.fields if f.name in keys}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["ds date", "yhat double", "yhat_lower double", "yhat_upper double", "trial int"])
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        first = pdf.iloc[0]
-        params = {k: first[k] for k in ("changepoint_prior_scale", "seasonality_mode", "seasonality_prior_scale")}
-        last = pd.Timestamp(pdf["ds"].max())
-        fut = decompose.future_dates(last, horizon, granularity)
-        yhat, lo, hi = decompose.fit_predict(pdf, fut.values.astype("datetime64[D]").astype(np.int64), params, daily)
-        out = pd.DataFrame({"ds": fut.date, "yhat": yhat, "yhat_lower": lo, "yhat_upper": hi, "trial": int(first["trial"])})
-        for k in keys:
-            out.insert(0, k, first[k])
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(refit, schema)
+def tuned_forecast(
+    series: DataFrame, keys: Sequence[str], n_trials: int = 20, horizon: int = 24, granularity: str = "month", seed: int = 42,
+    params: dict | None = None, holidays: DataFrame | None = None, best: DataFrame | None = None,
+) -> DataFrame:
+    """M10 end to end: tune per series, then refit each series with its own best parameters (``best``, if the
+    search has been run before)."""
+    if best is None:
+        best = tune_decompose(series, keys, n_trials, granularity=granularity, seed=seed, params=params, holidays=holidays)
+    return decompose.forecast(series, keys, horizon, granularity, params, holidays, per_series=best)
 
 
 def time_folds(frame: DataFrame, keys: Sequence[str], n_folds: int = 3, ds_col: str = "ds") -> DataFrame:
@@ -177,31 +235,13 @@ def grid_search_gbt(series: DataFrame, keys: Sequence[str], grid: dict | None =
     return spark.createDataFrame(rows, "grid_point int, params map<string,double>, mean_rmse double, selected boolean")
 
 
-def sample_tree_trials(n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
-    if not 1 <= n <= MAX_TRIALS:
-        raise ValueError(f"trials must be in 1..{MAX_TRIALS}")
-    sp = {**TREE_SPACE, **(space or {})}
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        lo, hi = sp["stepSize"]
-        out.append(
-            {
-                "stepSize": math.exp(rng.uniform(math.log(lo), math.log(hi))),
-                "maxDepth": rng.randint(*sp["maxDepth"]),
-                "maxIter": rng.randint(*sp["maxIter"]),
-                "subsamplingRate": rng.uniform(*sp["subsamplingRate"]),
-            }
-        )
-    return out
-
-
-def random_search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, parallelism: int = 4, seed: int = 42, space: dict | None = None, train_frac: float = 0.85) -> DataFrame:
-    """M10 for the tree engines: seeded random parameter maps, each trained on the first
+def search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, parallelism: int = 4, seed: int = 42, space: dict | None = None, train_frac: float = 0.85, engine: str = "xgboost", startup: int = STARTUP) -> DataFrame:
+    """M10 for the tree engines: adaptive search over ``engine``'s space, each trial trained on the first
     ``train_frac`` of every series and scored (RMSE) on the rest - a train/validation split by
-    time rather than ``TrainValidationSplit``'s random one. Candidate fits are submitted from
-    ``parallelism`` driver threads, as Spark ML's own tuners do, so trials train concurrently.
-    Returns one row per trial with its validation RMSE and whether it was selected."""
+    time rather than ``TrainValidationSplit``'s random one. ``parallelism`` trials at a time are drawn
+    from what is known and submitted from driver threads, as Spark ML's own tuners do.
+    ``space`` replaces bounds by name. Returns one row per trial with its validation RMSE and whether it was
+    selected."""
     from multiprocessing.pool import ThreadPool
 
     spark = series.sparkSession
@@ -213,17 +253,26 @@ def random_search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20
     train, val = frame.where(~F.col("__is_val")), frame.where(F.col("__is_val"))
     gbt = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
     ev = RegressionEvaluator(labelCol="y", metricName="rmse")
-    trials = sample_tree_trials(n_trials, seed, space)
+    _check_trials(n_trials)
+    space = {**TREE_SPACES[engine], **{k: (TREE_SPACES[engine][k][0], *bounds) for k, bounds in (space or {}).items()}}
+    rng, history = np.random.default_rng(seed), []
+
+    def run(t: dict) -> float:
+        model = gbt.fit(train, {getattr(gbt, k): v for k, v in t.items()})
+        return float(ev.evaluate(model.transform(val)))
+
+    with ThreadPool(max(1, min(parallelism, n_trials))) as pool:
+        while len(history) < n_trials:
+            some = [suggest(space, history, rng, startup) for _ in range(min(parallelism, n_trials - len(history)))]
+            history += list(zip(some, pool.map(run, some), strict=True))
+    best = min(range(n_trials), key=lambda i: history[i][1])
+    rows = [(i, {k: float(v) for k, v in t.items()}, loss, i == best) for i, (t, loss) in enumerate(history)]
+    return spark.createDataFrame(rows, "trial int, params map<string,double>, val_rmse double, selected boolean")
 
-    def run(i: int) -> tuple[int, float]:
-        model = gbt.fit(train, {getattr(gbt, k): v for k, v in trials[i].items()})
-        return i, float(ev.evaluate(model.transform(val)))
 
-    with ThreadPool(max(1, min(parallelism, len(trials)))) as pool:
-        scores = dict(pool.map(run, range(len(trials))))
-    best = min(scores, key=scores.get)
-    rows = [(i, {k: float(v) for k, v in t.items()}, scores[i], i == best) for i, t in enumerate(trials)]
-    return spark.createDataFrame(rows, "trial int, params map<string,double>, val_rmse double, selected boolean")
+def random_search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, **more) -> DataFrame:
+    """``search_gbt`` with every trial drawn at random."""
+    return search_gbt(series, keys, n_trials, startup=MAX_TRIALS + 1, **more)
 
 
 # ----------------------------------------------------------------------------- M14

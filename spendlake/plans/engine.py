@@ -16,6 +16,7 @@ from ..functions.joins import null_safe_join
 from ..models import decompose, linear, trees, tuning
 from ..operators import calendar, metrics as MX
 from ..operators.ledger import dimension_filter
+from ..session import cut_lineage
 
 # Forecast levels and the filter each one needs when a single series is requested.
 LEVELS = {
@@ -50,14 +51,16 @@ def validate_level(level: str, filters: dict, single_series: bool = False) -> li
 
 
 def _prophet(series, keys, horizon, gran, hp):
+    """Holidays and given parameters hold for the search, the fit and the backtest alike; a tuned request is
+    backtested with each series' own best parameters."""
     hp = dict(hp)
     holidays = hp.pop("holidays", None)  # a table of days (ds)
-    if hp.pop("tune", False):
-        fc = tuning.tuned_forecast(series, keys, hp.pop("trials", 20), horizon, gran)
-        hp = {}
-    else:
-        fc = decompose.forecast(series, keys, horizon, gran, hp, holidays)
-    return fc, decompose.backtest_metrics(series, keys, gran, hp)
+    tune, trials = hp.pop("tune", False), hp.pop("trials", 20)
+    best = None
+    if tune:
+        best = cut_lineage(tuning.tune_decompose(series, keys, trials, granularity=gran, params=hp, holidays=holidays))  # read twice
+    fc = decompose.forecast(series, keys, horizon, gran, hp, holidays, per_series=best)
+    return fc, decompose.backtest_metrics(series, keys, gran, hp, holidays=holidays, per_series=best)
 
 
 def _trees(engine):

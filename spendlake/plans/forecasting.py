@@ -147,7 +147,7 @@ def q_contract_prophet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_contract_prophet_tuned(spark: SparkSession, d: str) -> DataFrame:
-    return forecast_contract(spark, d, "prophet", tune=True, trials=5)
+    return forecast_contract(spark, d, "prophet", tune=True)
 
 
 def q_contract_linear(spark: SparkSession, d: str) -> DataFrame:
