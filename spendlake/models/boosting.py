@@ -12,6 +12,7 @@ zero amounts are allowed, and predictions are positive.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -31,7 +32,9 @@ DIRECT_TASKS = 32
 #: Rows of a task's slice.
 SLICE_ROWS = 1 << 14
 #: Binned rows of a partition of the working table, about.
-PARTITION_ROWS = 1 << 20
+PARTITION_ROWS = 1 << 18
+#: Up to so many rows lie in one partition, and its task grows all trees from its own sums, without a pass each.
+ONE_TASK_ROWS = 1 << 16
 
 
 @dataclass
@@ -170,20 +173,87 @@ def fit(
     cuts = src.approxQuantile([f"f{i}" for i in range(len(features))], probs, 1 / (20 * bins))
     edges = [np.unique(np.array(c, float)) for c in cuts]
     model = Model(features, edges, float(np.log(stats["m"]) if loss == "tweedie" else stats["m"]), loss)
-    parts = max(1, -(-stats["n"] // PARTITION_ROWS))
+    parts = 1 if stats["n"] <= ONE_TASK_ROWS else max(2, -(-stats["n"] // PARTITION_ROWS))
     width = max(len(e) for e in edges) + 2
     state = _binned(src, model, parts)
-    rng = np.random.default_rng(seed)
+    rng, draws = np.random.default_rng(seed), []
+    for _ in range(trees):
+        allowed = np.zeros(len(features), bool)
+        allowed[rng.permutation(len(features))[: max(1, round(column_share * len(features)))]] = True
+        draws.append((allowed, int(rng.integers(2**31))))
+    if parts == 1:
+        model.trees = _fit_here(state, draws, width, loss, power, depth, rate, l2, min_weight, row_share)
+        return model
     written = 0
-    for k in range(trees):
+    for k, (allowed, draw) in enumerate(draws):
         if k - written >= WRITE_EVERY:
             state, written = _write_back(state, model, written), k
-        allowed = np.zeros(len(features), bool)
-        allowed[rng.permutation(len(features))[: max(1, round(column_share * len(features)))]] = True
-        model.trees.append(_grow(state, model, written, parts, width, loss, power, depth, rate, l2, min_weight, row_share, int(rng.integers(2**31)), allowed))
+        sums = lambda tree, nodes: _histograms(state, model, tree, written, parts, width, loss, power, row_share, draw, nodes)  # noqa: B023, E731
+        model.trees.append(_grow(sums, depth, rate, l2, min_weight, allowed))
+    return model
+
+
+def _drawn(rid: np.ndarray, draw: int, row_share: float) -> np.ndarray:
+    """Whether a tree's draw takes each row."""
+    h = (rid.view(np.uint64) ^ np.uint64(draw)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(44)).astype(np.int64) < int(row_share * (1 << 20))
+
+
+def _fit_here(state: DataFrame, draws: list, width: int, loss: str, power: float, depth: int, rate: float, l2: float, min_weight: float, row_share: float) -> list[Tree]:
+    """All trees from the one partition of ``state``, ONE_TASK_ROWS rows at most."""
+    n_features = len(draws[0][0]) if draws else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(_matrix(b, n_features), *(b.column(c).to_numpy() for c in ("rid", "y", "raw"))) for b in batches if b.num_rows]
+        if not parts:
+            return
+        bins, rid, y, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for allowed, draw in draws:
+            use = _drawn(rid, draw, row_share) if row_share < 1 else slice(None)
+            g, h = gradients(loss, power, y[use], raw[use])
+            cut = bins[use]
+            tree = _grow(lambda t, nodes: _sums(cut, g, h, t, nodes, width), depth, rate, l2, min_weight, allowed)  # noqa: B023
+            raw = raw + tree.predict(bins)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tree)], pa.binary())], names=["tree"])
+
+    if not draws:
+        return []
+    return [pickle.loads(r["tree"]) for r in state.coalesce(1).mapInArrow(run, "tree binary").collect()]
+
+
+def fit_arrays(
+    x: np.ndarray, y: np.ndarray, features: Sequence[str], loss: str = "squared", power: float = 1.5, trees: int = 100, depth: int = 4, rate: float = 0.1,
+    bins: int = 64, l2: float = 1.0, min_weight: float = 1e-3, row_share: float = 1.0, seed: int = 42,
+) -> Model:
+    """The same model on arrays inside a task, for one series or a bounded sample."""
+    inner = np.arange(1, bins) / bins
+    edges = [np.unique(np.quantile(v[~np.isnan(v)], inner, method="inverted_cdf")) if (~np.isnan(v)).any() else np.zeros(0) for v in x.T]
+    mean = max(float(y.mean()), 1e-12) if loss == "tweedie" else float(y.mean())
+    model = Model(list(features), edges, float(np.log(mean)) if loss == "tweedie" else mean, loss)
+    cut, raw, rng = model.bins(x), np.full(len(y), model.base), np.random.default_rng(seed)
+    width, allowed = max(len(e) for e in edges) + 2, np.ones(x.shape[1], bool)
+    for _ in range(trees):
+        use = rng.random(len(y)) < row_share if row_share < 1 else np.ones(len(y), bool)
+        g, h = gradients(loss, power, y, raw)
+        sums = lambda tree, nodes: _sums(cut[use], g[use], h[use], tree, nodes, width)  # noqa: B023, E731
+        model.trees.append(_grow(sums, depth, rate, l2, min_weight, allowed))
+        raw += model.trees[-1].predict(cut)
     return model
 
 
+def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, nodes: Sequence[int], width: int) -> np.ndarray:
+    """Sums ``(nodes, features, bins, 3)`` over the rows given."""
+    n = bins.shape[1]
+    place = np.full(len(tree.feature), -1, np.int64)
+    place[nodes] = np.arange(len(nodes))
+    mine = place[tree.node_of(bins)]
+    use = mine >= 0
+    cell = ((mine[use][:, None] * n + np.arange(n)) * width + bins[use]).ravel()
+    size = len(nodes) * n * width
+    parts = [np.bincount(cell, np.repeat(w, n), size) for w in (g[use], h[use])] + [np.bincount(cell, minlength=size)]
+    return np.stack(parts, -1).reshape(len(nodes), n, width, 3).astype(float)
+
+
 def _binned(src: DataFrame, model: Model, parts: int) -> DataFrame:
     """The working table ``(rid, y, bins binary, raw)``, written once."""
     shared = src.sparkSession.sparkContext.broadcast(model)
@@ -223,12 +293,13 @@ def _write_back(state: DataFrame, model: Model, written: int) -> DataFrame:
     return cut_lineage(state.mapInArrow(run, state.schema))
 
 
-def _grow(state, model, written, parts, width, loss, power, depth, rate, l2, min_weight, row_share, draw, allowed) -> Tree:
+def _grow(sums, depth: int, rate: float, l2: float, min_weight: float, allowed: np.ndarray) -> Tree:
+    """A tree of ``depth`` levels from ``sums`` (tree so far, open nodes) -> (nodes, features, bins, 3)."""
     size = 2 ** (depth + 1) - 1
     tree = Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size))
     open_nodes = [0]
     for level in range(depth):
-        hist = _histograms(state, model, tree, written, parts, width, loss, power, row_share, draw, open_nodes)
+        hist = sums(tree, open_nodes)
         feature, at, left, right = best_splits(hist, l2, min_weight, allowed)
         total = hist[:, 0].sum(1)
         nxt = []
@@ -251,32 +322,21 @@ def _histograms(state, model, tree, written, parts, width, loss, power, row_shar
     n_features = len(model.features)
     shared = state.sparkSession.sparkContext.broadcast((model.trees[written:], tree, np.array(open_nodes)))
     shape = (len(open_nodes), n_features, width, 3)
-    limit = int(row_share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, tree, nodes = shared.value
-        place = np.full(len(tree.feature), -1, np.int64)
-        place[nodes] = np.arange(len(nodes))
-        total = np.zeros((len(nodes) * n_features * width, 3))
+        total = np.zeros((len(nodes), n_features, width, 3))
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE_ROWS):
                 b = whole.slice(i, SLICE_ROWS)
                 bins, y, raw = _matrix(b, n_features), b.column("y").to_numpy(), b.column("raw").to_numpy().copy()
+                if row_share < 1:
+                    use = _drawn(b.column("rid").to_numpy(), draw, row_share)
+                    bins, y, raw = bins[use], y[use], raw[use]
                 for t in new:
                     raw += t.predict(bins)
-                mine = place[tree.node_of(bins)]
-                use = mine >= 0
-                if row_share < 1:
-                    h = (b.column("rid").to_numpy().view(np.uint64) ^ np.uint64(draw)) * np.uint64(0x9E3779B97F4A7C15)
-                    use &= (h >> np.uint64(44)).astype(np.int64) < limit
-                if not use.any():
-                    continue
-                g, h = gradients(loss, power, y[use], raw[use])
-                cell = ((mine[use][:, None] * n_features + np.arange(n_features)) * width + bins[use]).ravel()
-                for c, w in enumerate((g, h, np.ones_like(g))):
-                    total[:, c] += np.bincount(cell, np.repeat(w, n_features), len(total))
-        per_node = total.reshape(len(nodes), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array([_vector(v) for v in per_node], pa.binary())], names=["node", "vec"])
+                total += _sums(bins, *gradients(loss, power, y, raw), tree, nodes, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array([_vector(v) for v in total], pa.binary())], names=["node", "vec"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0

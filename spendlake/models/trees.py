@@ -1,29 +1,29 @@
-"""Boosted-tree forecasters (M2, M3, M7 b, M9) on Spark ML.
-
-One global ``GBTRegressor`` is trained over all series at once (calendar parts, the previous three
-values, and the series as an indexed feature), on the first 85% of every series; the last 15% is
-the validation set for the metrics. The H-step forecast is recursive: each step predicts the next
-period of every series from the current state (last three values), clamps at 0 and shifts the
-state. The loop runs H times over one row per series (H is a horizon, not a data size); the state
-is checkpointed into the shared folder every few steps so lineage stays short and an executor loss
-recomputes at most those steps.
+"""Boosted-tree forecasters (M2, M3, M7 b, M9) on the library's histogram boosting.
+
+One global model is trained over all series at once (calendar parts, the previous three values, and the
+series as the mean of its earlier values, an ordered target statistic: no row sees its own value), on
+the first 85% of every series; the last 15% is the validation set for the metrics. The H-step forecast is
+recursive: each step predicts the next period of every series from the current state (last three
+values), clamps at 0 and shifts the state. A series' state is one row, so a task takes all H steps of its
+rows as arrays and the forecast is one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import add_periods, calendar_parts
 from ..operators.features import add_lags, chronological_split
-from ..operators.ledger import UNKNOWN
 from ..operators.metrics import BAND, error_metrics
 from ..session import cut_lineage
+from . import boosting
 
 # Engine defaults (trees, learning rate, depth) of the two tree roles.
 ENGINES = {
@@ -32,12 +32,13 @@ ENGINES = {
 }
 LAGS = (1, 2, 3)
 CAL = ("year", "month", "day", "dayofweek", "quarter", "is_weekend")
-FEATURES = [*CAL, *[f"lag_{k}" for k in LAGS], "series_idx"]
+FEATURES = [*CAL, *[f"lag_{k}" for k in LAGS], "series_mean"]
 
 
-def _series_key(keys: Sequence[str]):
-    """One categorical per series; null parts read ``Unknown`` (the tree role's fill)."""
-    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(UNKNOWN)) for k in keys])
+def boosting_params(params: dict) -> dict:
+    """The engines' parameter names as those of ``boosting.fit``; others pass."""
+    names = {"maxIter": "trees", "stepSize": "rate", "maxDepth": "depth", "subsamplingRate": "row_share"}
+    return {names.get(k, k): v for k, v in params.items()}
 
 
 def _features(df: DataFrame, ds_col: str = "ds") -> DataFrame:
@@ -45,26 +46,20 @@ def _features(df: DataFrame, ds_col: str = "ds") -> DataFrame:
 
 
 def training_frame(series: DataFrame, keys: Sequence[str], ds_col: str = "ds", value: str = "y") -> DataFrame:
+    """Rows with all lags, calendar parts and the mean of the series' earlier values."""
     lagged = add_lags(series.withColumn(value, F.col(value).cast("double")), keys, [ds_col], value, LAGS)
+    before = Window.partitionBy(*keys).orderBy(ds_col).rowsBetween(Window.unboundedPreceding, -1)
+    lagged = lagged.withColumn("series_mean", F.avg(value).over(before))
     lagged = lagged.na.drop(subset=[f"lag_{k}" for k in LAGS])
-    return _features(lagged, ds_col).withColumn("series_key", _series_key(keys))
+    return _features(lagged, ds_col)
 
 
 def fit(series: DataFrame, keys: Sequence[str], engine: str = "xgboost", params: dict | None = None, ds_col: str = "ds", value: str = "y", train_frac: float = 0.85, seed: int = 42):
-    """Train on the first ``train_frac`` of every series; returns (PipelineModel, validation
-    predictions). The series index is fed as a number (not a categorical), so the number of
-    series is not limited by ``maxBins``."""
-    hp = {**ENGINES[engine], **(params or {})}
-    frame = chronological_split(training_frame(series, keys, ds_col, value), keys, ds_col, train_frac)
-    indexer = StringIndexer(inputCol="series_key", outputCol="series_idx_nom", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol=value, seed=seed, lossType="squared", **hp)
-    train = frame.where("is_train")
-    idx_model = indexer.fit(train)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    prep = lambda d: assembler.transform(idx_model.transform(d).withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0)))
-    model = gbt.fit(prep(train))
-    val = model.transform(prep(frame.where(~F.col("is_train")))).withColumnRenamed("prediction", "yhat")
-    return (idx_model, model), val
+    """Train on the first ``train_frac`` of every series; returns (model, validation predictions)."""
+    hp = boosting_params({**ENGINES[engine], **(params or {})})
+    frame = cut_lineage(chronological_split(training_frame(series, keys, ds_col, value), keys, ds_col, train_frac))
+    model = boosting.fit(frame.where("is_train"), FEATURES, value, loss="squared", seed=seed, **hp)
+    return model, boosting.predict(frame.where(~F.col("is_train")), model, "yhat")
 
 
 def validation_metrics(val: DataFrame, keys: Sequence[str], value: str = "y") -> DataFrame:
@@ -72,48 +67,56 @@ def validation_metrics(val: DataFrame, keys: Sequence[str], value: str = "y") ->
 
 
 def recursive_forecast(
-    fitted,
+    model: boosting.Model,
     series: DataFrame,
     keys: Sequence[str],
     horizon: int = 24,
     granularity: str = "month",
     ds_col: str = "ds",
     value: str = "y",
-    checkpoint_every: int = 8,
 ) -> DataFrame:
     """M7 (b): H-step recursive forecast for every series; ``keys, ds, yhat``.
 
-    State per series is (last period, last three values); each step is one ``transform`` over one
-    row per series. Predictions are clamped at 0 and fed back as lag 1. Steps are narrow
-    projections, so consecutive steps pipeline inside one stage; every ``checkpoint_every`` steps
-    the state is checkpointed into the shared folder to bound the plan and the recomputation
-    after a lost executor.
+    State per series is one row: last period, last three values, mean. The periods to come and their calendar
+    parts are listed by Spark; a task then takes the steps for all its series at once. Predictions are clamped
+    at 0 and fed back as lag 1.
     """
-    idx_model, model = fitted
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     y = F.col(value).cast("double")
     ranked = series.select(*keys, ds_col, y.alias("__y")).withColumn(
         "__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ds_col)))
     )
-    state = ranked.where("__rn <= 3").groupBy(*keys).agg(
-        F.max(ds_col).alias("last_ds"),
-        *[F.max(F.when(F.col("__rn") == k, F.col("__y"))).alias(f"lag_{k}") for k in LAGS],
+    state = ranked.groupBy(*keys).agg(
+        F.max(ds_col).alias("__last"),
+        F.avg("__y").alias("__mean"),
+        *[F.max(F.when(F.col("__rn") == k, F.col("__y"))).alias(f"__lag_{k}") for k in LAGS],
     )
-    state = idx_model.transform(state.withColumn("series_key", _series_key(keys))).withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0))
-    none = F.array().cast("array<struct<ds:date,yhat:double>>")
-    state = cut_lineage(state.select(*keys, "last_ds", *[f"lag_{k}" for k in LAGS], "series_idx", none.alias("__steps")))
-    # predictions travel with the state, so a step is scored once and the chain stays one plan
-    for h in range(1, horizon + 1):
-        step = _features(state.withColumn("ds", add_periods(F.col("last_ds"), 1, granularity)), "ds")
-        pred = model.transform(assembler.transform(step)).withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
-        step_out = F.array(F.struct(F.col("ds").cast("date").alias("ds"), F.col("yhat").cast("double").alias("yhat")))
-        state = pred.select(
-            *keys, F.col("ds").alias("last_ds"), F.col("yhat").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"),
-            "series_idx", F.concat("__steps", step_out).alias("__steps"),
-        )
-        if h % checkpoint_every == 0 and h < horizon:
-            state = cut_lineage(state)
-    return state.select(*keys, F.explode("__steps").alias("__s")).select(*keys, "__s.ds", "__s.yhat")
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: add_periods(F.col("__last"), h, granularity).cast("date"))
+    state = state.withColumn("__ds", ahead)
+    part = lambda c: lambda d: calendar_parts(d)[c].cast("double")
+    state = state.withColumns({f"__{c}": F.transform("__ds", part(c)) for c in CAL})
+    shared = series.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*[state.schema[k] for k in keys], T.StructField("__ds", T.ArrayType(T.DateType())), T.StructField("__yhat", T.ArrayType(T.DoubleType()))])
+    n_lags = len(LAGS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cal = np.stack([b.column(f"__{c}").flatten().to_numpy().reshape(b.num_rows, horizon) for c in CAL], -1)
+            lags = np.column_stack([b.column(f"__lag_{k}").to_numpy(zero_copy_only=False).astype(float) for k in LAGS])
+            mean = b.column("__mean").to_numpy(zero_copy_only=False).astype(float)[:, None]
+            out = np.zeros((b.num_rows, horizon))
+            for h in range(horizon):
+                x = np.column_stack([cal[:, h], lags, mean])
+                out[:, h] = np.maximum(m.link(m.raw(m.bins(x))), 0.0)
+                lags = np.column_stack([out[:, h], lags[:, : n_lags - 1]])
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * horizon)
+            yhat = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("__ds"), yhat], names=[*keys, "__ds", "__yhat"])
+
+    steps = state.mapInArrow(run, schema).withColumn("__s", F.explode(F.arrays_zip("__ds", "__yhat")))
+    return steps.select(*keys, F.col("__s.__ds").alias("ds"), F.col("__s.__yhat").alias("yhat"))
 
 
 def forecast(series: DataFrame, keys: Sequence[str], engine: str = "xgboost", horizon: int = 24, granularity: str = "month", params: dict | None = None, refit: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -130,19 +133,26 @@ def forecast(series: DataFrame, keys: Sequence[str], engine: str = "xgboost", ho
     return fc, validation_metrics(val, keys)
 
 
-def month_year_regressor(series: DataFrame, keys: Sequence[str], horizon: int = 24, ds_col: str = "ds", value: str = "y", seed: int = 42) -> DataFrame:
-    """M9: boosted trees on (month, year) only, fitted over all series, with a +-10% band."""
-    base = series.select(*keys, ds_col, F.col(value).cast("double").alias("label"), F.month(ds_col).cast("double").alias("m"), F.year(ds_col).cast("double").alias("yr"))
-    base = base.withColumn("series_key", _series_key(keys))
-    idx = StringIndexer(inputCol="series_key", outputCol="series_idx_nom", handleInvalid="keep").fit(base)
-    asm = VectorAssembler(inputCols=["m", "yr", "series_idx"], outputCol="features")
-    as_number = lambda d: idx.transform(d).withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0))
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=50, maxDepth=4, seed=seed)
-    model: PipelineModel = Pipeline(stages=[asm, gbt]).fit(as_number(base))
-    last = series.groupBy(*keys).agg(F.max(ds_col).alias("__last"))
-    fut = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "__last").select(
-        *keys, F.add_months("__last", F.col("h")).alias(ds_col)
-    )
-    fut = fut.select(*keys, ds_col, F.month(ds_col).cast("double").alias("m"), F.year(ds_col).cast("double").alias("yr")).withColumn("series_key", _series_key(keys))
-    pred = model.transform(as_number(fut)).select(*keys, ds_col, F.col("prediction").alias("yhat"))
-    return pred.withColumn("yhat_lower", F.col("yhat") * (1 - BAND)).withColumn("yhat_upper", F.col("yhat") * (1 + BAND))
+def month_year_regressor(series: DataFrame, keys: Sequence[str], horizon: int = 24, ds_col: str = "ds", value: str = "y", trees: int = 500, rate: float = 0.05, depth: int = 4, seed: int = 42) -> DataFrame:
+    """M9: boosted trees on (month, year) only, a model per series, with a +-10% band.
+
+    A series is a calendar of bounded length; its model is fitted in the task that holds it.
+    """
+    src = series.select(*keys, F.col(ds_col).alias("ds"), F.col(value).cast("double").alias("y"))
+    schema = T.StructType([*[series.schema[k] for k in keys], T.StructField(ds_col, T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("yhat", "yhat_lower", "yhat_upper")]])
+    parts = lambda d: np.column_stack([d.month, d.year]).astype(float)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["ds", "y"]).sort_values("ds")
+        if pdf.empty:
+            return pd.DataFrame(columns=schema.names)
+        days = pd.DatetimeIndex(pd.to_datetime(pdf["ds"]))
+        model = boosting.fit_arrays(parts(days), pdf["y"].to_numpy(float), ["month", "year"], trees=trees, rate=rate, depth=depth, seed=seed)
+        ahead = pd.date_range(days[-1] + pd.offsets.MonthBegin(1), periods=horizon, freq="MS")
+        yhat = model.link(model.raw(model.bins(parts(ahead))))
+        out = pd.DataFrame({ds_col: ahead.date, "yhat": yhat, "yhat_lower": yhat * (1 - BAND), "yhat_upper": yhat * (1 + BAND)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[schema.names]
+
+    return src.groupBy(*keys).applyInPandas(one, schema)

@@ -5,8 +5,8 @@
   RMSE over expanding folds) is refitted on the full history.
 * M10 (trees): the same sampler over an engine's space, some trials at a time, trained on the first 85% of
   every series and validated on the rest, candidate fits running concurrently.
-* M11 / W12: grid search with ``CrossValidator`` over time-ordered folds (``foldCol``), so
-  validation never precedes training in a fold; candidate models train in parallel.
+* M11 / W12: grid search over expanding folds (W10), so validation never precedes training; all numbers of
+  trees of a grid point come from one model, and points and folds run in parallel.
 * M14: fitted pipelines saved under the shared folder with an append-only registry; the newest
   per family is loaded, older than the 5 newest are pruned from the registry.
 """
@@ -15,21 +15,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
+from ..operators.features import chronological_split, expanding_folds
 from ..session import cut_lineage
-from . import decompose
-from .trees import FEATURES, training_frame
+from . import boosting, decompose
+from .trees import FEATURES, boosting_params, training_frame
 
 # Search spaces (kind, then bounds or choices).
 SPACE = {
@@ -205,34 +203,53 @@ def tuned_forecast(
     return decompose.forecast(series, keys, horizon, granularity, params, holidays, per_series=best)
 
 
-def time_folds(frame: DataFrame, keys: Sequence[str], n_folds: int = 3, ds_col: str = "ds") -> DataFrame:
-    """Contiguous fold id per series row (first third = fold 0 ...), for ``foldCol``."""
-    w = Window.partitionBy(*keys).orderBy(ds_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return frame.withColumn("fold", F.least(F.floor((F.row_number().over(w) - 1) * n_folds / n), F.lit(n_folds - 1)).cast("int"))
+#: M11's default grid is the reference role's; a number of trees costs nothing of its own.
+GRID = {"maxDepth": [3, 6, 8, 10, 12], "stepSize": [0.01, 0.05, 0.1], "maxIter": [200, 500, 800, 1000], "subsamplingRate": [1.0, 0.8], "l2": [1, 3, 5]}
+#: Rows of the training frame that a grid search works on; beyond it, whole series are drawn by hash.
+SEARCH_ROWS = 50_000
 
 
-def grid_search_gbt(series: DataFrame, keys: Sequence[str], grid: dict | None = None, n_folds: int = 3, parallelism: int = 4, seed: int = 42) -> DataFrame:
-    """``ParamGridBuilder`` x ``CrossValidator`` (RMSE) for the global tree model. Returns one
-    row per grid point with its mean RMSE and whether it was selected."""
+def grid_search_gbt(series: DataFrame, keys: Sequence[str], grid: dict | None = None, n_folds: int = 3, seed: int = 42, search_rows: int = SEARCH_ROWS) -> DataFrame:
+    """Every point of ``grid`` for the global tree model, over ``n_folds`` expanding folds.
+
+    A fold's model is trained on what comes before the rows it is scored on. All numbers of trees of a point
+    come from one model, scored after each of them; points and folds run as tasks of their own. The search
+    works on the whole training frame up to ``search_rows`` rows (which bounds a task), beyond that on whole
+    series drawn by hash. Returns one row per grid point with the mean RMSE of its folds and whether it was
+    selected.
+    """
     spark = series.sparkSession
-    grid = grid or {"maxDepth": [3, 5], "stepSize": [0.05, 0.1], "maxIter": [20]}
-    frame = time_folds(training_frame(series, keys), keys)
-    frame = StringIndexer(inputCol="series_key", outputCol="series_idx_nom", handleInvalid="keep").fit(frame).transform(frame)
-    frame = frame.withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0))
-    frame = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame)
-    gbt = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(gbt, name), values)
-    maps = builder.build()
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"), foldCol="fold", parallelism=parallelism, seed=seed)
-    model = cv.fit(frame)
-    best = int(np.argmin(model.avgMetrics))
-    rows = []
-    for i, (pm, m) in enumerate(zip(maps, model.avgMetrics)):
-        rows.append((i, {p.name: float(v) for p, v in pm.items()}, float(m), i == best))
-    return spark.createDataFrame(rows, "grid_point int, params map<string,double>, mean_rmse double, selected boolean")
+    grid = {**{"maxIter": [100], "maxDepth": [6], "stepSize": [0.1], "subsamplingRate": [1.0], "l2": [1.0]}, **(grid or GRID)}
+    unknown = set(grid) - set(GRID)
+    if unknown:
+        raise ValueError(f"unknown grid parameters: {sorted(unknown)}")
+    frame = cut_lineage(training_frame(series, keys).select(*keys, "ds", "y", *FEATURES))
+    n = frame.count()
+    if n > search_rows:
+        frame = frame.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(search_rows / n * (1 << 20)))
+    folded = expanding_folds(frame, keys, "ds", n_folds).where(F.col("y").isNotNull()).select("fold", "role", "y", *FEATURES)
+    stages = sorted(set(grid["maxIter"]))
+    names = ("maxDepth", "stepSize", "subsamplingRate", "l2")
+    points = [dict(zip(names, p, strict=True)) for p in product(*(grid[k] for k in names))]
+    # a task gets a fold and a point: the fold's rows once per point, which search_rows bounds
+    numbered = folded.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = points[int(pdf["point"].iloc[0])]
+        train, val = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "val"]
+        if train.empty or val.empty:
+            return pd.DataFrame(columns=["point", "trees", "rmse"])
+        own = boosting_params(p)
+        model = boosting.fit_arrays(train[FEATURES].to_numpy(float), train["y"].to_numpy(float), FEATURES, trees=stages[-1], seed=seed, **own)
+        got = model.staged(model.bins(val[FEATURES].to_numpy(float)), stages)
+        rmse = [float(np.sqrt(np.mean((val["y"].to_numpy(float) - g) ** 2))) for g in got]
+        return pd.DataFrame({"point": int(pdf["point"].iloc[0]), "trees": stages, "rmse": rmse})
+
+    scored = numbered.groupBy("point", "fold").applyInPandas(score, "point int, trees int, rmse double")
+    means = sorted((r["m"], r["point"], r["trees"]) for r in scored.groupBy("point", "trees").agg(F.avg("rmse").alias("m")).collect())
+    order = {p: k for k, p in enumerate(product(range(len(points)), stages))}
+    rows = [(order[i, t], {**{k: float(v) for k, v in points[i].items()}, "maxIter": float(t)}, m, at == 0) for at, (m, i, t) in enumerate(means)]
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "grid_point int, params map<string,double>, mean_rmse double, selected boolean")
 
 
 def search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, parallelism: int = 4, seed: int = 42, space: dict | None = None, train_frac: float = 0.85, engine: str = "xgboost", startup: int = STARTUP) -> DataFrame:
@@ -245,21 +262,16 @@ def search_gbt(series: DataFrame, keys: Sequence[str], n_trials: int = 20, paral
     from multiprocessing.pool import ThreadPool
 
     spark = series.sparkSession
-    frame = time_folds(training_frame(series, keys), keys, n_folds=100)
-    frame = frame.withColumn("__is_val", F.col("fold") >= F.lit(int(round(train_frac * 100))))
-    frame = StringIndexer(inputCol="series_key", outputCol="series_idx_nom", handleInvalid="keep").fit(frame).transform(frame)
-    frame = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame.withColumn("series_idx", F.col("series_idx_nom") + F.lit(0.0)))
-    frame = cut_lineage(frame)  # every trial reads it
-    train, val = frame.where(~F.col("__is_val")), frame.where(F.col("__is_val"))
-    gbt = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
-    ev = RegressionEvaluator(labelCol="y", metricName="rmse")
+    frame = cut_lineage(chronological_split(training_frame(series, keys), keys, "ds", train_frac))  # every trial reads it
+    train, val = frame.where("is_train"), frame.where(~F.col("is_train"))
     _check_trials(n_trials)
     space = {**TREE_SPACES[engine], **{k: (TREE_SPACES[engine][k][0], *bounds) for k, bounds in (space or {}).items()}}
     rng, history = np.random.default_rng(seed), []
 
     def run(t: dict) -> float:
-        model = gbt.fit(train, {getattr(gbt, k): v for k, v in t.items()})
-        return float(ev.evaluate(model.transform(val)))
+        model = boosting.fit(train, FEATURES, "y", loss="squared", seed=seed, **boosting_params(t))
+        err = boosting.predict(val, model, "__p").agg(F.avg(F.pow(F.col("y") - F.col("__p"), 2)).alias("e")).first()["e"]
+        return math.sqrt(err) if err is not None else math.inf
 
     with ThreadPool(max(1, min(parallelism, n_trials))) as pool:
         while len(history) < n_trials:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import decompose, legacy, linear, trees, tuning
+from ..models import boosting, decompose, legacy, linear, trees, tuning
 from ..operators import calendar, features as FT, metrics as MX
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources.tables import ledger
 from . import series as SE
 from .sqltext import ols_fitted_sql, ols_sql, with_ledger
@@ -67,6 +67,24 @@ def q_tweedie_glm(spark: SparkSession, d: str) -> DataFrame:
     return legacy.evaluate(_legacy_frame(spark, d), LEGACY_GROUPS, "tweedie")
 
 
+def q_tweedie_boosting(spark: SparkSession, d: str) -> DataFrame:
+    """M4 with all categories, accounts included: boosted trees with Tweedie loss on target statistics, trained on
+    the first 80 % of the months. Per later month the rows, and whether all predictions are above 0 and their sum
+    is between half and twice the spend."""
+    cats = [*LEGACY_GROUPS, "account_name"]
+    frame = legacy.monthly_groups(ledger(spark, d).where("spend >= 0"), cats)
+    train, _ = legacy.split_by_month(frame)
+    last = train.agg(F.max("month")).first()[0]
+    frame = frame.withColumn("__train", F.col("month") <= F.lit(last))
+    rows = cut_lineage(boosting.target_statistics(frame, cats, "spend", "month", 5.0, train="__train"))
+    features = ["year", "month_num", *legacy.LAG_COLS, *legacy.ROLL, *[f"{c}__ts" for c in cats]]
+    model = boosting.fit(rows.where("__train"), features, "spend", trees=100, depth=6, rate=0.1, min_weight=20.0, row_share=0.8, column_share=0.8)
+    scored = boosting.predict(rows.where(~F.col("__train")), model)
+    ratio = F.sum("prediction") / F.sum("spend")
+    by = scored.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.coalesce((F.min("prediction") > 0) & ratio.between(0.5, 2.0), F.lit(False)).alias("ok"))
+    return by.select("month", "rows", "ok")
+
+
 def q_linear_onehot(spark: SparkSession, d: str) -> DataFrame:
     return legacy.evaluate(_legacy_frame(spark, d), LEGACY_GROUPS, "linear")
 
@@ -80,7 +98,9 @@ def q_tuned_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_cv_grid_search(spark: SparkSession, d: str) -> DataFrame:
-    return tuning.grid_search_gbt(SE.panel(spark, d), SE.PANEL)
+    """Depths of 3 and 6, all learning rates, shares and penalties of the full grid, at 4 numbers of trees."""
+    grid = {**tuning.GRID, "maxDepth": [3, 6], "maxIter": [20, 50, 80, 100]}
+    return tuning.grid_search_gbt(SE.panel(spark, d), SE.PANEL, grid)
 
 
 def q_model_registry(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +136,7 @@ def q_level_forecast(spark: SparkSession, d: str) -> DataFrame:
 
     lv = P.level_grouping_sets(ledger(spark, d)).select("level", "level_key", F.col("month").alias("ds"), F.col("spend").alias("y"))
     series = calendar.fill_gaps(lv, ["level", "level_key"], "month")
-    return linear.ols_trend(series, ["level", "level_key"], 12)
+    return linear.ols_trend(series, ["level", "level_key"], 24)
 
 
 def q_forecast_request(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +199,11 @@ ORACLE = {
     "contract_prophet_tuned": CONTRACT,
     "contract_linear": CONTRACT,
     "contract_catboost": CONTRACT,
+    "tweedie_boosting": with_ledger("""
+, g AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month,
+               COUNT(DISTINCT (service_name, segment, region, usage_family, bu_code, account_name)) AS n FROM ledger WHERE spend >= 0 GROUP BY 1)
+, c AS (SELECT month, n, SUM(n) OVER (ORDER BY month) AS cum, SUM(n) OVER () AS tot FROM g)
+SELECT month, n AS rows, TRUE AS ok FROM c WHERE cum > tot * 0.8"""),
     "level_forecast": with_ledger(f"""
 , b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, account_name, service_name, CAST(bu_code AS VARCHAR) AS bu_code, segment, spend FROM ledger)
 , g AS (SELECT month, account_name, service_name, bu_code, segment,
@@ -191,7 +216,7 @@ ORACLE = {
 , sp AS (SELECT level, level_key, CAST(UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS ds FROM bnd)
 , ser AS (SELECT sp.level, sp.level_key, sp.ds, CAST(COALESCE(lv.y, 0) AS DECIMAL(18,2)) AS y FROM sp LEFT JOIN lv
           ON sp.level = lv.level AND sp.level_key IS NOT DISTINCT FROM lv.level_key AND sp.ds = lv.ds)
-""" + ols_sql("lf", "ser", ["level", "level_key"], 12) + """
+""" + ols_sql("lf", "ser", ["level", "level_key"], 24) + """
 SELECT * FROM lf"""),
     "ensemble_forecast": with_ledger(SE.PANEL_CTE + SE.OLS_CTE + SE.SNAIVE_CTE + SE.PREDS_CTE + f"""
 """ + ols_fitted_sql("ofit", "ms", SE.PANEL) + f"""

@@ -66,10 +66,13 @@ def test_many_tasks_sum_to_the_same_trees(spark, monkeypatch):
     df, x, _ = table(spark)
     kw = dict(trees=3, depth=3, row_share=1.0, column_share=0.6, bins=16)
     one = B.fit(df, ["a", "b", "c"], **kw)
-    monkeypatch.setattr(B, "PARTITION_ROWS", 40)
-    monkeypatch.setattr(B, "DIRECT_TASKS", 2)
-    many = B.fit(df, ["a", "b", "c"], **kw)
-    assert np.allclose(one.raw(one.bins(x)), many.raw(many.bins(x)), atol=1e-9)
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(B, "WRITE_EVERY", 2)
+    for rows, direct in ((400, 32), (40, 32), (40, 2)):
+        monkeypatch.setattr(B, "PARTITION_ROWS", rows)
+        monkeypatch.setattr(B, "DIRECT_TASKS", direct)
+        many = B.fit(df, ["a", "b", "c"], **kw)
+        assert np.allclose(one.raw(one.bins(x)), many.raw(many.bins(x)), atol=1e-9)
     half = B.fit(df, ["a", "b", "c"], trees=3, depth=3, row_share=0.5, bins=16)
     assert not np.allclose(one.raw(one.bins(x)), half.raw(half.bins(x)))
 
