@@ -189,25 +189,36 @@ def _bpe(raw: bytes) -> Bpe:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` without ``text_col``, plus ``ids_col`` array<int>: the ids of the whole text.
+def _decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(tokens, pc.list_flatten(ids))), " ")
+
+
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` without ``text_col``, plus ``ids_col`` array<int>: the ids of the whole text. With
+    ``decoded_col`` also what ``decode`` makes of them, in the same pass: one Python worker a task, not two.
 
     A null text counts as empty and gives no ids. Other columns pass through, repeated rows too; a
     column that already has the name ``ids_col`` is replaced. Text never leaves its task: no shuffle.
     Special strings of the file inside a text become their ids, as its library does by default.
     """
     raw = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_path))
-    keep = [c for c in docs.columns if c not in (text_col, ids_col)]
+    added = [ids_col] + ([decoded_col] if decoded_col else [])
+    keep = [c for c in docs.columns if c not in (text_col, *added)]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, k) for c, k in zip(added, kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(raw.value)
+        tokens = pa.array(bpe.tokens) if decoded_col else None
         for b in slices(batches):
             ids, size = bpe.encode(b.column(text_col).to_pylist())
             offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], names=[*keep, ids_col])
+            out = [lists, _decoded(lists, tokens)] if decoded_col else [lists]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *out], names=[*keep, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -226,11 +237,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(_bpe(raw.value).tokens)
         for b in slices(batches):
-            ids = b.column(ids_col)
-            size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            flat = pc.take(tokens, pc.list_flatten(ids))
-            offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
-            text = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), " ")
+            text = _decoded(b.column(ids_col), tokens)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], text], names=[*keep, out_col])
 
     return encoded.mapInArrow(run, schema)

@@ -46,6 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, max_bytes: int =
     batch or the length of its texts. A row that is larger on its own is a slice."""
     for b in batches:
         todo = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        s = None
         while todo:
             s = todo.pop()
             if s.num_rows > 1 and s.nbytes > max_bytes:
@@ -53,6 +54,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, max_bytes: int =
                 todo += [s.slice(half), s.slice(0, half)]
             else:
                 yield s
+        # a worker lives on between batches and tasks; what Arrow keeps for later would count all that time
+        del b, s, todo
+        pa.default_memory_pool().release_unused()
 
 
 def file_bytes(path: str, limit: int = 64 << 20) -> bytes:

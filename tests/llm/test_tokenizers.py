@@ -129,3 +129,24 @@ def test_op6_encodes_nothing_the_second_time(spark):
 
 def test_counts_of_an_empty_table(spark, tmp_path):
     assert token_counts.count_tokens(frame(spark, ODD).limit(0), PIECE, str(tmp_path / "c")).collect() == []
+
+
+def test_one_pass_equals_two(spark):
+    docs = frame(spark, ODD)
+    two = bpe.decode(bpe.encode(docs, WORD), WORD)
+    one = bpe.encode(docs, WORD, decoded_col="decoded")
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_long_texts_repeats_and_null_ids(spark):
+    long = "Ünïcode words 12 and-more " * 100_000
+    rows = [(None, long), (None, long), (1, "a b"), (1, "a b"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), len(r.ids), r.decoded) for r in bpe.encode(docs, WORD, decoded_col="decoded").collect())
+    tok = Tokenizer.from_file(WORD)
+    tok.no_truncation()
+    want = []
+    for d, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((str(d), len(ids), tok.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
