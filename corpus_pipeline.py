@@ -60,7 +60,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    out = bpe.encode(docs.select("doc_id", "text"), path, decoded_col="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
