@@ -43,6 +43,8 @@ PAIRS_FROM = 16
 NEIGHBOURS = 64
 #: Rows of one key that are held at once; a key of more is divided into blocks of so many at most.
 KEY_BLOCK = 1 << 14
+#: Lists that a document's partners are divided into while they are merged.
+LOTS = 16
 #: Keys to divide that are broadcast; more of them meet their rows by a shuffle.
 MAX_HOT_KEYS = 1 << 21
 #: Shingles that a task gathers before it counts them.
@@ -496,16 +498,19 @@ def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
     """``(a, b)``: all pairs of different components among the rows (key, did, n, bits, comp, side) of a
     key that may link, each once; where a key has rows of side 1, the pairs of one of each side.
 
-    A task hands on a document's partners as lists of a bounded number of pairs, which are taken apart
-    before they meet, so no row holds all partners of a document.
+    A task hands on a document's partners as lists, so pairs that meet under many keys stay numbers in a list
+    until the lists are merged; partners lie in LOTS lots by hash, each with a list of its own.
     """
 
     def hand_on(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         if len(pairs):
-            first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+            lot = (mix(pairs[:, 1].astype(U)) % U(LOTS)).astype(np.int64)
+            order = np.lexsort((lot, pairs[:, 0]))
+            pairs, lot = pairs[order], lot[order]
+            first = np.flatnonzero(np.r_[True, (pairs[1:, 0] != pairs[:-1, 0]) | (lot[1:] != lot[:-1])])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pairs)].astype(np.int32)), pa.array(pairs[:, 1].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0].copy()), lists], names=["a", "partners"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0].copy()), pa.array(lot[first]), lists], names=["a", "lot", "partners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "key"):
@@ -532,8 +537,9 @@ def _crossing(keyed: DataFrame, plan: Plan) -> DataFrame:
                         held += int(use.sum())
             yield from hand_on(found)
 
-    lists = _by_key(keyed, "side").mapInArrow(run, "a long, partners array<long>")
-    return lists.select("a", F.explode("partners").alias("b")).distinct()
+    lists = _by_key(keyed, "side").mapInArrow(run, "a long, lot long, partners array<long>")
+    merged = lists.groupBy("a", "lot").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    return merged.select("a", F.explode("partners").alias("b"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
