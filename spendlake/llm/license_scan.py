@@ -1,10 +1,13 @@
 """License scans by sparse TF-IDF cosine and directory inheritance (operator 8), in DataFrame functions only.
 
-Each line of a file, and the whole text of a licence file, is compared with licence templates by cosine
-of TF-IDF vectors. Only lines with an anchor word are scored: the anchors of a template are its heaviest
-words, as many as it takes until the rest of its vector is shorter than the threshold, so by
-Cauchy-Schwarz a line without any of them cannot reach it. A file without a licence of its own inherits
-that of the nearest ancestor directory that has a licence file, by joins on the directories' paths.
+Each line of a file, windows of words that begin at its lines, and the whole text of a licence file are
+compared with licence templates by cosine of TF-IDF vectors. Only lines with an anchor word are scored:
+the anchors of a template are its heaviest words, as many as it takes until the rest of its vector is
+shorter than the threshold, so by Cauchy-Schwarz a line without any of them cannot reach it. A window is
+as long as the template that it is for, whatever lines it is wrapped over, and begins at a line with an
+anchor word or at the line before one; those whose words cannot reach the threshold by the same bound are
+left out. A file without a licence of its own inherits that of the nearest ancestor directory that has a
+licence file, by joins on the directories' paths.
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-# SPDX ids and the wording of common public licence headers and notices.
+# SPDX ids and the wording of common public licence titles, headers and notices.
 TEMPLATES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -28,14 +36,26 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: A tag with a licence expression, taken as it stands.
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?(?: (?:AND|OR|WITH) \(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?)*)"
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Directories and licence verdicts are joined under this many keys each, so that no path fills one task.
 SALTS = 32
@@ -77,6 +97,40 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def windows(lines: Column, cued: Column, counts: list[Counter], vectors: list[dict[str, float]], threshold: float) -> Column:
+    """Texts of the windows that may reach ``threshold``: of each template as many words as it has, from each
+    line that is ``cued`` or comes before such a line; fewer where the file ends. Every line has a word.
+
+    A window's cosine with a template is at most the share of the template's length that lies on words
+    which the window has.
+    """
+    longest = max(c.total() for c in counts)
+    forms = []
+    for c, v in zip(counts, vectors, strict=True):
+        whole = sum(x * x for x in v.values())
+        shares = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x * x / whole).alias("x")) for w, x in sorted(v.items())])
+        forms.append(F.struct(F.lit(c.total()).alias("n"), F.array(*map(F.lit, anchors([v], threshold))).alias("cues"), shares.alias("shares")))
+    table = F.array(*forms)
+
+    def ahead(i: Column) -> Column:
+        # a line has a word at least, so that many lines are enough
+        text = F.slice(lines, i, F.lit(longest))
+        grown = F.aggregate(text, F.array().cast("array<string>"), lambda acc, x: F.when(F.size(acc) >= longest, acc).otherwise(F.concat(acc, words_of(x))))
+        return grown
+
+    def fitting(words: Column) -> Column:
+        def may(t: Column) -> Column:
+            w = F.slice(words, F.lit(1), t["n"])
+            share = F.aggregate(t["shares"], F.lit(0.0), lambda acc, e: acc + F.when(F.array_contains(w, e["w"]), e["x"]).otherwise(0.0))
+            return F.arrays_overlap(w, t["cues"]) & (share >= threshold * threshold * (1 - 1e-9))
+
+        return F.transform(F.filter(table, may), lambda t: F.array_join(F.slice(words, F.lit(1), t["n"]), " "))
+
+    numbers = F.sequence(F.lit(1), F.size(lines))
+    begins = F.filter(numbers, lambda i: F.get(cued, i - 1) | F.coalesce(F.get(cued, i), F.lit(False)))
+    return F.when(F.size(lines) > 0, F.array_distinct(F.flatten(F.transform(F.transform(begins, ahead), fitting)))).otherwise(F.array().cast("array<string>"))
+
+
 def nearest_license(files: DataFrame) -> DataFrame:
     """``(dir, license, from_dir)`` of every directory that has a licence file in it or above it.
 
@@ -108,10 +162,12 @@ def scan(
 ) -> DataFrame:
     """``(id_col, license, score, scope, from_dir)``, one row per row of ``files``.
 
-    ``scope`` is ``own`` (a line of the file, or the whole text of a licence file, reaches
-    ``threshold``), ``inherited`` or ``none``; the best template wins, of equals the first id in
-    alphabetical order. ``score`` is the cosine, null unless own. A vector has a word's count times its
-    idf; a word outside all templates weighs as one that no file has.
+    ``scope`` is ``own`` (a line of the file, a window of words over its lines, or the whole text of a
+    licence file reaches ``threshold``), ``inherited`` or ``none``; the best template wins, of equals the
+    first id in alphabetical order. ``score`` is the cosine, null unless own. A vector has a word's count
+    times its idf; a word outside all templates weighs as one that no file has. The first
+    ``SPDX-License-Identifier`` of a file goes before all templates, with its expression as it stands and
+    score 1.
 
     Null or empty texts have no licence of their own, a file with a null path inherits nothing, the
     directory of a path without ``/`` is the root ``''``. Repeated rows are scanned as often as they
@@ -130,12 +186,22 @@ def scan(
     idf, unseen = inverse_frequencies(src, vocabulary)
     vectors = [{w: n * idf[w] for w, n in c.items()} for c in counts]
     cue = "|".join(anchors(vectors, threshold))
-    units = F.filter(F.split("content", "\n"), lambda x: x.rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}])({cue})($|[^\p{{L}}\p{{N}}])"))
-    units = F.concat(units, F.when(F.col("is_license_file"), F.array("content")).otherwise(F.array().cast("array<string>")))
-    lines = src.select("id", "dir", "is_license_file", F.array_distinct(units).alias("units"))
+    cue = rf"(?iu)(^|[^\p{{L}}\p{{N}}])({cue})($|[^\p{{L}}\p{{N}}])"
+    none = F.array().cast("array<string>")
+    src = src.withColumn("tag", F.nullif(F.regexp_extract("content", SPDX, 1), F.lit("")))
+    # files without an anchor word, most of them, are not cut into lines
+    src = src.withColumn("lines", F.when(F.col("content").rlike(cue), F.filter(F.split("content", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).otherwise(none))
+    src = src.withColumn("cued", F.transform("lines", lambda x: x.rlike(cue)))
+    single = F.filter("lines", lambda x, i: F.get("cued", i))
+    whole = F.when(F.col("is_license_file"), F.array("content")).otherwise(none)
+    units = F.concat(single, windows(F.col("lines"), F.col("cued"), counts, vectors, threshold), whole)
+    lines = src.select("id", "dir", "is_license_file", "tag", F.array_distinct(units).alias("units"))
     lines = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "license-lines")
     best = _best(spark, lines, templates, vectors, idf, unseen, threshold)
-    own = materialise(lines.drop("units").join(best, "row", "left"), "licenses")
+    own = lines.drop("units").join(best, "row", "left")
+    tagged = F.col("tag").isNotNull()
+    own = own.withColumns({"license": F.coalesce("tag", "license"), "score": F.when(tagged, 1.0).otherwise(F.col("score"))}).drop("tag")
+    own = materialise(own, "licenses")
     above = nearest_license(own).select("dir", F.col("license").alias("up"), "from_dir")
     above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = own.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(above, ["dir", "salt"], "left")

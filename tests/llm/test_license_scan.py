@@ -25,12 +25,27 @@ def brute(rows, threshold=0.75):
     idf = lambda w: math.log((1 + len(rows)) / (1 + (df[w] if w in vocab else 0))) + 1
     vec = lambda c: {w: n * idf(w) for w, n in c.items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    lengths = sorted({c.total() for _, c in temp})
     temp = [(name, vec(c)) for name, c in temp]
+    cues = set(ls.anchors([u for _, u in temp], threshold))
     own = []
     for _, path, t in rows:
-        units = (t or "").split("\n") + ([t or ""] if NAME.search(path or "") else [])
+        tag = re.search(ls.SPDX, t or "")
+        if tag:
+            own.append((tag[1], 1.0))
+            continue
+        lines = [w for w in map(words, (t or "").split("\n")) if w]
+        units = lines + ([words(t)] if NAME.search(path or "") else [])
+        for i, line in enumerate(lines):
+            if cues & {*line, *(lines[i + 1] if i + 1 < len(lines) else [])}:
+                ahead = []
+                for x in lines[i:]:
+                    if len(ahead) >= lengths[-1]:
+                        break
+                    ahead += x
+                units += [ahead[:n] for n in lengths]
         best = (0, None)
-        for v in map(vec, map(Counter, map(words, units))):
+        for v in map(vec, map(Counter, set(map(tuple, units)))):
             for name, u in temp:
                 c = round(sum(x * u.get(w, 0) for w, x in v.items()) / (size(u) * size(v)), 9) if v else 0
                 if c >= threshold and (-c, name) < best:
@@ -73,6 +88,23 @@ def test_files_headers_and_inheritance(spark):
     assert ls.scan(files.limit(0)).collect() == []
 
 
+def test_wrapped_headers_titles_and_tags(spark):
+    texts = {
+        "BSD-3-Clause": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:",
+        "GPL-2.0": "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version. */\nint x;",
+        "LGPL-2.1": " This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General Public\n License as published by the Free Software Foundation; either\n version 2.1 of the License, or (at your option) any later version.",
+        "GPL-3.0": "   GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright (C) of the text",
+        "Apache-2.0": "   Apache License\n   Version 2.0, January 2004\n   TERMS AND CONDITIONS",
+        "MIT": "MIT License\n\nCopyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "MIT OR Apache-2.0": "// SPDX-License-Identifier: MIT OR Apache-2.0\nx",
+        "Zlib": "/* SPDX-License-Identifier: Zlib */",
+    }
+    rows = [(i, f"d{i}/x.c", t) for i, t in enumerate(texts.values())] + [(90, "d0/y.c", "\n" * 5_000 + "version of the text\nlicense"), (91, "d/z", "gnu " * 9_000)]
+    got = ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == dict(enumerate(texts)) | {90: None, 91: None}
+    same(got, brute(rows))
+
+
 def test_no_line_without_an_anchor_can_reach_the_threshold():
     counts = ls.template_words(ls.TEMPLATES)
     vectors = [{w: float(n + len(w)) for w, n in c.items()} for c in counts]
