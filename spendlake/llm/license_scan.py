@@ -120,9 +120,12 @@ def windows(lines: Column, cued: Column, counts: list[Counter], vectors: list[di
 
     def fitting(words: Column) -> Column:
         def may(t: Column) -> Column:
-            w = F.slice(words, F.lit(1), t["n"])
-            share = F.aggregate(t["shares"], F.lit(0.0), lambda acc, e: acc + F.when(F.array_contains(w, e["w"]), e["x"]).otherwise(0.0))
-            return F.arrays_overlap(w, t["cues"]) & (share >= threshold * threshold * (1 - 1e-9))
+            def reaches(w: Column) -> Column:
+                share = F.aggregate(t["shares"], F.lit(0.0), lambda acc, e: acc + F.when(F.array_contains(w, e["w"]), e["x"]).otherwise(0.0))
+                return F.arrays_overlap(w, t["cues"]) & (share >= threshold * threshold * (1 - 1e-9))
+
+            # a list of one binds the window to a name, so that it is cut once and not at each word
+            return F.exists(F.array(F.slice(words, F.lit(1), t["n"])), reaches)
 
         return F.transform(F.filter(table, may), lambda t: F.array_join(F.slice(words, F.lit(1), t["n"]), " "))
 
@@ -131,6 +134,16 @@ def windows(lines: Column, cued: Column, counts: list[Counter], vectors: list[di
     return F.when(F.size(lines) > 0, F.array_distinct(F.flatten(F.transform(F.transform(begins, ahead), fitting)))).otherwise(F.array().cast("array<string>"))
 
 
+def alternatives(words: list[str]) -> str:
+    """A pattern of any of ``words``, in which common beginnings are tried once."""
+    if words in ([], [""]):
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    return "(?:" + "|".join(c + alternatives(rest) for c, rest in sorted(by.items(), reverse=True)) + ")"
+
+
 def nearest_license(files: DataFrame) -> DataFrame:
     """``(dir, license, from_dir)`` of every directory that has a licence file in it or above it.
 
@@ -186,12 +199,14 @@ def scan(
     idf, unseen = inverse_frequencies(src, vocabulary)
     vectors = [{w: n * idf[w] for w, n in c.items()} for c in counts]
     cue = "|".join(anchors(vectors, threshold))
-    cue = rf"(?iu)(^|[^\p{{L}}\p{{N}}])({cue})($|[^\p{{L}}\p{{N}}])"
+    cue = rf"(?:^|[^\p{{L}}\p{{N}}]){alternatives(anchors(vectors, threshold))}(?:$|[^\p{{L}}\p{{N}}])"
     none = F.array().cast("array<string>")
     src = src.withColumn("tag", F.nullif(F.regexp_extract("content", SPDX, 1), F.lit("")))
-    # files without an anchor word, most of them, are not cut into lines
-    src = src.withColumn("lines", F.when(F.col("content").rlike(cue), F.filter(F.split("content", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).otherwise(none))
-    src = src.withColumn("cued", F.transform("lines", lambda x: x.rlike(cue)))
+    src = src.withColumn("split", F.transform(F.split(F.lower("content"), "\n"), lambda x: F.struct(x.alias("x"), x.rlike(cue).alias("c"))))
+    # of files without an anchor word no line is looked at again
+    worded = F.filter("split", lambda p: p["c"] | p["x"].rlike(r"[\p{L}\p{N}]"))
+    src = src.withColumn("worded", F.when(F.exists("split", lambda p: p["c"]), worded).otherwise(F.slice("split", 1, 0)))
+    src = src.withColumn("lines", F.col("worded.x")).withColumn("cued", F.col("worded.c"))
     single = F.filter("lines", lambda x, i: F.get("cued", i))
     whole = F.when(F.col("is_license_file"), F.array("content")).otherwise(none)
     units = F.concat(single, windows(F.col("lines"), F.col("cued"), counts, vectors, threshold), whole)
