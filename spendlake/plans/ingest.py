@@ -255,6 +255,25 @@ def q_run_registry(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("task_id", "dataset_id", "status", "seq", "created_at")
 
 
+def q_run_state(spark: SparkSession, d: str) -> DataFrame:
+    """A run per segment and service with events that each set some fields (queued with the dataset,
+    hyperparameters, completed, an insight for runs of over 20 rows); state by field, and whether the run's
+    dataset is gone (the catalog has all segments but one)."""
+    lg = ledger(spark, d)
+    runs = lg.groupBy("segment", "service_name").agg(F.count(F.lit(1)).alias("n"))
+    text = lambda c: F.lit(c).cast("string")
+    rows = [(0, F.col("segment"), text("queued"), text(None), text(None)), (2, text(None), text("completed"), text(None), text(None)),
+            (1, text(None), text("running"), F.col("n").cast("string"), text(None)),
+            (3, text(None), text(None), text(None), F.when(F.col("n") > 20, F.concat(F.lit("rows "), F.col("n"))))]
+    fields = ["dataset_id", "status", "hyperparameters", "insight"]
+    made = F.array(*[F.struct(F.lit(i).alias("seq"), *[v.alias(f) for v, f in zip(r, fields, strict=True)]) for i, *r in rows])
+    events = runs.select(F.concat_ws("/", "segment", "service_name").alias("task_id"), F.explode(made).alias("e")).select("task_id", "e.*")
+    catalog = lg.where("segment <> 'MACHINERY'").select(F.col("segment").alias("dataset_id")).distinct()
+    state = SK.run_state(events, fields)
+    kept, orphans = SK.runs_with_dataset(state, catalog)
+    return kept.withColumn("orphan", F.lit(False)).unionByName(orphans.withColumn("orphan", F.lit(True)))
+
+
 def q_newest_dataset(spark: SparkSession, d: str) -> DataFrame:
     lg = ledger(spark, d)
     catalog = lg.groupBy(F.col("region").alias("dataset_id")).agg(F.max("date").alias("created_at"))
@@ -367,6 +386,12 @@ FROM events GROUP BY 1, 2""",
 , s AS (SELECT DISTINCT segment AS dataset_id, service_name FROM ledger)
 SELECT s.dataset_id || '/' || s.service_name AS task_id, s.dataset_id, 'completed' AS status, 2 AS seq, cat.created_at
 FROM s JOIN cat USING (dataset_id)"""),
+    "run_state": with_ledger("""
+, r AS (SELECT segment, service_name, COUNT(*) AS n FROM ledger GROUP BY 1, 2)
+, c AS (SELECT DISTINCT segment FROM ledger WHERE segment <> 'MACHINERY')
+SELECT segment || '/' || service_name AS task_id, segment AS dataset_id, 'completed' AS status, CAST(n AS VARCHAR) AS hyperparameters,
+       CASE WHEN n > 20 THEN 'rows ' || n END AS insight, 3 AS last_seq, segment NOT IN (SELECT segment FROM c) AS orphan
+FROM r"""),
     "newest_dataset": with_ledger("""
 SELECT region AS dataset_id, MAX(date) AS created_at FROM ledger GROUP BY 1 ORDER BY created_at DESC, dataset_id DESC LIMIT 1"""),
 }

@@ -126,6 +126,14 @@ def run_latest_state(events: DataFrame) -> DataFrame:
     return events.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
+def run_state(events: DataFrame, fields: Sequence[str], key: str = "task_id", seq: str = "seq") -> DataFrame:
+    """S11 with partial updates: per run the newest non-null value of each field, whatever order the events
+    come in; an event sets the fields it holds and leaves the others. Null if no event sets a field.
+    One combinable aggregation, so a run with very many events costs a row per partition."""
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in fields]
+    return events.groupBy(key).agg(*newest, F.max(seq).alias("last_seq"))
+
+
 def runs_with_dataset(runs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs joined to their dataset, and orphan runs whose dataset is gone (left anti)."""
     return runs.join(catalog, "dataset_id", "inner"), runs.join(catalog, "dataset_id", "left_anti")
