@@ -3,8 +3,9 @@
 Features are cut into quantile bins once. A tree grows level by level: every task adds up, for each open
 node, feature and bin, the gradients and curvatures of its rows; the sums of all tasks are one small array
 per node, from which the driver takes the best splits and the Newton values of the leaves. So a level is one
-pass over the binned rows, whatever their number, and nothing but sums leaves a task. Raw scores are written
-back every few trees; between that, a pass adds the new trees to the rows it reads.
+pass over the binned rows, whatever their number, and nothing but sums leaves a task. The working table holds
+some thousand rows as one packed row, so a pass costs no work per row outside numpy. Each tree is added to the
+rows once, in the first pass of the next one, and kept; scores are written back to cut lineage every few trees.
 
 The Tweedie loss with variance power ``p`` in (1, 2) has a log link: the score is the logarithm of the mean,
 zero amounts are allowed, and predictions are positive.
@@ -29,8 +30,6 @@ from ..session import cut_lineage
 WRITE_EVERY = 25
 #: Tasks whose sums the driver adds up itself; those of more tasks are summed by node in Spark first.
 DIRECT_TASKS = 32
-#: Rows of a task's slice.
-SLICE_ROWS = 1 << 14
 #: Binned rows of a partition of the working table, about.
 PARTITION_ROWS = 1 << 18
 #: Up to so many rows lie in one partition, and its task grows all trees from its own sums, without a pass each.
@@ -184,12 +183,17 @@ def fit(
     if parts == 1:
         model.trees = _fit_here(state, draws, width, loss, power, depth, rate, l2, min_weight, row_share)
         return model
-    written = 0
+    state = state.persist()
     for k, (allowed, draw) in enumerate(draws):
-        if k - written >= WRITE_EVERY:
-            state, written = _write_back(state, model, written), k
-        sums = lambda tree, nodes: _histograms(state, model, tree, written, parts, width, loss, power, row_share, draw, nodes)  # noqa: B023, E731
+        before = None
+        if k:  # filled by the first level's pass, read by the others
+            before, state = state, _add_tree(state, len(features), model.trees[-1])
+            state = (cut_lineage(state) if k % WRITE_EVERY == 0 else state).persist()
+        sums = lambda tree, nodes: _histograms(state, len(features), tree, parts, width, loss, power, row_share, draw, nodes)  # noqa: B023, E731
         model.trees.append(_grow(sums, depth, rate, l2, min_weight, allowed))
+        if before is not None:
+            before.unpersist()
+    state.unpersist()
     return model
 
 
@@ -204,7 +208,7 @@ def _fit_here(state: DataFrame, draws: list, width: int, loss: str, power: float
     n_features = len(draws[0][0]) if draws else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_matrix(b, n_features), *(b.column(c).to_numpy() for c in ("rid", "y", "raw"))) for b in batches if b.num_rows]
+        parts = list(_unpacked(batches, n_features))
         if not parts:
             return
         bins, rid, y, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -254,43 +258,45 @@ def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, nodes: Seq
     return np.stack(parts, -1).reshape(len(nodes), n, width, 3).astype(float)
 
 
+#: Of a packed row: so many rows' numbers, labels, bins (row by row) and raw scores.
+PACKED = "rid binary, y binary, bins binary, raw binary"
+
+
+def _packed(rid: np.ndarray, y: np.ndarray, bins: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    cells = [np.ascontiguousarray(a, t).tobytes() for a, t in ((rid, "<i8"), (y, "<f8"), (bins, np.uint8), (raw, "<f8"))]
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["rid", "y", "bins", "raw"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(bins, rid, y, raw)`` of each packed row; the arrays are not to be written to."""
+    for b in batches:
+        for rid, y, bins, raw in zip(*(b.column(c) for c in ("rid", "y", "bins", "raw")), strict=True):
+            at = lambda x, t: np.frombuffer(x.as_buffer(), t)
+            yield at(bins, np.uint8).reshape(-1, n_features), at(rid, "<i8"), at(y, "<f8"), at(raw, "<f8")
+
+
 def _binned(src: DataFrame, model: Model, parts: int) -> DataFrame:
-    """The working table ``(rid, y, bins binary, raw)``, written once."""
+    """The working table of ``PACKED`` rows, written once."""
     shared = src.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = np.column_stack([b.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(m.features))]) if b.num_rows else np.zeros((0, len(m.features)))
-            cut = m.bins(x.astype(float))
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(cut.shape[1]), len(cut), [None, pa.py_buffer(np.ascontiguousarray(cut).tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("y"), raw.cast(pa.binary()), pa.array(np.full(len(cut), m.base))], names=["rid", "y", "bins", "raw"])
+            if b.num_rows:
+                x = np.column_stack([b.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(m.features))])
+                yield _packed(b.column("rid").to_numpy(), b.column("y").to_numpy(), m.bins(x.astype(float)), np.full(b.num_rows, m.base))
 
     # the row number only spreads rows and draws them; it is stored, so it does not change between passes
     numbered = src.withColumn("rid", F.xxhash64(F.monotonically_increasing_id()))
-    return cut_lineage(numbered.repartition(parts).mapInArrow(run, "rid long, y double, bins binary, raw double"))
-
-
-def _matrix(b: pa.RecordBatch, n_features: int) -> np.ndarray:
-    col = b.column("bins").cast(pa.binary())
-    ends = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
-    return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, n_features)
+    return cut_lineage(numbered.repartition(parts).mapInArrow(run, PACKED))
 
 
-def _write_back(state: DataFrame, model: Model, written: int) -> DataFrame:
-    shared = state.sparkSession.sparkContext.broadcast((model.trees[written:], len(model.features)))
-
+def _add_tree(state: DataFrame, n_features: int, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, n = shared.value
-        for b in batches:
-            raw = b.column("raw").to_numpy().copy()
-            if len(raw):
-                bins = _matrix(b, n)
-                for t in new:
-                    raw += t.predict(bins)
-            yield b.set_column(3, "raw", pa.array(raw))
+        for bins, rid, y, raw in _unpacked(batches, n_features):
+            yield _packed(rid, y, bins, raw + tree.predict(bins))
 
-    return cut_lineage(state.mapInArrow(run, state.schema))
+    return state.mapInArrow(run, PACKED)
 
 
 def _grow(sums, depth: int, rate: float, l2: float, min_weight: float, allowed: np.ndarray) -> Tree:
@@ -317,25 +323,18 @@ def _grow(sums, depth: int, rate: float, l2: float, min_weight: float, allowed:
     return tree
 
 
-def _histograms(state, model, tree, written, parts, width, loss, power, row_share, draw, open_nodes) -> np.ndarray:
+def _histograms(state, n_features, tree, parts, width, loss, power, row_share, draw, open_nodes) -> np.ndarray:
     """Sums ``(open nodes, features, bins, 3)`` over all rows that the tree's draw takes."""
-    n_features = len(model.features)
-    shared = state.sparkSession.sparkContext.broadcast((model.trees[written:], tree, np.array(open_nodes)))
     shape = (len(open_nodes), n_features, width, 3)
+    nodes = np.array(open_nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, tree, nodes = shared.value
-        total = np.zeros((len(nodes), n_features, width, 3))
-        for whole in batches:
-            for i in range(0, whole.num_rows, SLICE_ROWS):
-                b = whole.slice(i, SLICE_ROWS)
-                bins, y, raw = _matrix(b, n_features), b.column("y").to_numpy(), b.column("raw").to_numpy().copy()
-                if row_share < 1:
-                    use = _drawn(b.column("rid").to_numpy(), draw, row_share)
-                    bins, y, raw = bins[use], y[use], raw[use]
-                for t in new:
-                    raw += t.predict(bins)
-                total += _sums(bins, *gradients(loss, power, y, raw), tree, nodes, width)
+        total = np.zeros(shape)
+        for bins, rid, y, raw in _unpacked(batches, n_features):
+            if row_share < 1:
+                use = _drawn(rid, draw, row_share)
+                bins, y, raw = bins[use], y[use], raw[use]
+            total += _sums(bins, *gradients(loss, power, y, raw), tree, nodes, width)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array([_vector(v) for v in total], pa.binary())], names=["node", "vec"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
