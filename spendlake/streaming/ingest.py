@@ -168,12 +168,9 @@ def ledger_ingest_stream(spark: SparkSession, landing_dir: str, schema, sink: st
     table = LedgerTable(spark, sink)
 
     def take(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if not batch.isEmpty():
-                LedgerTable(batch.sparkSession, sink).append(batch, epoch_id)
-        finally:
-            batch.unpersist()
+        # not kept: a pass reads its columns from the files again, and a batch of wide rows would fill the executors
+        if not batch.isEmpty():
+            LedgerTable(batch.sparkSession, sink).append(batch, epoch_id)
 
     q = (
         rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)

@@ -17,17 +17,20 @@ from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 from ..functions.sizing import bounded_broadcast
+from ..session import cut_lineage
 from ..sources.tables import MONEY, RAW_MONEY
 
 LEDGER_KEYS = ("date", "service_name", "account_name")
 #: A month is compacted once its deltas hold so many bytes, or lie in so many folders.
 COMPACT_BYTES = 256 << 20
 COMPACT_DELTAS = 16
+#: A row's place in its file takes so many bits.
+ROW_BITS = 40
 
 
 def take_in(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +54,21 @@ def take_in(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFr
 
 
 def by_sync(rows: DataFrame, position: str, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
-    """One row per key and sync: summed spend, the first value of the other columns, the first position."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(c)
-    return rows.groupBy(*keys, "sync_id").agg(
-        F.min(position).alias("at"), F.sum(F.col("spend").cast(RAW_MONEY)).cast(RAW_MONEY).alias("spend"), first("bu_code"), first("segment")
-    )
+    """One row per key and sync: summed spend, the first value of the other columns, the first position.
+
+    Rows are shuffled and sorted with a number in place of their file's time and path, which packs well on the
+    wire but not in a task's memory; the result has them again.
+    """
+    named = rows.withColumns({"__time": F.col(f"{position}.file_modification_time"), "__path": F.col(f"{position}.file_path"), "__row": F.col(f"{position}.row_index")})
+    numbers = F.row_number().over(Window.orderBy("__time", "__path")).cast("long")  # one row per file
+    files = cut_lineage(named.select("__time", "__path").distinct().withColumn("__no", numbers))
+    narrow = null_safe_join(named.drop(position), bounded_broadcast(files), ["__time", "__path"]).drop("__time", "__path")
+    narrow = narrow.withColumn("__at", F.shiftleft("__no", ROW_BITS) + F.col("__row")).drop("__no", "__row")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c)
+    one = narrow.groupBy(*keys, "sync_id").agg(F.min("__at").alias("__at"), F.sum(F.col("spend").cast(RAW_MONEY)).cast(RAW_MONEY).alias("spend"), first("bu_code"), first("segment"))
+    back = one.withColumn("__no", F.shiftright("__at", ROW_BITS)).join(bounded_broadcast(files), "__no")
+    at = F.struct(F.col("__time").alias("file_modification_time"), F.col("__path").alias("file_path"), F.col("__at").bitwiseAND((1 << ROW_BITS) - 1).alias("row_index"))
+    return back.select(*keys, "sync_id", at.alias("at"), "spend", "bu_code", "segment")
 
 
 def _age() -> Column:
@@ -73,9 +86,9 @@ def ends(rows: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
 def resolve(rows: DataFrame, keys: Sequence[str] = LEDGER_KEYS) -> DataFrame:
     """J2 over stored rows: each key's spend of its latest sync, other columns of its first one.
 
-    Two grouped aggregates on one partitioning by key.
+    Two grouped aggregates; the second goes over one row per key and sync.
     """
-    one = by_sync(rows.repartition(*keys), "at", keys)
+    one = by_sync(rows, "at", keys)
     firsts = F.min_by(F.struct("bu_code", "segment"), _age()).alias("f")
     out = one.groupBy(*keys).agg(F.max_by("spend", _age()).cast(MONEY).alias("spend"), firsts)
     return out.select(*keys, "spend", "f.bu_code", "f.segment")
