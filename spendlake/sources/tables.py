@@ -8,7 +8,9 @@ usage_family = return flag.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
@@ -31,9 +33,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def line_facts(spark: SparkSession, sf_dir: str, fact_cols=("l_extendedprice", "l_discount", "l_shipdate", "l_returnflag")) -> DataFrame:
-    """Line items joined to their order's customer (with nation / region) and part; the join
-    strategy of ``derive_ledger``."""
+def line_facts(spark: SparkSession, sf_dir: str, fact_cols: Sequence[str | Column]) -> DataFrame:
+    """``fact_cols`` of the line items, joined to their order's customer (with nation / region) and part; the
+    join strategy of ``derive_ledger``."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *fact_cols)
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -43,11 +45,12 @@ def line_facts(spark: SparkSession, sf_dir: str, fact_cols=("l_extendedprice", "
 
     geo = nation.join(bounded_broadcast(region, 1000), nation.n_regionkey == region.r_regionkey)
     cust = customer.join(bounded_broadcast(geo, 100_000), customer.c_nationkey == geo.n_nationkey)
-    ord_c = orders.join(cust.hint("merge"), orders.o_custkey == cust.c_custkey)
+    ord_c = orders.join(cust.hint("shuffle_hash"), orders.o_custkey == cust.c_custkey)
     part_side = bounded_broadcast(part, 200_000)
     if part_side is part:
-        part_side = part.hint("merge")
-    return li.join(ord_c.hint("merge"), li.l_orderkey == ord_c.o_orderkey).join(part_side, li.l_partkey == part.p_partkey)
+        part_side = part.hint("shuffle_hash")
+    # part first: where both joins shuffle the line items, the customer's columns move only once, with the orders
+    return li.join(part_side, li.l_partkey == part.p_partkey).join(ord_c.hint("shuffle_hash"), li.l_orderkey == ord_c.o_orderkey)
 
 
 def derive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +63,17 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     * the fact joins keep the line items on the streamed side: orders+customer is built into a
       shuffled hash table (``shuffle_hash`` hint), so the fact is never broadcast or collected;
     * part is broadcast only when a row-count proof bounds it, otherwise it is also a shuffled
-      hash build.
-    The fact is projected to the six columns it needs before any join (``ReadSchema`` shows
-    only those).
+      hash build, joined before the orders so that only narrow rows are shuffled twice.
+    No join sorts, so none spills a sort. The fact is projected to its keys and the three columns
+    the ledger takes from it before any join (``ReadSchema`` shows only what they read).
     """
-    facts = line_facts(spark, sf_dir)
     price = F.col("l_extendedprice").cast("decimal(14,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
+    spend = (price * (F.lit(1) - disc)).cast("decimal(14,2)").alias("spend")
+    facts = line_facts(spark, sf_dir, [F.col("l_shipdate").cast("date").alias("date"), spend, "l_returnflag"])
     return facts.select(
-        F.col("l_shipdate").cast("date").alias("date"),
-        (price * (F.lit(1) - disc)).cast("decimal(14,2)").alias("spend"),
+        "date",
+        "spend",
         F.col("c_name").alias("account_name"),
         F.col("p_type").alias("service_name"),
         F.col("c_nationkey").alias("bu_code"),
