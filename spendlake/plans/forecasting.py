@@ -60,7 +60,7 @@ def q_month_year_regressor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _legacy_frame(spark: SparkSession, d: str) -> DataFrame:
-    return legacy.monthly_groups(ledger(spark, d), LEGACY_GROUPS)
+    return cut_lineage(legacy.monthly_groups(ledger(spark, d), LEGACY_GROUPS))  # fits pass over it some dozens of times
 
 
 def q_tweedie_glm(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def q_tweedie_boosting(spark: SparkSession, d: str) -> DataFrame:
     the first 80 % of the months. Per later month the rows, and whether all predictions are above 0 and their sum
     is between half and twice the spend."""
     cats = [*LEGACY_GROUPS, "account_name"]
-    frame = legacy.monthly_groups(ledger(spark, d).where("spend >= 0"), cats)
+    frame = cut_lineage(legacy.monthly_groups(ledger(spark, d).where("spend >= 0"), cats))
     train, _ = legacy.split_by_month(frame)
     last = train.agg(F.max("month")).first()[0]
     frame = frame.withColumn("__train", F.col("month") <= F.lit(last))
