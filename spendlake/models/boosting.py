@@ -3,9 +3,11 @@
 Features are cut into quantile bins once. A tree grows level by level: every task adds up, for each open
 node, feature and bin, the gradients and curvatures of its rows; the sums of all tasks are one small array
 per node, from which the driver takes the best splits and the Newton values of the leaves. So a level is one
-pass over the binned rows, whatever their number, and nothing but sums leaves a task. The working table holds
-some thousand rows as one packed row, so a pass costs no work per row outside numpy. Each tree is added to the
-rows once, in the first pass of the next one, and kept; scores are written back to cut lineage every few trees.
+pass over the binned rows, whatever their number, and nothing but sums leaves a task. Of two children only the
+one with fewer rows is summed; the other's sums are what it leaves of their parent's. The working table holds
+some thousand rows as one packed row, feature by feature, so a pass costs no work per row outside numpy; packed
+rows are an RDD of bytes, which reach a task without being turned into columns and back. Each tree is added to
+the rows once, in the first pass of the next one, and kept; scores are written back to cut lineage every few trees.
 
 The Tweedie loss with variance power ``p`` in (1, 2) has a log link: the score is the logarithm of the mean,
 zero amounts are allowed, and predictions are positive.
@@ -19,19 +21,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import null_safe_join
-from ..session import cut_lineage
+from ..functions.sizing import bounded_broadcast
+from ..session import cut_lineage, written
 
 #: Trees after which the rows' scores are written back.
 WRITE_EVERY = 25
 #: Tasks whose sums the driver adds up itself; those of more tasks are summed by node in Spark first.
 DIRECT_TASKS = 32
-#: Binned rows of a partition of the working table, about.
-PARTITION_ROWS = 1 << 18
+#: Binned rows of a partition of the working table, about; a task holds some blocks of them at a time.
+PARTITION_ROWS = 1 << 23
+#: Fewer rows than this are not split further to give every core a task.
+SPREAD_ROWS = 1 << 15
+#: Binned rows of a packed row, about.
+BLOCK_ROWS = 1 << 15
+#: Rows whose sums a task takes at once, and cells of sums up to which it takes those of two features together.
+SUM_ROWS = 1 << 19
+PAIR_CELLS = 1 << 17
 #: Up to so many rows lie in one partition, and its task grows all trees from its own sums, without a pass each.
 ONE_TASK_ROWS = 1 << 16
 
@@ -129,10 +140,6 @@ def best_splits(hist: np.ndarray, l2: float, min_weight: float, allowed: np.ndar
     return feature, b, left[rows, f, b], right[rows, f, b]
 
 
-def _vector(m: np.ndarray) -> bytes:
-    return np.ascontiguousarray(m, "<f8").tobytes()
-
-
 def fit(
     rows: DataFrame,
     features: Sequence[str],
@@ -172,7 +179,7 @@ def fit(
     cuts = src.approxQuantile([f"f{i}" for i in range(len(features))], probs, 1 / (20 * bins))
     edges = [np.unique(np.array(c, float)) for c in cuts]
     model = Model(features, edges, float(np.log(stats["m"]) if loss == "tweedie" else stats["m"]), loss)
-    parts = 1 if stats["n"] <= ONE_TASK_ROWS else max(2, -(-stats["n"] // PARTITION_ROWS))
+    parts = 1 if stats["n"] <= ONE_TASK_ROWS else _partitions(stats["n"], rows.sparkSession.sparkContext.defaultParallelism)
     width = max(len(e) for e in edges) + 2
     state = _binned(src, model, parts)
     rng, draws = np.random.default_rng(seed), []
@@ -183,20 +190,31 @@ def fit(
     if parts == 1:
         model.trees = _fit_here(state, draws, width, loss, power, depth, rate, l2, min_weight, row_share)
         return model
-    state = state.persist()
+    blocks = state.rdd
     for k, (allowed, draw) in enumerate(draws):
-        before = None
+        before = blocks
         if k:  # filled by the first level's pass, read by the others
-            before, state = state, _add_tree(state, len(features), model.trees[-1])
-            state = (cut_lineage(state) if k % WRITE_EVERY == 0 else state).persist()
-        sums = lambda tree, nodes: _histograms(state, len(features), tree, parts, width, loss, power, row_share, draw, nodes)  # noqa: B023, E731
-        model.trees.append(_grow(sums, depth, rate, l2, min_weight, allowed))
-        if before is not None:
+            blocks = _add_tree(blocks, len(features), model.trees[-1])
+            if k % WRITE_EVERY == 0:
+                blocks.checkpoint()
+        else:
+            blocks = blocks.map(_block)
+        blocks.persist(KEEP)
+        gradient = _Drawn(loss, power, row_share, draw)
+        model.trees.append(_grow(_Levels(blocks, gradient, allowed, parts, width), depth, rate, l2, min_weight, allowed))
+        if k:
             before.unpersist()
-    state.unpersist()
+    if draws:
+        blocks.unpersist()
     return model
 
 
+def _partitions(rows: int, cores: int) -> int:
+    """Partitions of PARTITION_ROWS at most, about; as many as give each of the cores the same number of them."""
+    parts = max(2, -(-rows // PARTITION_ROWS))
+    return max(parts, min(cores, rows // SPREAD_ROWS)) if parts < cores else -(-parts // cores) * cores
+
+
 def _drawn(rid: np.ndarray, draw: int, row_share: float) -> np.ndarray:
     """Whether a tree's draw takes each row."""
     h = (rid.view(np.uint64) ^ np.uint64(draw)) * np.uint64(0x9E3779B97F4A7C15)
@@ -208,10 +226,11 @@ def _fit_here(state: DataFrame, draws: list, width: int, loss: str, power: float
     n_features = len(draws[0][0]) if draws else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(_unpacked(batches, n_features))
+        rows = (dict(zip(KINDS, (x.as_buffer() for x in cells), strict=True)) for b in batches for cells in zip(*(b.column(c) for c in KINDS), strict=True))
+        parts = [(bins.T, rid, y, raw) for bins, rid, y, raw in (_arrays(r, n_features) for r in rows)]
         if not parts:
             return
-        bins, rid, y, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bins, rid, y, raw = (np.ascontiguousarray(np.concatenate(x)) for x in zip(*parts, strict=True))
         for allowed, draw in draws:
             use = _drawn(rid, draw, row_share) if row_share < 1 else slice(None)
             g, h = gradients(loss, power, y[use], raw[use])
@@ -258,45 +277,100 @@ def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, nodes: Seq
     return np.stack(parts, -1).reshape(len(nodes), n, width, 3).astype(float)
 
 
-#: Of a packed row: so many rows' numbers, labels, bins (row by row) and raw scores.
+#: Of a packed row: so many rows' numbers, labels, bins (feature by feature) and raw scores.
 PACKED = "rid binary, y binary, bins binary, raw binary"
+KINDS = {"rid": "<i8", "y": "<f8", "bins": "u1", "raw": "<f8"}
+#: Blocks are bytes already, so they are kept as they are.
+KEEP = StorageLevel(True, True, False, True)
+
 
+def _packed(**columns: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array([np.ascontiguousarray(a, KINDS[c]).tobytes()], pa.binary()) for c, a in columns.items()]
+    return pa.RecordBatch.from_arrays(cells, names=list(columns))
 
-def _packed(rid: np.ndarray, y: np.ndarray, bins: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-    cells = [np.ascontiguousarray(a, t).tobytes() for a, t in ((rid, "<i8"), (y, "<f8"), (bins, np.uint8), (raw, "<f8"))]
-    return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["rid", "y", "bins", "raw"])
 
+def _block(row: Row | dict) -> dict[str, bytes]:
+    return {c: bytes(row[c]) for c in KINDS}
 
-def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(bins, rid, y, raw)`` of each packed row; the arrays are not to be written to."""
-    for b in batches:
-        for rid, y, bins, raw in zip(*(b.column(c) for c in ("rid", "y", "bins", "raw")), strict=True):
-            at = lambda x, t: np.frombuffer(x.as_buffer(), t)
-            yield at(bins, np.uint8).reshape(-1, n_features), at(rid, "<i8"), at(y, "<f8"), at(raw, "<f8")
+
+def _arrays(block: Row | dict, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(bins, rid, y, raw)`` of a packed row, bins as (features, rows); the arrays are not to be written to."""
+    bins, rid, y, raw = (np.frombuffer(block[c], KINDS[c]) for c in ("bins", "rid", "y", "raw"))
+    return bins.reshape(n_features, -1), rid, y, raw
 
 
 def _binned(src: DataFrame, model: Model, parts: int) -> DataFrame:
     """The working table of ``PACKED`` rows, written once."""
     shared = src.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         m = shared.value
+        of = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches])
+        x = np.column_stack([of(f"f{i}") for i in range(len(m.features))])
+        return _packed(rid=of("rid"), y=of("y"), bins=m.bins(x.astype(float)).T, raw=np.full(len(x), m.base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[pa.RecordBatch] = []
         for b in batches:
-            if b.num_rows:
-                x = np.column_stack([b.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(m.features))])
-                yield _packed(b.column("rid").to_numpy(), b.column("y").to_numpy(), m.bins(x.astype(float)), np.full(b.num_rows, m.base))
+            block += [b] if b.num_rows else []
+            if sum(x.num_rows for x in block) >= BLOCK_ROWS:
+                yield pack(block)
+                block = []
+        if block:
+            yield pack(block)
 
     # the row number only spreads rows and draws them; it is stored, so it does not change between passes
     numbered = src.withColumn("rid", F.xxhash64(F.monotonically_increasing_id()))
-    return cut_lineage(numbered.repartition(parts).mapInArrow(run, PACKED))
+    if parts == 1:
+        return cut_lineage(numbered.repartition(1).mapInArrow(run, PACKED))
+    return cut_lineage(numbered.mapInArrow(run, PACKED).repartition(parts))  # blocks of bytes move, not rows
 
 
-def _add_tree(state: DataFrame, n_features: int, tree: Tree) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, rid, y, raw in _unpacked(batches, n_features):
-            yield _packed(rid, y, bins, raw + tree.predict(bins))
+@dataclass
+class _Drawn:
+    """The rows that a tree's draw takes, and their gradients and curvatures."""
+
+    loss: str
+    power: float
+    row_share: float
+    draw: int
 
-    return state.mapInArrow(run, PACKED)
+    def of(self, rid: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        return mine & _drawn(rid, self.draw, self.row_share) if self.row_share < 1 else mine
+
+    def __call__(self, y: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gradients(self.loss, self.power, y, raw)
+
+
+def _add_tree(state: DataFrame | RDD, n_features: int, tree: Tree) -> RDD:
+    """The blocks of ``state`` with the tree added to the raw scores."""
+
+    def add(block: Row | dict) -> dict[str, bytes]:
+        bins, _, _, raw = _arrays(block, n_features)
+        return {**_block(block), "raw": (raw + tree.value.take(_walk(tree, bins))).tobytes()}
+
+    return (state.rdd if isinstance(state, DataFrame) else state).map(add)
+
+
+def _walk(tree: Tree, bins: np.ndarray) -> np.ndarray:
+    """``tree.node_of`` for bins as (features, rows). Few nodes are tried one by one on whole columns of bytes."""
+    size = len(tree.feature)
+    kind = np.dtype(np.uint8 if size < 256 else np.int16)
+    at = np.zeros(bins.shape[1], kind)
+    for level in range(int(np.log2(size + 1)) - 1):
+        first = 2**level - 1
+        nodes = first + np.flatnonzero(tree.feature[first : 2 * first + 1] >= 0)
+        if not len(nodes):
+            break
+        if len(nodes) > 64:
+            f = tree.feature[at]
+            right = bins[np.maximum(f, 0), np.arange(len(at))] > tree.bin[at]
+            at = np.where(f >= 0, 2 * at.astype(np.int64) + 1 + right, at).astype(kind)
+            continue
+        for i in nodes.tolist():  # the children's numbers are above those of the level
+            right = (bins[tree.feature[i]] > int(tree.bin[i])).astype(kind)
+            at += (at == i) * (right + kind.type(i + 1))
+    return at
 
 
 def _grow(sums, depth: int, rate: float, l2: float, min_weight: float, allowed: np.ndarray) -> Tree:
@@ -323,34 +397,90 @@ def _grow(sums, depth: int, rate: float, l2: float, min_weight: float, allowed:
     return tree
 
 
-def _histograms(state, n_features, tree, parts, width, loss, power, row_share, draw, open_nodes) -> np.ndarray:
-    """Sums ``(open nodes, features, bins, 3)`` over all rows that the tree's draw takes."""
-    shape = (len(open_nodes), n_features, width, 3)
-    nodes = np.array(open_nodes)
+@dataclass
+class _Levels:
+    """The sums that ``_grow`` asks for level by level, each level from a pass over the blocks."""
+
+    blocks: RDD
+    gradient: _Drawn
+    allowed: np.ndarray
+    parts: int
+    width: int
+    last: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def __call__(self, tree: Tree, nodes: Sequence[int]) -> np.ndarray:
+        if nodes == [0]:
+            found = dict(zip(nodes, self._pass(tree, nodes), strict=True))
+        else:
+            few = []
+            for parent in sorted({(i - 1) // 2 for i in nodes}):
+                rows = self.last[parent][tree.feature[parent], :, 2]
+                few.append(2 * parent + 1 + int(2 * rows[: tree.bin[parent] + 1].sum() > rows.sum()))
+            found = dict(zip(few, self._pass(tree, few), strict=True))
+            for i in few:
+                rest = self.last[(i - 1) // 2] - found[i]
+                rest[rest[..., 2] == 0] = 0  # no rows: no digits left over
+                found[i - 1 if i % 2 == 0 else i + 1] = rest
+        self.last = found
+        return np.stack([found[i] for i in nodes])
+
+    def _pass(self, tree: Tree, nodes: Sequence[int]) -> np.ndarray:
+        sums = _histograms(self.blocks, self.gradient, self.allowed, tree, self.parts, self.width, nodes)
+        out = np.zeros((len(nodes), len(self.allowed), self.width, 3))
+        out[:, self.allowed] = sums
+        out[:, ~self.allowed, 0] = sums[:, :1].sum(2)  # so that each feature has the node's totals
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _cells(bins: Sequence[np.ndarray], slot: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int, width: int) -> np.ndarray:
+    """Sums ``(nodes, features, bins, 3)`` over rows with the node number ``slot``, from a column of bins per feature."""
+    out = np.zeros((nodes, len(bins), width, 3))
+    step = 2 if nodes * width * width <= PAIR_CELLS else 1
+    for j in range(0, len(bins), step):
+        cols = bins[j : j + step]
+        cell, size = cols[0].astype(np.intp), width
+        if len(cols) == 2:  # both features' sums are margins of their common ones
+            cell, size = cell * width + cols[1], width * width
+        if nodes > 1:
+            cell += slot * np.intp(size)
+        for k, weight in enumerate((g, h, None)):
+            common = np.bincount(cell, weight, nodes * size).reshape(nodes, -1, width)
+            if len(cols) == 2:
+                out[:, j, :, k], out[:, j + 1, :, k] = common.sum(2), common.sum(1)
+            else:
+                out[:, j, :, k] = common[:, 0]
+    return out
+
+
+def _histograms(blocks: RDD, gradient: _Drawn, allowed: np.ndarray, tree: Tree, parts: int, width: int, open_nodes: Sequence[int]) -> np.ndarray:
+    """Sums ``(open nodes, allowed features, bins, 3)`` over all rows that the tree's draw takes."""
+    columns, n_features = np.flatnonzero(allowed), len(allowed)
+    shape = (len(open_nodes), len(columns), width, 3)
+    place = np.full(len(tree.feature), -1, np.int16)
+    place[open_nodes] = np.arange(len(open_nodes))
+
+    def run(rows: Iterator[dict]) -> Iterator[np.ndarray]:
         total = np.zeros(shape)
-        for bins, rid, y, raw in _unpacked(batches, n_features):
-            if row_share < 1:
-                use = _drawn(rid, draw, row_share)
-                bins, y, raw = bins[use], y[use], raw[use]
-            total += _sums(bins, *gradients(loss, power, y, raw), tree, nodes, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array([_vector(v) for v in total], pa.binary())], names=["node", "vec"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for b in batches:
-            for x in b.column("vec"):
-                total = total + np.frombuffer(x.as_buffer(), "<f8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_vector(total)], pa.binary())], names=["node", "vec"])
+        held: list[tuple] = []
+
+        def add() -> None:
+            cut, slot, g, h = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            total[:] += _cells(cut, slot, g, h, *shape[::2])
+            held.clear()
+
+        for block in rows:
+            bins, rid, y, raw = _arrays(block, n_features)
+            slot = place.take(_walk(tree, bins))
+            at = np.flatnonzero(gradient.of(rid, slot >= 0))
+            held.append((np.stack([bins[j].take(at) for j in columns]), slot.take(at), *gradient(y.take(at), raw.take(at))))
+            if sum(len(x[1]) for x in held) >= SUM_ROWS:
+                add()
+        if held:
+            add()
+        yield total
 
-    sums = state.mapInArrow(run, "node int, vec binary")
-    if parts > DIRECT_TASKS:
-        sums = sums.groupBy("node").applyInArrow(add, "node int, vec binary")
-    out = np.zeros((len(open_nodes), int(np.prod(shape[1:]))))
-    for r in sums.collect():
-        out[r["node"]] += np.frombuffer(r["vec"], "<f8")
-    return out.reshape(shape)
+    sums = blocks.mapPartitions(run)
+    return sums.treeReduce(np.add) if parts > DIRECT_TASKS else sum(sums.collect())
 
 
 def predict(rows: DataFrame, model: Model, out_col: str = "prediction") -> DataFrame:
@@ -377,21 +507,18 @@ def target_statistics(rows: DataFrame, columns: Sequence[str], label: str, order
     drawn towards that of all earlier rows, which counts as ``prior`` rows; where nothing is earlier it is
     null. With ``train`` (a boolean column), only rows where it is true are counted. Levels and periods are
     summed first, so the running sums go over one row per level and period, however many rows a level has;
-    any number of levels will do. Null levels are a level of their own.
+    any number of levels will do. Null levels are a level of their own. A column's sums are written once; they
+    are broadcast where a count proves them small, so that only columns of many levels move the rows.
     """
-    counted = rows if train is None else rows.where(F.col(train))
-    y = F.col(label).cast("double")
+    y = F.col(label).cast("double") if train is None else F.when(F.col(train), F.col(label).cast("double"))
     running = lambda c, w: F.sum(c).over(w)
-    every = rows.select(F.col(order).alias("__o")).distinct()
-    per = counted.groupBy(F.col(order).alias("__o")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    sums = lambda *keys: rows.groupBy(*keys).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
     before = Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)  # one row a period
-    overall = null_safe_join(every, per, ["__o"], "left").select("__o", (running("s", before) / running("n", before)).alias("__mean"))
-    out = null_safe_join(rows.withColumn("__o", F.col(order)), overall, ["__o"], "left")
+    overall = sums(F.col(order).alias("__o")).select("__o", (running("s", before) / F.nullif(running("n", before), F.lit(0))).alias("__mean"))
+    out = null_safe_join(rows.withColumn("__o", F.col(order)), bounded_broadcast(written(overall, "period-means")), ["__o"], "left")
     for c in columns:
-        seen = rows.select(F.col(c).alias("__c"), F.col(order).alias("__o")).distinct()
-        sums = counted.groupBy(F.col(c).alias("__c"), F.col(order).alias("__o")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
         w = Window.partitionBy("__c").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
-        level = null_safe_join(seen, sums, ["__c", "__o"], "left").select("__c", "__o", F.coalesce(running("s", w), F.lit(0.0)).alias("__s"), F.coalesce(running("n", w), F.lit(0)).alias("__n"))
-        out = null_safe_join(out.withColumn("__c", F.col(c)), level, ["__c", "__o"], "left")
+        level = sums(F.col(c).alias("__c"), F.col(order).alias("__o")).select("__c", "__o", F.coalesce(running("s", w), F.lit(0.0)).alias("__s"), F.coalesce(running("n", w), F.lit(0)).alias("__n"))
+        out = null_safe_join(out.withColumn("__c", F.col(c)), bounded_broadcast(written(level, "level-sums")), ["__c", "__o"], "left")
         out = out.withColumn(c + suffix, (F.col("__s") + prior * F.col("__mean")) / (F.col("__n") + prior)).drop("__c", "__s", "__n")
     return out.drop("__o", "__mean")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..models import boosting, decompose, legacy, linear, trees, tuning
 from ..operators import calendar, features as FT, metrics as MX
-from ..session import cut_lineage, shared_path
+from ..session import cut_lineage, shared_path, written
 from ..sources.tables import ledger
 from . import series as SE
 from .sqltext import ols_fitted_sql, ols_sql, with_ledger
@@ -72,11 +72,11 @@ def q_tweedie_boosting(spark: SparkSession, d: str) -> DataFrame:
     the first 80 % of the months. Per later month the rows, and whether all predictions are above 0 and their sum
     is between half and twice the spend."""
     cats = [*LEGACY_GROUPS, "account_name"]
-    frame = cut_lineage(legacy.monthly_groups(ledger(spark, d).where("spend >= 0"), cats))
+    frame = written(legacy.monthly_groups(ledger(spark, d).where("spend >= 0"), cats), "monthly-groups")
     train, _ = legacy.split_by_month(frame)
     last = train.agg(F.max("month")).first()[0]
     frame = frame.withColumn("__train", F.col("month") <= F.lit(last))
-    rows = cut_lineage(boosting.target_statistics(frame, cats, "spend", "month", 5.0, train="__train"))
+    rows = written(boosting.target_statistics(frame, cats, "spend", "month", 5.0, train="__train"), "boosting-rows")
     features = ["year", "month_num", *legacy.LAG_COLS, *legacy.ROLL, *[f"{c}__ts" for c in cats]]
     model = boosting.fit(rows.where("__train"), features, "spend", trees=100, depth=6, rate=0.1, min_weight=20.0, row_share=0.8, column_share=0.8)
     scored = boosting.predict(rows.where(~F.col("__train")), model)
