@@ -40,8 +40,8 @@ PARTITION_ROWS = 1 << 23
 SPREAD_ROWS = 1 << 15
 #: Binned rows of a packed row, about.
 BLOCK_ROWS = 1 << 15
-#: Rows whose sums a task takes at once, and cells of sums up to which it takes those of two features together.
-SUM_ROWS = 1 << 19
+#: Rows whose sums a task takes at once (more where the sums are large), and cells up to which it takes two features together.
+SUM_ROWS = 1 << 16
 PAIR_CELLS = 1 << 17
 #: Up to so many rows lie in one partition, and its task grows all trees from its own sums, without a pass each.
 ONE_TASK_ROWS = 1 << 16
@@ -456,6 +456,7 @@ def _histograms(blocks: RDD, gradient: _Drawn, allowed: np.ndarray, tree: Tree,
     """Sums ``(open nodes, allowed features, bins, 3)`` over all rows that the tree's draw takes."""
     columns, n_features = np.flatnonzero(allowed), len(allowed)
     shape = (len(open_nodes), len(columns), width, 3)
+    enough = min(max(SUM_ROWS, 4 * len(open_nodes) * width * width), 1 << 20)
     place = np.full(len(tree.feature), -1, np.int16)
     place[open_nodes] = np.arange(len(open_nodes))
 
@@ -473,7 +474,7 @@ def _histograms(blocks: RDD, gradient: _Drawn, allowed: np.ndarray, tree: Tree,
             slot = place.take(_walk(tree, bins))
             at = np.flatnonzero(gradient.of(rid, slot >= 0))
             held.append((np.stack([bins[j].take(at) for j in columns]), slot.take(at), *gradient(y.take(at), raw.take(at))))
-            if sum(len(x[1]) for x in held) >= SUM_ROWS:
+            if sum(len(x[1]) for x in held) >= enough:
                 add()
         if held:
             add()
